@@ -5,18 +5,40 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, tokenfile
+from . import digest, htmltext, langid, mixing, neardup, packing, quality, secretscan, sharding, tokenfile
 from .common import read_documents
 
 
+def op1_tree_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read_documents(spark, sf_dir), size=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_documents(spark, sf_dir), shards=8)
 
 
+def op5_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read_documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+def op6_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.report(read_documents(spark, sf_dir))
+
+
+def op7_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_identification(read_documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -25,11 +47,21 @@ def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir), max_epochs=2.0)
 
 
+def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(read_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_tree_model_text": op1_tree_model_text,
     "op2_token_output": op2_token_output,
+    "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_feistel_shards": op4_feistel_shards,
+    "op5_line_frequency_quality": op5_line_frequency_quality,
+    "op6_trigram_secret_scan": op6_trigram_secret_scan,
+    "op7_centroid_language": op7_centroid_language,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_temperature_mix": op9_temperature_mix,
+    "op10_quartile_digest": op10_quartile_digest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
