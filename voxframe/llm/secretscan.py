@@ -213,7 +213,11 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     that of no bytes and spans is empty. An empty table gives no rows.
     """
     found = scan(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")), rules)
-    counts = [F.size(F.filter("_found", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+
+    def count(order: int) -> Column:
+        return F.size(F.filter("_found", lambda s: s["ord"] == order)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     base = _joined(F.filter("_found", lambda s: s["ord"] < len(BASE)), rules)
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("_found"), rules).alias("spans"))
 
