@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import need, partitions, stage
 
 BUCKETS = 256
-#: Offsets in a window of five bytes, with a multiplier of its own for each kind of triplet.
-TRIPLETS = ((0, 1, 2, 0x9E3779B1), (0, 1, 3, 0x85EBCA77), (0, 2, 4, 0xC2B2AE3D))
+#: A triplet's bytes lie so far apart: wider than most syllables, so that a text's own
+#: word order counts and not only its language's frequent letter groups.
+STEP = 5
+_WINDOW = 2 * STEP
 #: What two codes that lie 0, 1, 2 or 3 quartiles apart add to the difference.
 APART = np.array([0, 1, 2, 6])
 #: The most that lengths add to it: the difference is bounded by BUCKETS * 6 + LENGTH_MOST.
@@ -33,17 +35,16 @@ _PIECE = 1 << 20
 def fingerprint(data: bytes) -> str:
     """132 hexadecimal digits: the version, the length's logarithm and 256 quartile codes.
 
-    Two zero bytes are set before and after the data, so that any text, the
-    empty one too, has triplets.
+    Zero bytes are set before and after the data, so that each byte takes each
+    place of a triplet and any text, the empty one too, has triplets.
     """
-    framed = np.frombuffer(b"\0\0" + data + b"\0\0\0\0", np.uint8)
+    framed = np.frombuffer(bytes(_WINDOW) + data + bytes(_WINDOW), np.uint8)
     counts = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(framed) - 4, _PIECE):  # piece by piece: memory doesn't grow with the text
-        b = framed[at : at + _PIECE + 4].astype(np.uint32)
-        n = len(b) - 4
-        for i, j, k, by in TRIPLETS:
-            h = (b[i : i + n] | b[j : j + n] << np.uint32(8) | b[k : k + n] << np.uint32(16)) * np.uint32(by)
-            counts += np.bincount((h ^ h >> np.uint32(15)) >> np.uint32(16) & np.uint32(255), minlength=BUCKETS)
+    for at in range(0, len(framed) - _WINDOW, _PIECE):  # piece by piece: memory doesn't grow with the text
+        b = framed[at : at + _PIECE + _WINDOW].astype(np.uint32)
+        n = len(b) - _WINDOW
+        h = (b[:n] | b[STEP : STEP + n] << np.uint32(8) | b[_WINDOW:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+        counts += np.bincount((h ^ h >> np.uint32(15)) >> np.uint32(16) & np.uint32(255), minlength=BUCKETS)
     ordered = np.sort(counts)
     codes = np.searchsorted(ordered[[63, 127, 191]], counts, "left").astype(np.uint8)
     codes = codes.reshape(-1, 4)
