@@ -8,29 +8,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(body: Callable[..., Column], *values: Column) -> Column:
+    """body(values), each value computed once for the row however often the body names it,
+    even from lambdas over the voxels. Without this, Spark computes a statistic anew for each voxel."""
+    bound = F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda s: body(*[s[f"v{k}"] for k in range(len(values))])), 0)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
 def mean(a: Column) -> Column:
     """Null for an empty array."""
-    return F.when(F.size(a) > 0, total(a) / F.size(a))
+    return let(lambda v: F.when(F.size(v) > 0, total(v) / F.size(v)), a)
 
 
 def std(a: Column) -> Column:
     """Population standard deviation in two passes; null for an empty array."""
-    m = mean(a)
-    return F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))
+    return let(lambda v: let(lambda m: F.sqrt(mean(F.transform(v, lambda x: (x - m) * (x - m)))), mean(v)), a)
 
 
 def percentile(a: Column, q: float | Column) -> Column:
     """Exact, interpolated linearly between order statistics; null for an empty array."""
-    n = F.size(a)
-    s = F.array_sort(a)
-    at = (n - 1) * (q if isinstance(q, Column) else F.lit(q)) / 100.0
-    low = F.floor(at).cast("int")
-    x, y = F.get(s, low), F.get(s, F.least(low + 1, n - 1))
-    return F.when(n > 0, x + (y - x) * (at - low))
+    return percentiles(a, q)[0]
+
+
+def percentiles(a: Column, *qs: float | Column) -> list[Column]:
+    """Several percentiles; each sorts by itself unless the array was sorted before."""
+
+    def one(q: float | Column) -> Column:
+        def pick(s: Column, at: Column) -> Column:
+            low = F.floor(at).cast("int")
+            x, y = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+            return F.when(F.size(s) > 0, x + (y - x) * (at - low))
+
+        return let(lambda s: let(pick, s, (F.size(s) - 1) * (q if isinstance(q, Column) else F.lit(float(q))) / 100.0), F.array_sort(a))
+
+    return [one(q) for q in qs]
 
 
 def median(a: Column) -> Column:
@@ -50,7 +65,7 @@ def positives(a: Column) -> Column:
 def histogram(a: Column, bins: int) -> Column:
     """Counts of values in [0, 1] in equal bins, the last one closed."""
     places = F.transform(a, lambda x: F.least(F.floor(x * bins), F.lit(bins - 1)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)))
+    return let(lambda at: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(at, lambda p: p == b))), places)
 
 
 def try_divide(a: Column, b: Column) -> Column:

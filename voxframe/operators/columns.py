@@ -32,8 +32,7 @@ def clipping(v: ColumnVolume, severity: float, percentile: float | None = None)
         region = F.when(F.size(region) > 0, region).otherwise(F.filter(v.voxels, lambda x: x > 0.1 * F.array_max(v.voxels)))
     else:
         q, region = percentile, A.positives(v.voxels)
-    cap = A.percentile(region, q)
-    return F.transform(v.voxels, lambda x: F.when(cap.isNull(), x).otherwise(F.least(x, cap)))
+    return A.let(lambda cap: F.transform(v.voxels, lambda x: F.when(cap.isNull(), x).otherwise(F.least(x, cap))), A.percentile(region, q))
 
 
 @operator("quantization", "intensity", "3d", (0.0, 1.0), lowering="column", pool=True)
@@ -48,13 +47,13 @@ def quantization(v: ColumnVolume, severity: float, levels: int | None = None, lu
     gamma = F.lit(float(lut_warp)) if lut_warp is not None else F.when(v.uniform("warp") < 0.5, v.between(0.6, 1.6, "gamma")).otherwise(F.lit(1.0))
     dithered = F.lit(dither) if dither is not None else v.uniform("dither") < 0.4
 
-    def one(x: Column, idx: Column) -> Column:
+    def one(x, idx, low, high, n, gamma, dithered) -> Column:
         unit = A.clip((x - low) / (high - low))
         unit = F.when(dithered, A.clip(unit + (v.uniform("voxel", idx) - 0.5) / (n - 1))).otherwise(unit) if dither is not False else unit
         stepped = F.bround(F.pow(unit, gamma) * (n - 1)) / (n - 1)
         return low + (high - low) * F.pow(stepped, 1.0 / gamma)
 
-    return F.when(high > low, F.transform(v.voxels, one)).otherwise(v.voxels)
+    return A.let(lambda *s: F.when(s[1] > s[0], F.transform(v.voxels, lambda x, i: one(x, i, *s))).otherwise(v.voxels), low, high, n, gamma, dithered)
 
 
 @operator("brain_intensity", "intensity", "either", (0.1, 3.0), lowering="column", identity_at_zero=False)
@@ -74,13 +73,12 @@ def skull_intensity(v: ColumnVolume, severity: float, intensity_change: float |
 
 
 def _unit(a: Column) -> Column:
-    low, high = F.array_min(a), F.array_max(a)
-    return F.transform(a, lambda x: F.coalesce(A.try_divide(x - low, high - low), F.lit(0.0)))
+    return A.let(lambda w: A.let(lambda low, high: F.transform(w, lambda x: F.coalesce(A.try_divide(x - low, high - low), F.lit(0.0))), F.array_min(w), F.array_max(w)), a)
 
 
 def _contrast(v: ColumnVolume, factor: float, test) -> Column:
     m = A.mean(A.where(v.voxels, v.mask, lambda x, inside: test(x, inside)))
-    return _clip(v.map_masked(lambda x, inside, _: F.when(test(x, inside) & m.isNotNull(), (x - m) * factor + m).otherwise(x)))
+    return _clip(A.let(lambda m: v.map_masked(lambda x, inside, _: F.when(test(x, inside) & m.isNotNull(), (x - m) * factor + m).otherwise(x)), m))
 
 
 @operator("brain_contrast", "intensity", "either", (0.0, 3.0), lowering="column", identity_at_zero=False)
@@ -100,8 +98,12 @@ def _lobe(v: ColumnVolume, low: float, high: float, severity: float) -> Column:
     strength = v.between(low, high, "strength") * severity * F.when(v.uniform("sign") < 0.5, -1.0).otherwise(1.0)
     sigma = v.between(0.06, 0.13, "scale") * (v.size(0) + v.size(1) + v.size(2)) / 3.0
     c = [v.between(0.2, 0.8, f"c{a}") * (v.size(a) - 1) for a in range(3)]
-    r2 = lambda i, j, k: (i - c[0]) * (i - c[0]) + (j - c[1]) * (j - c[1]) + (k - c[2]) * (k - c[2])
-    return v.map(lambda x, i, j, k: A.clip(x * (1.0 + strength * F.exp(-r2(i, j, k) / (2.0 * sigma * sigma)))))
+
+    def lobe(strength, sigma, *c) -> Column:
+        r2 = lambda i, j, k: (i - c[0]) * (i - c[0]) + (j - c[1]) * (j - c[1]) + (k - c[2]) * (k - c[2])
+        return v.map(lambda x, i, j, k: A.clip(x * (1.0 + strength * F.exp(-r2(i, j, k) / (2.0 * sigma * sigma)))))
+
+    return A.let(lobe, strength, sigma, *c)
 
 
 @operator("draw_shape", "intensity", "either", (0.0, 1.0), lowering="column", pool=True)
@@ -127,9 +129,9 @@ def random_erasing(v: ColumnVolume, severity: float, magnitude_noise: bool = Fal
         present = F.lit(1.0) if n == 0 else F.when(v.uniform("two") < 0.5, 1.0).otherwise(0.0)
         lobes.append((axis_far, sigma, present))
 
-    def one(x: Column, idx: Column) -> Column:
+    def one(x, idx, spread, *s) -> Column:
         place, keep = v.ijk(idx), F.lit(1.0)
-        for c, sigma, present in lobes:
+        for c, sigma, present in ((s[:3], s[3], s[4]), (s[5:8], s[8], s[9])):
             r2 = sum(((p - q) * (p - q) for p, q in zip(place, c, strict=True)), F.lit(0.0))
             keep = keep * (1.0 - severity * present * F.exp(-r2 / (2.0 * sigma * sigma)))
         noise = 0.15 * severity * spread * (1.0 - keep)
@@ -139,25 +141,27 @@ def random_erasing(v: ColumnVolume, severity: float, magnitude_noise: bool = Fal
             signed = F.sqrt(signed * signed + other * other)
         return A.clip(signed)
 
-    return F.transform(v.voxels, one)
+    flat = [x for c, sigma, present in lobes for x in (*c, sigma, present)]
+    return A.let(lambda *s: F.transform(v.voxels, lambda x, i: one(x, i, *s)), spread, *flat)
 
 
 @operator("bounce_point_null", "intensity", "3d", (0.0, 1.0), lowering="column", pool=True, train=(0.15, 0.45))
 def bounce_point_null(v: ColumnVolume, severity: float, centre: float | None = None, width: float | None = None) -> Column:
     """Signal near a null value is pulled towards zero, with a V-shaped refill at the null itself."""
     positive = A.positives(v.voxels)
-    low, high = A.percentile(positive, 5.0), A.percentile(positive, 95.0)
-    null = low + (high - low) * (F.lit(centre) if centre is not None else v.between(0.25, 0.75, "centre"))
-    sigma = (high - low) * (F.lit(width) if width is not None else v.between(0.08, 0.2, "width"))
+    at, wide = (F.lit(centre) if centre is not None else v.between(0.25, 0.75, "centre")), (F.lit(width) if width is not None else v.between(0.08, 0.2, "width"))
     depth = 0.6 + 0.4 * severity
 
-    def one(x: Column) -> Column:
+    def one(x: Column, null: Column, sigma: Column) -> Column:
         d = x - null
         gone = depth * F.exp(-(d * d) / (2.0 * sigma * sigma))
         refill = 0.5 * severity * F.greatest(F.lit(0.0), 1.0 - F.abs(d) / sigma) * F.abs(d)
         return F.when((x > 0) & (sigma > 0), A.clip(x * (1.0 - gone) + refill)).otherwise(x)
 
-    return F.transform(v.voxels, one)
+    def run(low: Column, high: Column, at: Column, wide: Column) -> Column:
+        return A.let(lambda null, sigma: F.transform(v.voxels, lambda x: one(x, null, sigma)), low + (high - low) * at, (high - low) * wide)
+
+    return A.let(run, A.percentile(positive, 5.0), A.percentile(positive, 95.0), at, wide)
 
 
 @operator("mp2rage_lut", "intensity", "2d", (0.0, 1.0), lowering="column", identity_at_zero=False)
@@ -168,7 +172,6 @@ def mp2rage_lut(v: ColumnVolume, severity: float, xs: tuple = (0.0, 0.3, 0.6, 1.
         return v.voxels
     inside = (lambda x, m: m) if per_region else (lambda x, m: x > 0)
     region = A.where(v.voxels, v.mask, inside)
-    low, high = A.percentile(region, 0.5), A.percentile(region, 99.5)
 
     def curve(t: Column) -> Column:
         out = F.when(t <= xs[0], F.lit(float(ys[0])))
@@ -176,7 +179,10 @@ def mp2rage_lut(v: ColumnVolume, severity: float, xs: tuple = (0.0, 0.3, 0.6, 1.
             out = out.when(t <= x1, y0 + (t - x0) * ((y1 - y0) / (x1 - x0)))
         return out.otherwise(F.lit(float(ys[-1])))
 
-    return v.map_masked(lambda x, m, _: F.when(inside(x, m) & (high > low), curve(A.clip((x - low) / (high - low)))).otherwise(x))
+    def run(low: Column, high: Column) -> Column:
+        return v.map_masked(lambda x, m, _: F.when(inside(x, m) & (high > low), curve(A.clip((x - low) / (high - low)))).otherwise(x))
+
+    return A.let(run, A.percentile(region, 0.5), A.percentile(region, 99.5))
 
 
 # noise
@@ -195,9 +201,12 @@ def _line_noise(v: ColumnVolume, severity: float, per_voxel: bool) -> Column:
 
     def one(line: Column, r: Column) -> Column:
         places = F.filter(F.transform(line, lambda x, k: F.when(x > 0.05, k).otherwise(-1)), lambda k: k >= 0)
-        first, last = F.coalesce(F.array_min(places), n), F.coalesce(F.array_max(places), F.lit(-1))
-        bound = severity * v.between(0.05, 0.2, "bound", r)
+        return A.let(lambda p, bound: ends(line, r, F.coalesce(F.array_min(p), n), F.coalesce(F.array_max(p), F.lit(-1)), bound), places, severity * v.between(0.05, 0.2, "bound", r))
 
+    def ends(line: Column, r: Column, first: Column, last: Column, bound: Column) -> Column:
+        return A.let(lambda a, b: filled(line, r, a, b, bound), first, last)
+
+    def filled(line: Column, r: Column, first: Column, last: Column, bound: Column) -> Column:
         def voxel(x: Column, k: Column) -> Column:
             value = bound * v.uniform("voxel", r, k) if per_voxel else bound
             return F.when((k < first) | (k > last), value).otherwise(x)
@@ -229,13 +238,13 @@ def signal_drop_band(v: ColumnVolume, severity: float, heavy_tail: bool | None =
         depth = severity * (F.pow(v.uniform("depth", b), 0.5) if heavy_tail else v.between(0.4, 1.0, "depth", b))
         bands.append((v.uniform("centre", b) * (n - 1), width / 2.0, depth * (F.lit(1.0) if b == 0 else F.when(v.uniform("two") < 0.4, 1.0).otherwise(0.0))))
 
-    def one(x: Column, i: Column, j: Column, k: Column) -> Column:
-        at, weight = (i, j, k)[axis], F.lit(1.0)
-        for c, s, depth in bands:
-            weight = weight * (1.0 - depth * F.exp(-((at - c) * (at - c)) / (2.0 * s * s)))
+    def one(x: Column, at: Column, s: tuple) -> Column:
+        weight = F.lit(1.0)
+        for c, wide, depth in (s[:3], s[3:]):
+            weight = weight * (1.0 - depth * F.exp(-((at - c) * (at - c)) / (2.0 * wide * wide)))
         return x * F.greatest(weight, F.lit(0.15))
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place[axis], s)), *[x for b in bands for x in b])
 
 
 @operator("mp2rage_tissue_noise", "noise", "2d", (0.0, 1.0), lowering="column", identity_at_zero=False)
@@ -250,11 +259,11 @@ def rician_noise(v: ColumnVolume, severity: float) -> Column:
     """The magnitude of the signal with complex normal noise, scaled by the 90th percentile of the positives."""
     sigma = (0.03 + 0.45 * severity) * F.coalesce(A.percentile(A.positives(v.voxels), 90.0), F.lit(0.0))
 
-    def one(x: Column, idx: Column) -> Column:
+    def one(x: Column, idx: Column, sigma: Column) -> Column:
         a, b = x + sigma * v.normal("a", idx), sigma * v.normal("b", idx)
         return F.sqrt(a * a + b * b)
 
-    return F.transform(v.voxels, one)
+    return A.let(lambda s: F.transform(v.voxels, lambda x, i: one(x, i, s)), sigma)
 
 
 @operator("mp2rage_background", "noise", "2d", (0.0, 1.0), lowering="column", identity_at_zero=False)
@@ -265,7 +274,7 @@ def mp2rage_background(v: ColumnVolume, severity: float, thr_frac: float = 0.1,
     least = thr_frac * F.coalesce(A.percentile(A.positives(v.voxels), 99.0), F.lit(0.0))
     wedge = v.uniform("wedge") < fov_zero_prob
 
-    def one(x: Column, m: Column, idx: Column) -> Column:
+    def one(x: Column, m: Column, idx: Column, least: Column, wedge: Column) -> Column:
         if bg_model == "uniform":
             field = 2.0 * amp * v.uniform("n", idx)
         else:  # real part of the product over the sum of squares of two complex draws, shifted to [0, 1]
@@ -274,7 +283,7 @@ def mp2rage_background(v: ColumnVolume, severity: float, thr_frac: float = 0.1,
         cut = wedge & (v.ijk(idx)[0] < fov_zero_frac * v.size(0))
         return F.when(~m & (x < least), F.when(cut, 0.0).otherwise(A.clip(field))).otherwise(x)
 
-    return v.map_masked(one)
+    return A.let(lambda a, b: v.map_masked(lambda x, m, i: one(x, m, i, a, b)), least, wedge)
 
 
 # focal
@@ -287,7 +296,7 @@ def dropout(v: ColumnVolume, severity: float, mode: str = "slice") -> Column:
         n = v.size(2)
         order = F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(v.uniform("slice", k).alias("u"), k.alias("k"))))
         hit = F.transform(F.slice(order, 1, F.greatest(F.lit(0), F.bround(severity * n).cast("int"))), lambda s: s["k"])
-        return v.map(lambda x, i, j, k: F.when(F.array_contains(hit, k), x * (1.0 - v.between(0.5, 1.0, "loss", k))).otherwise(x))
+        return A.let(lambda h: v.map(lambda x, i, j, k: F.when(F.array_contains(h, k), x * (1.0 - v.between(0.5, 1.0, "loss", k))).otherwise(x)), hit)
     if mode != "patch":
         raise ValueError(f"unknown mode {mode!r}")
     boxes = []
@@ -296,16 +305,16 @@ def dropout(v: ColumnVolume, severity: float, mode: str = "slice") -> Column:
         low = [F.floor(v.uniform("low", b, a) * (v.size(a) - side[a] + 1)).cast("int") for a in range(3)]
         boxes.append((low, side))
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, s: tuple) -> Column:
         inside = F.lit(False)
-        for low, side in boxes:
+        for b in range(0, len(s), 6):
             own = F.lit(True)
-            for p, q, s in zip(place, low, side, strict=True):
-                own &= (p >= q) & (p < q + s)
+            for p, q, n in zip(place, s[b : b + 3], s[b + 3 : b + 6], strict=True):
+                own &= (p >= q) & (p < q + n)
             inside |= own
         return F.when(inside, 0.0).otherwise(x)
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place, s)), *[x for low, side in boxes for x in (*low, *side)])
 
 
 def _offsets(v: ColumnVolume, place, cx: float, cy: float, cz: float | None):
@@ -368,7 +377,7 @@ def metal_3d(v: ColumnVolume, severity: float, master_t: float | None = None, lo
     radius = F.lit(size_scale) * 0.12 * (v.size(0) + v.size(1) + v.size(2)) / 3.0 * (0.6 + 0.4 * min(t, 1.3))
     centre = [F.lit(float(c)) for c in loc] if loc else [v.between(0.3, 0.7, f"c{a}") * (v.size(a) - 1) for a in range(3)]
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, radius: Column, *centre: Column) -> Column:
         d = [p - c for p, c in zip(place, centre, strict=True)]
         r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
         fall = F.exp(-r2 / (2.0 * radius * radius))
@@ -377,7 +386,7 @@ def metal_3d(v: ColumnVolume, severity: float, master_t: float | None = None, lo
         out = x * (1.0 - void * fall) + pole * (3.0 * cos2 - 1.0) * F.exp(-r2 / (4.5 * radius * radius)) * x
         return A.clip(out + pile * F.exp(-ring * ring / (0.18 * radius * radius)) * x)
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place, *s)), radius, *centre)
 
 
 @operator("defacing", "focal", "3d", (0.0, 1.0), lowering="column", label_preserving=False)
@@ -388,15 +397,14 @@ def defacing(v: ColumnVolume, severity: float, axis: int = 1, low_side: bool = T
     edge = F.coalesce(F.array_min(inside) if low_side else F.array_max(inside), F.lit(0) if low_side else n - 1)
     reach = edge * 1.0 if low_side else (n - 1 - edge) * 1.0
     cut = reach * min(1.0, severity / 0.45) if severity < 0.45 else reach + (severity - 0.45) * 0.25 * n
-    tilt = v.between(-0.2, 0.2, "tilt")
 
-    def one(x: Column, m: Column, idx: Column) -> Column:
+    def one(x: Column, m: Column, idx: Column, cut: Column, tilt: Column) -> Column:
         place = v.ijk(idx)
         depth = place[axis] if low_side else n - 1 - place[axis]
         beyond = depth + tilt * (place[2] - _centre(v, 2)) < cut
         return F.when(beyond & (~m if severity < 0.45 else F.lit(True)), 0.0).otherwise(x)
 
-    return v.map_masked(one)
+    return A.let(lambda a, b: v.map_masked(lambda x, m, i: one(x, m, i, a, b)), cut, v.between(-0.2, 0.2, "tilt"))
 
 
 # structure, meta
@@ -409,12 +417,12 @@ def spin_history(v: ColumnVolume, severity: float, axis: int = 2, k: int | None
     amplitude = 0.03 + 0.30 * severity
     ramp = F.lit(float(drift)) if drift is not None else F.when(v.uniform("drifts") < 0.5, v.between(-0.1, 0.1, "drift")).otherwise(F.lit(0.0))
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, period: Column, ramp: Column) -> Column:
         at, n = place[axis], v.size(axis)
         band = F.when(at % period == 0, amplitude).otherwise(-amplitude / 2.0)
         return A.clip(x * (1.0 + band + ramp * (at / F.greatest(n - 1, F.lit(1)) - 0.5)))
 
-    return v.map(one)
+    return A.let(lambda a, b: v.map(lambda x, *place: one(x, place, a, b)), period, ramp)
 
 
 @operator("nonfinite", "meta", "either", (0.0, 0.05), lowering="column", has_detector=True)
@@ -427,7 +435,7 @@ def nonfinite(v: ColumnVolume, severity: float) -> Column:
 def constant(v: ColumnVolume, severity: float) -> Column:
     """All voxels become the median of the positives, 1 if there are none."""
     value = F.coalesce(A.median(A.positives(v.voxels)), F.lit(1.0))
-    return F.transform(v.voxels, lambda _: value)
+    return A.let(lambda c: F.transform(v.voxels, lambda _: c), value)
 
 
 # k-space operators with a closed form in image space
@@ -468,10 +476,8 @@ def motion_ghost_stack(v: ColumnVolume, severity: float, pe_axis: int = 0, offse
 def motion_pulsation(v: ColumnVolume, severity: float, pe_axis: int = 0, offsets: tuple = (), alphas: tuple = (), bright_pct: float = 95.0, least: int = 50) -> Column:
     """Rolled copies of the brightest voxels in the mask are added; fewer than `least` in the mask change nothing."""
     region = A.where(v.voxels, v.mask, lambda x, m: m)
-    bar = A.percentile(region, bright_pct)
-    bright = v.map_masked(lambda x, m, _: F.when(m & (x >= bar), x).otherwise(0.0))
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, bright: Column) -> Column:
         out = x
         for o, a in zip(offsets, alphas, strict=True):
             p = list(place)
@@ -480,7 +486,11 @@ def motion_pulsation(v: ColumnVolume, severity: float, pe_axis: int = 0, offsets
             out = out + float(a) * F.get(bright, at)
         return A.clip(out)
 
-    return F.when(F.size(region) >= least, v.map(one)).otherwise(v.voxels)
+    def run(r: Column, bar: Column) -> Column:
+        bright = v.map_masked(lambda x, m, _: F.when(m & (x >= bar), x).otherwise(0.0))
+        return F.when(F.size(r) >= least, A.let(lambda b: v.map(lambda x, *place: one(x, place, b)), bright)).otherwise(v.voxels)
+
+    return A.let(run, region, A.percentile(region, bright_pct))
 
 
 @operator("ghosting", "kspace", "3d", (0.0, 1.0), lowering="column", pool=True, has_detector=True)
@@ -499,17 +509,19 @@ def ghosting(v: ColumnVolume, severity: float, n_ghosts: int | None = None, axis
         size = F.lit(float(amplitude)) if amplitude is not None else v.between(0.3, 0.6, "amp", g) * severity
         weights.append(F.when(F.lit(g) < count, size / (g + 1)).otherwise(0.0))
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, s: tuple) -> Column:
         out = x
-        for by, w in zip(shifts, weights, strict=True):
+        for by, w in zip(s[:most], s[most:], strict=True):
             p = list(place)
             p[axis] = F.pmod(p[axis] - by, n).cast("int")
             out = out + w * v.at(*p)
         return out
 
-    added = v.map(one)
-    top = A.percentile(added, 99.5)
-    return F.transform(added, lambda x: A.clip(F.when(top > 1, x / top).otherwise(x)))
+    def windowed(added: Column, top: Column) -> Column:
+        return F.transform(added, lambda x: A.clip(F.when(top > 1, x / top).otherwise(x)))
+
+    added = A.let(lambda *s: v.map(lambda x, *place: one(x, place, s)), *shifts, *weights)
+    return A.let(lambda a: A.let(lambda top: windowed(a, top), A.percentile(a, 99.5)), added)
 
 
 @operator("aliasing", "kspace", "3d", (0.0, 1.0), lowering="column", pool=True, has_detector=True)
@@ -521,7 +533,7 @@ def aliasing(v: ColumnVolume, severity: float, axis: int = 0, direction: str | N
     both = F.lit(direction == "both") if direction else v.uniform("both") < 0.5
     low = F.lit(direction == "low") if direction else v.uniform("low") < 0.5
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, width: Column, both: Column, low: Column) -> Column:
         at = place[axis]
         p, q = list(place), list(place)
         p[axis] = F.greatest(n - width + at, F.lit(0)).cast("int")
@@ -530,7 +542,7 @@ def aliasing(v: ColumnVolume, severity: float, axis: int = 0, direction: str | N
         onto_high = (at >= n - width) & (both | ~low)
         return F.when(onto_low, (x + amp * v.at(*p)) / (1.0 + amp)).when(onto_high, (x + amp * v.at(*q)) / (1.0 + amp)).otherwise(x)
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place, *s)), width, both, low)
 
 
 @operator("slab_wrap", "kspace", "3d", (0.0, 1.0), lowering="column", pool=True, has_detector=True)
@@ -543,7 +555,7 @@ def slab_wrap(v: ColumnVolume, severity: float, axis: int | None = None, both: b
     u = v.uniform("axis")
     chosen = F.lit(axis) if axis is not None else F.when(u < 0.2, 0).when(u < 0.4, 1).otherwise(2)
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, factor: Column, w: Column, twice: Column, chosen: Column) -> Column:
         out = None
         for a in (0, 1, 2) if axis is None else (axis,):
             by = F.greatest(F.lit(1), F.bround(share * factor * v.size(a)).cast("int"))
@@ -553,7 +565,7 @@ def slab_wrap(v: ColumnVolume, severity: float, axis: int | None = None, both: b
             out = F.when(chosen == a, own) if out is None else out.when(chosen == a, own)
         return out
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place, *s)), factor, w, twice, chosen)
 
 
 @operator("nyquist_ghost", "kspace", "3d", (0.0, 1.0), lowering="column", pool=True)
@@ -562,33 +574,32 @@ def nyquist_ghost(v: ColumnVolume, severity: float, axis: int | None = None, del
     d = F.lit(float(delta)) if delta is not None else v.between(0.15, 0.45, "delta") * severity
     a = 1 if axis is None else axis
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, d: Column) -> Column:
         p = list(place)
         p[a] = F.pmod(p[a] - F.floor(v.size(a) / 2).cast("int"), v.size(a)).cast("int")
         c, s = F.cos(d) * x, F.sin(d) * v.at(*p)
         return F.sqrt(c * c + s * s)
 
-    return v.map(one)
+    return A.let(lambda d: v.map(lambda x, *place: one(x, place, d)), d)
 
 
 def _waves(v: ColumnVolume, severity: float, n: int) -> Column:
     """Points in k-space and their mirrors are plane waves in the image; the reference amplitude is the image's sum, the largest magnitude there."""
     peak = F.abs(A.total(v.voxels)) / F.size(v.voxels)
     size = (0.05 + 0.45 * severity) * peak
-    out = v.voxels
     waves = []
     for s in range(n):
         f = [F.floor(v.between(0.1, 0.5, "f", s, a) * v.size(a)) * F.when(v.uniform("sign", s, a) < 0.5, -1).otherwise(1) for a in range(3)]
         waves.append((f, 2.0 * math.pi * v.uniform("phase", s)))
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, size: Column, *s: Column) -> Column:
         total = x
-        for f, phase in waves:
-            turn = sum((2.0 * math.pi * q * p / v.size(a) for a, (q, p) in enumerate(zip(f, place, strict=True))), F.lit(0.0))
-            total = total + 2.0 * size * F.cos(turn + phase)
+        for w in range(0, len(s), 4):
+            turn = sum((2.0 * math.pi * q * p / v.size(a) for a, (q, p) in enumerate(zip(s[w : w + 3], place, strict=True))), F.lit(0.0))
+            total = total + 2.0 * size * F.cos(turn + s[w + 3])
         return total
 
-    return v.map(one) if waves else out
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place, *s)), size, *[x for f, phase in waves for x in (*f, phase)])
 
 
 @operator("spike", "kspace", "3d", (0.0, 1.0), lowering="column", pool=True, has_detector=True)
@@ -615,14 +626,14 @@ def zipper(v: ColumnVolume, severity: float, axis: int = 0, n_lines: int | None
         centre = F.floor((0.5 + 0.35 * (v.uniform("a", b) + v.uniform("b", b) - 1.0)) * v.size(axis))
         lines.append((centre, F.floor(v.uniform("w", b) * 3) + 1))
 
-    def one(x: Column, *place: Column) -> Column:
+    def one(x: Column, place: tuple, size: Column, *s: Column) -> Column:
         hit = F.lit(False)
-        for c, w in lines:
+        for c, w in zip(s[::2], s[1::2], strict=True):
             hit |= (place[axis] >= c) & (place[axis] < c + w)
         tooth = F.when(place[other] % 2 == 0, 1.0).otherwise(-1.0)
         return F.when(hit, A.clip(x + tooth * size)).otherwise(x)
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, *place: one(x, place, *s)), size, *[x for line in lines for x in line])
 
 
 @operator("dc_offset", "kspace", "3d", (0.0, 1.0), lowering="column", has_detector=True)
@@ -631,13 +642,13 @@ def dc_offset(v: ColumnVolume, severity: float, flat: bool | None = None, n_dots
     is_flat = F.lit(flat) if flat is not None else v.uniform("flat") < 0.15
     offset = F.when(v.uniform("sign") < 0.5, -1.0).otherwise(1.0) * v.between(0.05, 0.25, "offset") * severity
     two = F.lit((n_dots or 1) > 1) if n_dots is not None else v.uniform("two") < 0.5
-    dots = [(v.between(1.0, 3.0, "sigma", d), v.between(0.3, 1.0, "amp", d) * severity * (F.lit(1.0) if d == 0 else F.when(two, 1.0).otherwise(0.0)), [v.between(-1.5, 1.5, "at", d, a) if d else F.lit(0.0) for a in range(2)]) for d in range(2)]
+    dots = [(v.between(1.0, 3.0, "sigma", d), v.between(0.3, 1.0, "amp", d) * severity * (F.lit(1.0) if d == 0 else F.when(two, 1.0).otherwise(0.0)), *[v.between(-1.5, 1.5, "at", d, a) if d else F.lit(0.0) for a in range(2)]) for d in range(2)]
 
-    def one(x: Column, i: Column, j: Column, k: Column) -> Column:
+    def one(x: Column, i: Column, j: Column, is_flat: Column, offset: Column, *d: Column) -> Column:
         added = F.lit(0.0)
-        for s, amp, (a, b) in dots:
+        for s, amp, a, b in (d[:4], d[4:]):
             p, q = i - _centre(v, 0) - a, j - _centre(v, 1) - b
             added = added + amp * F.exp(-(p * p + q * q) / (2.0 * s * s))
         return A.clip(x + F.when(is_flat, offset).otherwise(added))
 
-    return v.map(one)
+    return A.let(lambda *s: v.map(lambda x, i, j, k: one(x, i, j, *s)), is_flat, offset, *[x for d in dots for x in d])

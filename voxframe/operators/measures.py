@@ -16,8 +16,7 @@ def volume(voxels: Column, shape: Column, mask: Column | None = None) -> ColumnV
 def robust_sigma(voxels: Column) -> Column:
     """1.4826 times the median distance from the median over finite values; 0 for fewer than two."""
     v = F.filter(voxels, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    m = A.median(v)
-    return F.when(F.size(v) < 2, 0.0).otherwise(1.4826 * A.median(F.transform(v, lambda x: F.abs(x - m))))
+    return A.let(lambda v: A.let(lambda m: F.when(F.size(v) < 2, 0.0).otherwise(1.4826 * A.median(F.transform(v, lambda x: F.abs(x - m)))), A.median(v)), v)
 
 
 def plateau_fraction(voxels: Column) -> Column:
@@ -30,8 +29,10 @@ def plateau_fraction(voxels: Column) -> Column:
 def otsu(voxels: Column, bins: int = 256) -> Column:
     """The middle of the bin on [0, 1] after which the variance between the two classes is greatest, the first of equal ones."""
     counts = F.transform(A.histogram(F.transform(voxels, lambda x: A.clip(x)), bins), lambda c: c.cast("double"))
-    n, sums = A.total(counts), A.total(F.transform(counts, lambda c, k: c * (k + 0.5) / bins))
+    return A.let(lambda c: A.let(lambda n, m: _otsu(c, n, m, bins), A.total(c), A.total(F.transform(c, lambda x, k: x * (k + 0.5) / bins))), counts)
 
+
+def _otsu(counts: Column, n: Column, sums: Column, bins: int) -> Column:
     def step(a: Column, x: Column) -> Column:
         w, m = a["w"] + x["c"], a["m"] + x["c"] * (x["k"] + 0.5) / bins
         d = sums * w - m * n
@@ -70,17 +71,21 @@ def lag_correlation(v: ColumnVolume, axis: int, lag: int = 1, least: int = 64) -
         place[axis] = F.least(place[axis] + lag, v.size(axis) - 1)
         return F.when(inside, F.struct(x.alias("x"), v.at(*place).alias("y")))
 
+    def moments(pairs: Column, mx: Column, my: Column) -> Column:
+        sums = [A.total(F.transform(pairs, f)) for f in (lambda p: (p["x"] - mx) * (p["y"] - my), lambda p: (p["x"] - mx) * (p["x"] - mx), lambda p: (p["y"] - my) * (p["y"] - my))]
+        return A.let(lambda cov, sx, sy: F.when((F.size(pairs) < least) | (sx * sy < 1e-18), 0.0).otherwise(cov / F.sqrt(sx * sy)), *sums)
+
     pairs = F.filter(F.transform(v.voxels, pair), lambda p: p.isNotNull())
-    xs, ys = F.transform(pairs, lambda p: p["x"]), F.transform(pairs, lambda p: p["y"])
-    mx, my = A.mean(xs), A.mean(ys)
-    cov = A.total(F.transform(pairs, lambda p: (p["x"] - mx) * (p["y"] - my)))
-    sx, sy = A.total(F.transform(xs, lambda x: (x - mx) * (x - mx))), A.total(F.transform(ys, lambda y: (y - my) * (y - my)))
-    return F.when((F.size(pairs) < least) | (sx * sy < 1e-18), 0.0).otherwise(cov / F.sqrt(sx * sy))
+    return A.let(lambda p: A.let(lambda mx, my: moments(p, mx, my), A.mean(F.transform(p, lambda q: q["x"])), A.mean(F.transform(p, lambda q: q["y"]))), pairs)
 
 
 def bounding_box(v: ColumnVolume) -> Column:
     """struct(low, high, centroid, n) of the mask's true voxels; nulls if there are none."""
     at = F.filter(F.transform(v.mask, lambda m, idx: F.when(m, idx)), lambda i: i.isNotNull())
+    return A.let(lambda a: _box(v, a), at)
+
+
+def _box(v: ColumnVolume, at: Column) -> Column:
     places = [F.transform(at, _axis(v, a)) for a in range(3)]
     return F.struct(
         F.array(*[F.array_min(p) for p in places]).alias("low"), F.array(*[F.array_max(p) for p in places]).alias("high"),
@@ -97,7 +102,7 @@ def top_fraction(score: Column, share: float) -> Column:
     keep = F.greatest(F.lit(1), F.ceil(share * F.size(score)).cast("int"))
     order = F.array_sort(F.transform(score, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
     chosen = F.transform(F.slice(order, 1, keep), lambda s: s["i"])
-    return F.transform(score, lambda _, i: F.array_contains(chosen, i))
+    return A.let(lambda c: F.transform(score, lambda _, i: F.array_contains(c, i)), chosen)
 
 
 def tone_map(voxels: Column, gamma: float, knots: list[float], contrast: float, brightness: float) -> Column:
@@ -117,15 +122,18 @@ def tone_map(voxels: Column, gamma: float, knots: list[float], contrast: float,
 def quantile_transfer(voxels: Column, donor: Column, points: int = 256, least: int = 8) -> Column:
     """Positive values to the donor's quantiles, by linear interpolation between `points` of them; 0 stays 0,
     and too few positives on either side leave all as is."""
-    own, other = A.positives(voxels), A.positives(donor)
     places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k * (100.0 / (points - 1)))
-    a, b = F.transform(places, lambda q: A.percentile(own, q)), F.transform(places, lambda q: A.percentile(other, q))
 
-    def one(x: Column) -> Column:
+    def one(x: Column, a: Column, b: Column) -> Column:
         below = F.size(F.filter(a, lambda q: q <= x))
         low = F.greatest(F.least(below, F.lit(points - 1)), F.lit(1))
         x0, x1, y0, y1 = F.get(a, low - 1), F.get(a, low), F.get(b, low - 1), F.get(b, low)
         inner = F.when(x1 > x0, y0 + (y1 - y0) * A.clip((x - x0) / (x1 - x0))).otherwise(y1)
         return F.when(x > 0, inner).otherwise(0.0)
 
-    return F.when((F.size(own) >= least) & (F.size(other) >= least), F.transform(voxels, one)).otherwise(voxels)
+    def run(own: Column, other: Column) -> Column:
+        knots = [F.transform(places, lambda q: A.percentile(own, q)), F.transform(places, lambda q: A.percentile(other, q))]
+        mapped = A.let(lambda a, b: F.transform(voxels, lambda x: one(x, a, b)), *knots)
+        return F.when((F.size(own) >= least) & (F.size(other) >= least), mapped).otherwise(voxels)
+
+    return A.let(run, F.array_sort(A.positives(voxels)), F.array_sort(A.positives(donor)))

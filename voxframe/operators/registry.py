@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import draws
 
 KINDS = ("geometry", "intensity", "noise", "kspace", "focal", "structure", "meta")
@@ -150,12 +151,16 @@ def apply_operator(df: DataFrame, name: str, severity: float, seed: int = 0, cas
     if op.lowering == "column":
         if op.identity_at_zero and severity <= 0:
             return df.withColumn(voxels, values)
-        volume = ColumnVolume(values, inside, F.col(shape), F.col(case).cast("string"), seed, name)
-        return df.withColumn(voxels, op.function(volume, severity=severity, **params))
+        return df.withColumn(voxels, _column(op, values, inside, F.col(shape), F.col(case).cast("string"), severity, seed, params))
 
     return df.withColumn(voxels, _kernel_udf({name: severity}, seed, params)(F.col(case).cast("string"), F.lit(name), values, inside, F.col(shape)))
 
 
+def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Column, severity: float, seed: int, params: dict) -> Column:
+    """The operator on bound values, so that its many references don't repeat what computes them."""
+    return A.let(lambda v, m, s, c: op.function(ColumnVolume(v, m, s, c, seed, op.name), severity=severity, **params), voxels, mask, shape, case)
+
+
 def _kernel_udf(severity: dict[str, float], seed: int, params: dict):
     """Of (case, operator, voxels, mask, shape): the new voxels; rows of other operators stay as they are."""
 
@@ -192,7 +197,7 @@ def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float], seed
     out = None
     for n, s in severity.items():
         if n not in kernels:
-            own = get(n).function(ColumnVolume(F.col("voxels"), inside, F.col("shape"), case, seed, n), severity=s)
+            own = _column(get(n), F.col("voxels"), inside, F.col("shape"), case, s, seed, {})
             out = F.when(F.col("_op") == n, own) if out is None else out.when(F.col("_op") == n, own)
     return rows.withColumn("voxels", F.col("voxels") if out is None else out.otherwise(F.col("voxels"))).drop("_op")
 

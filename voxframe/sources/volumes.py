@@ -21,7 +21,8 @@ def embedding_volumes(spark: SparkSession, sf_dir: str, normalized: bool = True)
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("case_id"), "label", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.transform("embedding", lambda x: x.cast("double")).alias("voxels"))
     if normalized:
         rows = rows.withColumn("voxels", normalize_intensity(F.col("voxels")))
-    return rows.withColumn("_median", A.median(F.col("voxels"))).withColumn("mask", F.transform("voxels", lambda x: x > F.col("_median"))).drop("_median")
+    masked = A.let(lambda v: F.struct(v.alias("voxels"), A.let(lambda m: F.transform(v, lambda x: x > m), A.median(v)).alias("mask")), F.col("voxels"))
+    return rows.withColumn("_v", masked).select("case_id", "label", "shape", "_v.*")
 
 
 def normalize_intensity(voxels):
@@ -29,17 +30,26 @@ def normalize_intensity(voxels):
     More than 1 % negative: between the 1st and 99th percentile (least and greatest if equal, zeros if flat);
     otherwise clipped at the 99th percentile of the positives and divided by it."""
     inf = float("inf")
-    finite = F.filter(voxels, lambda x: ~F.isnan(x) & (F.abs(x) < inf))
-    most, least = F.coalesce(F.array_max(finite), F.lit(0.0)), F.coalesce(F.array_min(finite), F.lit(0.0))
-    v = F.transform(voxels, lambda x: F.when(F.isnan(x), 0.0).when(x == inf, most).when(x == -inf, least).otherwise(x))
-    signed = F.size(F.filter(v, lambda x: x < 0)) > 0.01 * F.size(v)
-    low, high = A.percentile(v, 1.0), A.percentile(v, 99.0)
-    flat = high <= low
-    low, high = F.when(flat, F.array_min(v)).otherwise(low), F.when(flat, F.array_max(v)).otherwise(high)
-    top = A.percentile(A.positives(v), 99.0)
-    by_range = F.transform(v, lambda x: F.when(high > low, A.clip((x - low) / (high - low))).otherwise(0.0))
-    by_top = F.transform(v, lambda x: F.when(top.isNull(), 0.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), top) / (top + 1e-8)))
-    return F.when(signed, by_range).otherwise(by_top)
+
+    def finite(raw, good):
+        most, least = F.coalesce(F.array_max(good), F.lit(0.0)), F.coalesce(F.array_min(good), F.lit(0.0))
+        return A.let(lambda m, n: F.transform(raw, lambda x: F.when(F.isnan(x), 0.0).when(x == inf, m).when(x == -inf, n).otherwise(x)), most, least)
+
+    def by_range(v, low, high):
+        flat = high <= low
+        low, high = F.when(flat, F.array_min(v)).otherwise(low), F.when(flat, F.array_max(v)).otherwise(high)
+        return A.let(lambda a, b: F.transform(v, lambda x: F.when(b > a, A.clip((x - a) / (b - a))).otherwise(0.0)), low, high)
+
+    def by_top(v, top):
+        return F.transform(v, lambda x: F.when(top.isNull(), 0.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), top) / (top + 1e-8)))
+
+    def scaled(v):
+        signed = F.size(F.filter(v, lambda x: x < 0)) > 0.01 * F.size(v)
+        ranged = A.let(lambda a, b: by_range(v, a, b), A.percentile(v, 1.0), A.percentile(v, 99.0))
+        return F.when(signed, ranged).otherwise(A.let(lambda t: by_top(v, t), A.percentile(A.positives(v), 99.0)))
+
+    clean = A.let(finite, voxels, F.filter(voxels, lambda x: ~F.isnan(x) & (F.abs(x) < inf)))
+    return A.let(scaled, clean)
 
 
 def zscore(voxels, mask=None):
@@ -47,10 +57,9 @@ def zscore(voxels, mask=None):
     region = A.positives(voxels)
     if mask is not None:
         inside = A.where(voxels, mask, lambda x, m: m)
-        region = F.when(F.size(inside) > 0, inside).otherwise(region)
-    region = F.when(F.size(region) > 0, region).otherwise(voxels)
-    m, s = A.mean(region), A.std(region)
-    return F.transform(voxels, lambda x: (x - m) / (s + 1e-8))
+        region = F.when(F.exists(mask, lambda m: m), inside).otherwise(region)
+    region = A.let(lambda r: F.when(F.size(r) > 0, r).otherwise(voxels), region)
+    return A.let(lambda r: A.let(lambda m, s: F.transform(voxels, lambda x: (x - m) / (s + 1e-8)), A.mean(r), A.std(r)), region)
 
 
 # The voxel types of the NIfTI-1 header.
