@@ -185,7 +185,7 @@ def _kernel_udf(severity: dict[str, float], seed: int, params: dict):
                 out.append(y.ravel())
             yield pd.Series(out)
 
-    return kernel
+    return kernel.asNondeterministic()  # so that it is evaluated once, by itself, and not moved into generators
 
 
 def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float], seed: int = 0) -> DataFrame:
