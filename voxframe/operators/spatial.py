@@ -107,7 +107,7 @@ def postprocess_masks(df: DataFrame, voxels: str = "voxels", threshold: float =
                 rows.append((m.ravel(), m.mean(), d))
             yield pd.DataFrame(rows, columns=["mask", "mask_fraction", "dropped_component"])
 
-    return df.drop("mask").withColumn("_p", run(voxels, "shape")).select("*", "_p.*").drop("_p")
+    return df.drop("mask").withColumn("_p", run.asNondeterministic()(voxels, "shape")).select("*", "_p.*").drop("_p")
 
 
 def components(df: DataFrame, mask: str = "mask") -> DataFrame:
@@ -117,4 +117,4 @@ def components(df: DataFrame, mask: str = "mask") -> DataFrame:
     def run(arrays: pd.Series, shapes: pd.Series) -> pd.Series:
         return pd.Series([np.sort(P.component_sizes(P.label(np.asarray(a, bool).reshape([int(n) for n in s]))))[::-1] for a, s in zip(arrays, shapes, strict=True)])
 
-    return df.withColumn("component_sizes", run(mask, "shape"))
+    return df.withColumn("component_sizes", run.asNondeterministic()(mask, "shape"))

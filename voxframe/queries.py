@@ -578,12 +578,12 @@ def _problems(spark, sf):
     return recovery.problems(plan, t, _KEY)
 
 
-@query("backoff_valid", "WITH b AS (SELECT user_id, ts, event_id, (4 >> (row_number() OVER w - 1)::INTEGER % 3)::INTEGER AS before, CASE WHEN event_id % 50 = 0 THEN 1 ELSE (2 >> (row_number() OVER w - 1)::INTEGER % 3) END::INTEGER AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), c AS (SELECT *, (after * 2 = before) AND (row_number() OVER w % 2 = 1 OR lag(after) OVER w = before) AS ok FROM b WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)), d AS (SELECT user_id, ts::DATE AS day, before, after, row_number() OVER v AS n, lag(after) OVER v AS la FROM b WINDOW v AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)) SELECT user_id, day, min(CASE WHEN after * 2 = before AND (la IS NULL OR la = before) THEN 1 ELSE 0 END) = 1 AS valid, count(*) AS steps FROM d GROUP BY 1, 2")
+@query("backoff_valid", "WITH b AS (SELECT user_id, ts, event_id, (4 >> (row_number() OVER w - 1)::INTEGER % 3)::INTEGER AS before, CASE WHEN event_id % 50 = 0 THEN 1 ELSE (2 >> (row_number() OVER w - 1)::INTEGER % 3) END::INTEGER AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), d AS (SELECT user_id, ts::DATE::VARCHAR AS day, before, after, lag(after) OVER v AS la FROM b WINDOW v AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)) SELECT user_id, day, min(CASE WHEN after * 2 = before AND (la IS NULL OR la = before) THEN 1 ELSE 0 END) = 1 AS valid, count(*) AS steps FROM d GROUP BY 1, 2")
 def _backoff(spark, sf):
     e = table(spark, sf, "events")
     at = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) % 3
     four, two = F.get(F.array(F.lit(4), F.lit(2), F.lit(1)), at), F.get(F.array(F.lit(2), F.lit(1), F.lit(0)), at)
-    steps = e.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", four.alias("before"), F.when(F.col("event_id") % 50 == 0, 1).otherwise(two).alias("after"))
+    steps = e.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", four.alias("before"), F.when(F.col("event_id") % 50 == 0, 1).otherwise(two).alias("after"))
     return recovery.backoff_valid(steps, ["user_id", "day"], ["ts", "event_id"], "before", "after")
 
 
