@@ -164,28 +164,53 @@ def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Col
 def _kernel_udf(severity: dict[str, float], seed: int, params: dict):
     """Of (case, operator, voxels, mask, shape): the new voxels; rows of other operators stay as they are."""
 
+    one = _one(severity, seed, params)
+
     @F.pandas_udf("array<double>")
     def kernel(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([one(*row) for row in zip(*rows, strict=True)])
+
+    return kernel.asNondeterministic()  # so that it is evaluated once, by itself, and not moved into generators
+
+
+def _one(severity: dict[str, float], seed: int, params: dict) -> Callable:
+    def run(case, name, voxels, mask, shape):
         import voxframe.operators  # noqa: F401  (registers the kernels in the worker)
 
-        for ids, names, arrays, masks, shapes in batches:
-            out = []
-            for i, n, a, m, s in zip(ids, names, arrays, masks, shapes, strict=True):
-                if a is None or i is None or n not in severity:
-                    out.append(a)
-                    continue
-                dims = tuple(int(k) for k in s)
-                x, inner = np.asarray(a, np.float64).reshape(dims), np.asarray(m, bool).reshape(dims)
-                try:
-                    y = run_kernel(get(n), x, severity[n], case_rng(seed, i, n), inner, **params)
-                except ValueError:
-                    if len(severity) == 1:
-                        raise
-                    y = x  # a drawn operator that a case doesn't suit leaves it as it is
-                out.append(y.ravel())
-            yield pd.Series(out)
+        if voxels is None or case is None or name not in severity:
+            return voxels
+        dims = tuple(int(k) for k in shape)
+        x, inner = np.asarray(voxels, np.float64).reshape(dims), np.asarray(mask, bool).reshape(dims)
+        try:
+            return run_kernel(get(name), x, severity[name], case_rng(seed, case, name), inner, **params).ravel()
+        except ValueError:
+            if len(severity) == 1:
+                raise
+            return voxels  # a drawn operator that a case doesn't suit leaves it as it is
 
-    return kernel.asNondeterministic()  # so that it is evaluated once, by itself, and not moved into generators
+    return run
+
+
+def _kernels(severity: dict[str, float], seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    one = _one(severity, seed, {})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = zip(pdf["case_id"].astype(str), pdf["_op"], pdf["voxels"], pdf["mask"], pdf["shape"], strict=True)
+        return pdf.assign(voxels=[one(*row) for row in rows])
+
+    return run
+
+
+def with_pandas(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], added: str = "") -> DataFrame:
+    """The rows through a function of pandas frames that keeps all columns and adds `added`, a batch at a time."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield function(pdf)
+
+    return df.mapInPandas(run, ", ".join([*fields, added] if added else fields))
 
 
 def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float], seed: int = 0) -> DataFrame:
@@ -193,7 +218,7 @@ def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float], seed
     rows = df.withColumn("_op", chosen).withColumn("voxels", F.col("voxels").cast("array<double>"))
     kernels = {n: s for n, s in severity.items() if get(n).lowering == "kernel"}
     case, inside = F.col("case_id").cast("string"), F.transform("mask", lambda m: m.cast("boolean"))
-    rows = rows.withColumn("voxels", _kernel_udf(kernels, seed, {})(case, F.col("_op"), F.col("voxels"), inside, F.col("shape")))
+    rows = with_pandas(rows, _kernels(kernels, seed))
     out = None
     for n, s in severity.items():
         if n not in kernels:

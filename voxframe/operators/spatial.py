@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import primitives as P
-from .registry import ColumnVolume
+from .registry import ColumnVolume, with_pandas
 
 
 def flipped(v: ColumnVolume, axis: int) -> Column:
@@ -98,23 +96,17 @@ def postprocess(probability: np.ndarray, threshold: float = 0.6, keep_ratio: flo
 def postprocess_masks(df: DataFrame, voxels: str = "voxels", threshold: float = 0.6, keep_ratio: float = 1.0, dilation: float = 0) -> DataFrame:
     """Adds `mask`, `mask_fraction` and `dropped_component`; volumes go one by one."""
 
-    @F.pandas_udf("mask array<boolean>, mask_fraction double, dropped_component boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for arrays, shapes in batches:
-            rows = []
-            for a, s in zip(arrays, shapes, strict=True):
-                m, d = postprocess(np.asarray(a, float).reshape([int(n) for n in s]), threshold, keep_ratio, dilation)
-                rows.append((m.ravel(), m.mean(), d))
-            yield pd.DataFrame(rows, columns=["mask", "mask_fraction", "dropped_component"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = [postprocess(np.asarray(a, float).reshape([int(n) for n in s]), threshold, keep_ratio, dilation) for a, s in zip(pdf[voxels], pdf["shape"], strict=True)]
+        return pdf.assign(mask=[m.ravel() for m, _ in got], mask_fraction=[float(m.mean()) for m, _ in got], dropped_component=[d for _, d in got])
 
-    return df.drop("mask").withColumn("_p", run.asNondeterministic()(voxels, "shape")).select("*", "_p.*").drop("_p")
+    return with_pandas(df.drop("mask"), run, "mask array<boolean>, mask_fraction double, dropped_component boolean")
 
 
 def components(df: DataFrame, mask: str = "mask") -> DataFrame:
     """Adds `component_sizes`, greatest first."""
 
-    @F.pandas_udf("array<long>")
-    def run(arrays: pd.Series, shapes: pd.Series) -> pd.Series:
-        return pd.Series([np.sort(P.component_sizes(P.label(np.asarray(a, bool).reshape([int(n) for n in s]))))[::-1] for a, s in zip(arrays, shapes, strict=True)])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(component_sizes=[np.sort(P.component_sizes(P.label(np.asarray(a, bool).reshape([int(n) for n in s]))))[::-1].astype("i8") for a, s in zip(pdf[mask], pdf["shape"], strict=True)])
 
-    return df.withColumn("component_sizes", run.asNondeterministic()(mask, "shape"))
+    return with_pandas(df, run, "component_sizes array<long>")
