@@ -10,9 +10,10 @@ edge is confirmed on the full sets.
 
 Documents with equal sets form one class, and only classes are compared. After a
 round of stars, classes that became connected need no further comparison; the
-next round takes other centres, among what is still apart. At last the pairs
-that are still apart in a bucket are compared by sketches within the join, and
-those that pass are confirmed, so no link hangs on the choice of centres.
+next round takes other centres, each bucket its own, among what is still apart.
+At last the pairs that are still apart in a bucket are compared by sketches within
+the join, each in one bucket only, and those that pass are confirmed, so no link
+hangs on the choice of centres.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ from .common import need, stage
 BINS, ROWS = 128, 4
 #: A pair at the threshold shares a given band with chance 0.8**4; that it shares none of 32 has chance 5e-8.
 BANDS = BINS // ROWS
-STAR_ROUNDS = 2
-#: A bucket with more classes that are apart is cut by a second band before its pairs are compared.
-LARGE_BUCKET = 256
+#: Bins of the sketches that compare pairs before their full sets are.
+SKETCH = 512
+STAR_ROUNDS = 3
+#: A bucket with more classes is cut by a second band before its pairs are compared.
+LARGE_BUCKET = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,10 +108,18 @@ def bands(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Four bits of each bin's value, in BINS / 16 integers."""
-    nibbles = (_mix(values) >> np.uint64(60)).reshape(-1, 16)
-    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Of SKETCH bins, in three planes of SKETCH / 64 integers: whether the bin is filled, and two bits of its least shingle.
+
+    Empty bins stay empty here: each filled bin samples one element of the union
+    without replacement, so for small sets the share of equal bins is nearly the
+    similarity itself.
+    """
+    at = np.searchsorted(s, np.arange(SKETCH, dtype=np.uint64) << np.uint64(64 - SKETCH.bit_length() + 1))
+    filled = np.diff(np.r_[at, len(s)]) > 0
+    codes = _mix(s[np.minimum(at, len(s) - 1)])
+    planes = np.array([filled, filled & (codes & np.uint64(1) > 0), filled & (codes & np.uint64(2) > 0)])
+    return np.packbits(planes, axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def _signed(documents: DataFrame, size: int) -> DataFrame:
@@ -125,7 +136,7 @@ def _signed(documents: DataFrame, size: int) -> DataFrame:
                     if len(s):
                         v = signature(s)
                         digest = (_mix(s ^ _ODD).sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(s + _ODD)))
-                        rows.append((uid, doc_id, text_key, len(s), *np.array(digest, np.uint64).view(np.int64).tolist(), sketch(v), bands(v)))
+                        rows.append((uid, doc_id, text_key, len(s), *np.array(digest, np.uint64).view(np.int64).tolist(), sketch(s), bands(v)))
                     else:
                         rows.append((uid, doc_id, text_key, 0, 0, 0, None, None))
                     uid += 1
@@ -136,17 +147,23 @@ def _signed(documents: DataFrame, size: int) -> DataFrame:
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches allow the similarity: sizes exactly, sketches up to five
-    standard deviations of the share of equal bins, which small sets make wide."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    equal = F.lit(BINS)
-    ones = F.lit(0x1111111111111111)
-    for k in range(BINS // 16):
-        x = F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        equal = equal - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(ones))
-    least = F.least(F.lit(percent / 100 - 0.16), percent / 100 - 5 * F.sqrt(0.36 / large))
-    return (100 * small >= percent * large) & (equal >= BINS * least)
+    """Whether sizes and sketches allow the similarity: sizes exactly, sketches up to five standard
+    deviations (and 0.01) of the estimate at the threshold.
+
+    Of the bins filled on either side, a share equal to the similarity has one
+    element on both; of the others that are filled on both sides a quarter agree
+    by chance.
+    """
+    held, both, agree, words = F.lit(0), F.lit(0), F.lit(0), SKETCH // 64
+    for k in range(words):
+        (f, v, w), (g, x, y) = ([F.get(f"{side}.sketch", F.lit(k + plane * words)) for plane in range(3)] for side in (a, b))
+        held, both = held + F.bit_count(f.bitwiseOR(g)), both + F.bit_count(f.bitwiseAND(g))
+        agree = agree + F.bit_count(f.bitwiseAND(g).bitwiseAND(F.bitwise_not(v.bitwiseXOR(x).bitwiseOR(w.bitwiseXOR(y)))))
+    t = percent / 100
+    union = (F.col(f"{a}.n") + F.col(f"{b}.n")) / (1 + t)
+    variance = t * (1 - t) / held * F.greatest(F.lit(0.02), 1 - held / union) + F.greatest(F.lit(0.0), both - t * held) / (3 * held * held)
+    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    return sizes & ((4 * agree - both) / 3 >= held * (t - 0.01 - 5 * F.sqrt(variance)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,16 +221,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _finer(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members (key, node, label) of buckets with many labels, dealt into finer buckets by each other band.
+    """(key, band, next, node, label): the members of large buckets dealt into finer ones by each later band.
 
-    Similar documents share one more band with nearly the same certainty as the first.
+    Similar documents share a second band with nearly the same certainty as the
+    first. `next` is that band's place, null where a bucket is as it was.
     """
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     sized = members.join(counts, "key")
-    few, many = sized.filter(F.col("members") <= LARGE_BUCKET), sized.filter(F.col("members") > LARGE_BUCKET)
-    cut = many.join(nodes.select("node", "bands"), "node").select("key", "node", "label", F.explode("bands").alias("band"))
-    cut = cut.filter("band <> key").select(F.xxhash64("key", "band").alias("key"), "node", "label")
-    return few.select("key", "node", "label").union(cut.select("key", "node", "label"))
+    few = sized.filter(F.col("members") <= LARGE_BUCKET).select("key", "band", F.lit(None).cast("int").alias("next"), "node", "label")
+    many = sized.filter(F.col("members") > LARGE_BUCKET).join(nodes.select("node", "bands"), "node")
+    cut = many.select("key", "band", "node", "label", F.posexplode("bands").alias("next", "second")).filter("next > band")
+    return few.union(cut.select(F.xxhash64("key", "second").alias("key"), "band", "next", "node", "label"))
+
+
+def _first_shared(x: str, y: str) -> Column:
+    """Whether a pair's bucket is that of the first band (and of the next one, in a finer bucket) that it shares,
+    so that a pair which shares several buckets is compared in one."""
+    same = F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: p == q)
+    first = F.array_position(same, F.lit(True)) - 1
+    second = F.array_position(F.slice(same, F.col(f"{x}.band") + 2, BANDS), F.lit(True)) + F.col(f"{x}.band")
+    return (first == F.col(f"{x}.band")) & F.coalesce(second == F.col(f"{x}.next"), F.lit(True))
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -234,7 +261,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     rows = stage(_signed(documents, size), "signatures")
     group = rows.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.min(F.struct("uid", "doc_id", "text_key", "n", "sketch", "bands")).alias("x"))
     classes = stage(group.select("set_a", "set_b", "low", F.col("x.uid").alias("node"), "x.doc_id", "x.text_key", "x.n", "x.sketch", "x.bands"), "classes")
-    every = classes.select(F.explode("bands").alias("key"), "node")
+    every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = stage(every.join(shared, "key", "left_semi"), "members")
     wanted = members.select("node").distinct()
@@ -247,21 +274,22 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     for turn in range(STAR_ROUNDS + 1):
         if labels is not None:
             moved = labels.select("node", F.col("root"))
-            members = members.select("key", "node").join(moved, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+            members = members.select("key", "band", "node").join(moved, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("label"))
         members = stage(_apart(members), "members")
         if members.isEmpty():
             break
         left, right = info.select("node", "n", "sketch").alias("l"), info.select("node", "n", "sketch").alias("r")
         if turn < STAR_ROUNDS:
-            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
+            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
             pairs = members.join(centre, "key").filter("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node")).filter(_alike("l", "r", percent)).select("a", "b")
         else:
-            full = _finer(members, info).join(info.select("node", "n", "sketch"), "node")
+            full = _finer(members, info).join(info, "node")
             x, y = full.alias("x"), full.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", percent))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            here = (F.col("x.key") == F.col("y.key")) & F.col("x.next").eqNullSafe(F.col("y.next"))
+            pairs = x.join(y, here & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", percent) & _first_shared("x", "y"))
+            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         good = stage(_confirmed(pairs, sets, percent), "links")
         edges = good if edges is None else edges.union(good)
         labels = stage(components(edges), "labels")
