@@ -1,9 +1,13 @@
 """Whole texts to token ids with the tokenizers library, word by word.
 
-Both vocabularies split a text before they merge, and the split after a break
-between white space and other characters doesn't depend on what stands before
-it. So a text may be cut there, each distinct piece encoded once, and the ids
-joined; the result equals encoding the text at once, which the tests check.
+Both vocabularies split a text before they merge, and the split doesn't depend
+on what stands before a cut between white space and other characters. So each
+distinct word is encoded once and the ids are joined; the result equals encoding
+the text at once, which the tests check.
+
+Latin-1 texts are split as the file's pre-tokenizer would and the library's model
+encodes each word. Other texts, whose letters depend on the Unicode version, are
+cut at white space only and the whole library encodes each piece.
 """
 
 from __future__ import annotations
@@ -14,16 +18,15 @@ from functools import lru_cache
 from struct import pack
 
 import numpy as np
-import regex
 
 #: Unicode White_Space as the library's regexes take it (Python's \s has more).
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = "\t-\r \x85\xa0  -     　"
 _KEEP_SPACE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
 _DROP_SPACE = re.compile(f"[^{_SPACE}]+").findall
 #: Fixed value: the pattern of byte-level BPE where the file asks for the library's own.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Below this all Unicode versions agree what is a letter or a number.
-_SETTLED = "\u0250"
+#: Letters, numbers and white space of Latin-1.
+_LATIN = {kind: "".join(re.escape(chr(c)) for c in range(256) if test(chr(c))) for kind, test in (("L", str.isalpha), ("N", lambda c: c.isnumeric()), ("S", lambda c: c.isspace() and not "\x1c" <= c <= "\x1f"))}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,38 +37,60 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def _latin_pattern(pattern: str) -> str:
+    """A pre-tokenizer's pattern with its Unicode classes spelled out for Latin-1 texts."""
+    inside = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\s", _LATIN["S"]).replace(r"\p{L}", _LATIN["L"]).replace(r"\p{N}", _LATIN["N"]), pattern)
+    return inside.replace(r"\p{L}", f"[{_LATIN['L']}]").replace(r"\p{N}", f"[{_LATIN['N']}]").replace(r"\s", f"[{_LATIN['S']}]").replace(r"\S", f"[^{_LATIN['S']}]")
+
+
+class _Known(dict):
+    """Ids of words, found when first asked for."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.find(word)
+        return ids
+
+
 class Encoder:
     """encode(texts) gives the ids of each as little-endian unsigned 32-bit bytes.
 
-    At most `remember` pieces are kept from one text to the next, so memory is
-    bounded by that and by the distinct pieces of one text.
+    At most `remember` words are kept from one text to the next, so memory is
+    bounded by that and by the distinct words of one text.
     """
 
-    def __init__(self, path: str, remember: int = 300_000) -> None:
+    def __init__(self, path: str, remember: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.remember = remember
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
+        self.known, self.words = _Known(self._whole), _Known(self._word)
         self.pieces = _KEEP_SPACE if self._ids(" ") else _DROP_SPACE
-        self.split = self._splitter(json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {})
+        made = json.loads(self.tokenizer.to_str())
+        forms = made["normalizer"] or {"normalizers": []}
+        forms = [f["type"] for f in forms.get("normalizers", [forms])]
+        self.lowers = "Lowercase" in forms
+        self.split = self._splitter(made["pre_tokenizer"] or {}) if {*forms} <= {"NFC", "Replace", "Lowercase"} else None
         # A file made some other way may fit neither form of cutting; then texts are encoded at once.
-        probe = "It's a1 b\n\nc  d,e \t x y  \n \xe9́Z's 12ab!? "
-        self.cuts = b"".join(map(self._whole, self.pieces(probe))) == self._whole(probe)
-        if self.split and any(self._parts(p) != self._whole(p) for p in [*self.pieces(probe), "Gro\xdf,", " d'\xc9t\xe9!!1"]):
+        probe = "It's a1 b\n\nc  d,e \t x y\xa0 \n \xe9\xdf\xc9Z's 12ab!? don't\x1f \x85 \xbd\xb2x"
+        self.cuts = b"".join(map(self._whole, self.pieces(probe + "é"))) == self._whole(probe + "é")
+        if self.split and self._latin(probe) != self._whole(probe):
             self.split = None
+        self.known.clear()
+        self.words.clear()
 
     @staticmethod
     def _splitter(how: dict):
         parts = how.get("pretokenizers", [how])
         if [p.get("type") for p in parts] == ["ByteLevel"] and parts[0].get("use_regex") and not parts[0].get("add_prefix_space"):
-            return regex.compile(_BYTE_LEVEL).findall
+            return re.compile(_latin_pattern(_BYTE_LEVEL)).findall
         if [p.get("type") for p in parts] == ["Split", "ByteLevel"] and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and not parts[1].get("use_regex"):
-            return regex.compile(parts[0]["pattern"].get("Regex", "")).findall
+            return re.compile(_latin_pattern(parts[0]["pattern"].get("Regex", ""))).findall
         return None
 
     def _ids(self, text: str) -> list[int]:
@@ -74,33 +99,37 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        found = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        return pack(f"<{len(found)}I", *found)
+
+    def _latin(self, text: str) -> bytes:
+        """Of Latin-1 characters, all normal forms are the same but for case."""
+        return b"".join(map(self.words.__getitem__, self.split(text.lower() if self.lowers else text)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [self._whole(t) for t in texts]
         out = []
         for text in texts:
-            pieces = self.pieces(text)
-            if len(self.known) > self.remember:
-                self.known.clear()
-            if len(self.words) > self.remember:
-                self.words.clear()
-            for p in set(pieces).difference(self.known):
-                self.known[p] = self._parts(p) if self.split and max(p) < _SETTLED else self._whole(p)
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
+            if self.split and _is_latin(text):
+                out.append(self._latin(text))
+            else:
+                out.append(b"".join(map(self.known.__getitem__, self.pieces(text))))
+            for memo in (self.known, self.words):
+                if len(memo) > self.remember:
+                    memo.clear()
         return out
 
-    def _parts(self, piece: str) -> bytes:
-        """As _whole, by the library's model on each part that its pre-tokenizer would make."""
-        text = self.normalizer.normalize_str(piece) if self.normalizer else piece
-        out = []
-        for word in self.split(text):
-            ids = self.words.get(word)
-            if ids is None:
-                spelled = word.encode().decode("latin-1").translate(self.letters)
-                found = [t.id for t in self.model.tokenize(spelled)]
-                ids = self.words[word] = pack(f"<{len(found)}I", *found)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
