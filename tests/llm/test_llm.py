@@ -211,6 +211,26 @@ def test_quality(spark, docs, empty):
     assert all(kept[k] for k in range(40)) and kept[200] and not any(kept[100 + k] for k in range(4))
 
 
+@pytest.mark.parametrize("host_size", [0, 100, 400])
+def test_line_limit_is_alike_at_every_host_size(spark, host_size):
+    words = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    at, over = words("at", 55), words("over", 55)
+    rows = [(k, words(k), "h") for k in range(host_size)] + [(900, "short " * 60 + "\n" + over, "h")]  # fails the base, so it isn't the one that keeps the line
+    for first, line, n in ((1000, at, quality.MIN_DOCS), (2000, over, quality.MIN_DOCS)):  # with 900: one above the limit
+        rows += [(first + k, line + f"\nend{k}", "h") for k in range(n)]
+    rows += [(3000, at + "\nend0", "h"), (3001, at + "\nend9", "other")]  # an equal text, another host
+    brute, judged = collections.defaultdict(set), quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for _, t, s in rows:
+        for line in t.split("\n"):
+            brute[s, line].add(t)
+    got = {x["doc_id"]: (x["base_failed"], x["kept"], x["n_removed_words"]) for x in judged}
+    for i, t, s in rows:
+        shared = [line for line in t.split("\n") if len(brute[s, line]) > quality.MIN_DOCS]
+        gone = 0 if i == 2000 else sum(len(line.split()) for line in shared)
+        assert got[i] == (i == 900, i != 900 and not gone, gone)
+    assert {i for i in got if not got[i][1]} == {900, *range(2001, 2000 + quality.MIN_DOCS)}
+
+
 def test_secrets(docs, empty):
     found = collections.Counter()
     rules = [re.compile(p, re.A) for p in (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")]

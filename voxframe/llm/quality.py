@@ -1,11 +1,11 @@
 """Quality rules: word and line statistics, and lines that many documents of a host share.
 
 A host is a value of `source`. Lines are normalised (lower case, one space
-between words) and hashed; a line is above the limits if it stands in more than
-`min_docs` distinct texts of its host and in more than `max_share` of them.
-Equal texts count as one. Such lines are removed from all documents of the host
-but the first that has them, so no passage is lost from the corpus altogether,
-and a document of which too little remains is rejected as depleted.
+between words) and hashed; a line is above the limit if it stands in more than
+`min_docs` distinct texts of its host, however many the host has. Equal texts
+count as one. Such lines count as removed from all documents of the host but the
+first that passes the base rules, and a document of which too little remains is
+rejected as depleted.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import need, stage
 
 _SYMBOLS, _SPACE = b"#*$%&|<>", " \t\n\v\f\r"
-MIN_DOCS, MAX_SHARE = 20, 0.10
+#: More distinct texts of a host share a line that is above the limit; a share of the host would let its lines pass in large hosts.
+MIN_DOCS = 5
 #: Depleted: fewer words than this remain, or fewer than so many hundredths.
 LEFT_WORDS, LEFT_PERCENT = 20, 30
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -88,7 +89,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """Statistics and verdict of every row: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words (and host, text_key).
 
@@ -96,17 +97,15 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     Rows with equal doc_id are judged each by itself. An empty table gives no rows.
     """
     found = stage(measured(docs), "lines")
-    every = found.select("uid", "doc_id", "host", "text_key", F.explode("lines").alias("line")).select("uid", "doc_id", "host", "text_key", "line.h", "line.n")
-    # One row for each text first: the hot lines, hosts and copies are then only counted, which starts within the tasks.
-    texts = every.groupBy("host", "h", "text_key").agg(F.min("doc_id").alias("doc_id"))
-    lines = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
-    hosts = found.groupBy("host", "text_key").count().groupBy("host").agg(F.count(F.lit(1)).alias("all_docs"))
-    above = lines.filter(F.col("docs") > min_docs).join(hosts, "host").filter(F.col("docs") > max_share * F.col("all_docs"))
-    above = above.select("host", "h", F.col("first.text_key").alias("owner"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    every = found.select("uid", "doc_id", "host", "text_key", failed.alias("base_failed"), F.explode("lines").alias("line")).select("uid", "doc_id", "host", "text_key", "base_failed", "line.h", "line.n")
+    # One row for each text first: the hot lines and copies are then only counted, which starts within the tasks.
+    texts = every.groupBy("host", "h", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("base_failed").alias("base_failed"))
+    lines = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("base_failed", F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    above = lines.filter(F.col("docs") > min_docs).select("host", "h", F.col("first.text_key").alias("owner"))
     removed = every.join(above, ["host", "h"]).filter("text_key <> owner").groupBy("uid").agg(F.sum("n").alias("n_removed_words"))
     base = found.drop("lines").join(removed, "uid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     depleted = (F.col("n_removed_words") > 0) & ((left < left_words) | (100 * left < left_percent * F.col("n_words")))
     return base.select("doc_id", *_STATS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words", "host", "text_key")
 
