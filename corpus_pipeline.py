@@ -15,7 +15,7 @@ from voxframe.llm.common import read_documents, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of lines of their own; the others go."""
+    """Documents that pass the base rules and aren't depleted of lines of their own, without the lines that many share; the others go."""
     return quality.filter_documents(docs)
 
 

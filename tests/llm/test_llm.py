@@ -231,6 +231,29 @@ def test_line_limit_is_alike_at_every_host_size(spark, host_size):
     assert {i for i in got if not got[i][1]} == {900, *range(2001, 2000 + quality.MIN_DOCS)}
 
 
+def test_filtered_texts_lose_the_lines_above_the_limit(spark, empty):
+    words = lambda k, n=60: " ".join(f"w{k}x{j}" for j in range(n))
+    one, two = "Shared  line é one", words("two", 130)
+    rows = [(50, one + "\n" + two, "h")]  # owns the first line by its id, and is depleted of the second
+    rows += [(k, words(k) + "\n\n" + two + "\n tail", None if k == 0 else "h") for k in range(8)]
+    rows += [(100 + k, one.upper() if k == 3 else words(k + 100) + "\n" + one.lower() + "\nend", "h") for k in range(8)]
+    rows += [rows[-1], (None, words(999) + "\n" + one, "h"), (101, words(998), "h")]
+    rows = [(i, t, s, len(t), 1) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, drop int")
+    got = quality.filter_documents(docs)
+    assert got.columns == docs.columns
+    want = collections.Counter()
+    for i, t, s, _, x in rows:
+        if i == 50 or t == one.upper():
+            continue
+        cut = set() if i in (0, 1) else {two, " tail"}
+        cut |= set() if i == 100 else {one.lower(), one, "end"}
+        clean = "\n".join(line for line in t.split("\n") if line not in cut)
+        want[i, clean, s, len(clean), x] += 1
+    assert collections.Counter(map(tuple, got.collect())) == want
+    assert quality.filter_documents(empty).count() == 0
+
+
 def test_secrets(docs, empty):
     found = collections.Counter()
     rules = [re.compile(p, re.A) for p in (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")]

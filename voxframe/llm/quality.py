@@ -5,7 +5,7 @@ between words) and hashed; a line is above the limit if it stands in more than
 `min_docs` distinct texts of its host, however many the host has. Equal texts
 count as one. Such lines count as removed from all documents of the host but the
 first that passes the base rules, and a document of which too little remains is
-rejected as depleted.
+rejected as depleted. filter_documents() removes the lines from the texts that stay.
 """
 
 from __future__ import annotations
@@ -44,6 +44,10 @@ def repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def _line_hash(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
 def measure(text: str) -> tuple[int, int, int, int, int, dict[int, int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the words of each normalised line by its hash.
 
@@ -55,12 +59,18 @@ def measure(text: str) -> tuple[int, int, int, int, int, dict[int, int]]:
         if own := line.lower().split():
             dup += line in seen
             seen.add(line)
-            h = xxhash.xxh3_64_intdigest(b" ".join(own)) - (1 << 63)
+            h = _line_hash(own)
             lines[h] = lines.get(h, 0) + len(own)
     chars = len(text) - sum(map(text.count, _SPACE))
     return len(words), chars, sum(map(data.count, _SYMBOLS)), dup, repeat_words(words), lines
 
 
+def without_lines(text: str, drop: set[int]) -> str:
+    """The text without the lines of these hashes."""
+    lines = text.encode().split(b"\n")
+    return b"\n".join(x for x in lines if not (own := x.lower().split()) or _line_hash(own) not in drop).decode()
+
+
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -96,6 +106,11 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WORD
     A null text has no words and fails. A null source is a host of its own.
     Rows with equal doc_id are judged each by itself. An empty table gives no rows.
     """
+    return _judged(docs, min_docs, left_words, left_percent)[0].drop("uid")
+
+
+def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """judge() with uid, and the lines above the limit: uid, doc_id, host, text_key, h, n, owner."""
     found = stage(measured(docs), "lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     every = found.select("uid", "doc_id", "host", "text_key", failed.alias("base_failed"), F.explode("lines").alias("line")).select("uid", "doc_id", "host", "text_key", "base_failed", "line.h", "line.n")
@@ -103,15 +118,39 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WORD
     texts = every.groupBy("host", "h", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("base_failed").alias("base_failed"))
     lines = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("base_failed", F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
     above = lines.filter(F.col("docs") > min_docs).select("host", "h", F.col("first.text_key").alias("owner"))
-    removed = every.join(above, ["host", "h"]).filter("text_key <> owner").groupBy("uid").agg(F.sum("n").alias("n_removed_words"))
+    shared = stage(every.join(above, ["host", "h"]).select("uid", "doc_id", "host", "text_key", "h", "n", "owner"), "shared")
+    removed = shared.filter("text_key <> owner").groupBy("uid").agg(F.sum("n").alias("n_removed_words"))
     base = found.drop("lines").join(removed, "uid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < left_words) | (100 * left < left_percent * F.col("n_words")))
-    return base.select("doc_id", *_STATS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words", "host", "text_key")
+    return base.select("doc_id", *_STATS, failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed_words", "host", "text_key", "uid"), shared
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows that judge() keeps, all columns as they were."""
-    verdict = judge(docs, **limits).filter("kept").select(*[F.col(c).alias(f"_kept_{c}") for c in ("doc_id", "host", "text_key")])
+    """The rows that judge() keeps without their lines above the limit; n_chars follows, other columns as they were.
+
+    Of the kept documents of a host, the first that has such a line keeps it, and so do its equal texts.
+    """
+    verdict, shared = _judged(docs, **limits)
+    verdict = stage(verdict.filter("kept").select("uid", "doc_id", "host", "text_key"), "verdict")
+    of_kept = shared.join(verdict.select("uid"), "uid", "left_semi").select("doc_id", "host", "text_key", "h")
+    # The owner may have been depleted of its other lines: then the next kept one has the line.
+    owner = of_kept.groupBy("host", "h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")).select("host", "h", F.col("first.text_key").alias("owner"))
+    drop = of_kept.join(owner, ["host", "h"]).filter("text_key <> owner").groupBy("doc_id", "host", "text_key").agg(F.collect_set("h").alias("drop"))
+    names = ("doc_id", "host", "text_key")
+    d = drop.select(*[F.col(c).alias(f"_d_{c}") for c in names], "drop")
+    same = F.col("doc_id").eqNullSafe(F.col("_d_doc_id")) & (F.col("host") == F.col("_d_host")) & (F.col("text_key") == F.col("_d_text_key"))
+    # Rows with equal id, host and text have the same verdict.
+    kept = verdict.select(*names).distinct().join(d, same, "left").select(*[F.col(c).alias(f"_kept_{c}") for c in names], F.col("drop").alias("_kept_drop"))
+
+    @F.pandas_udf("string")
+    def cleaned(text: pd.Series, drop: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else without_lines(t, set(x.tolist())) for t, x in zip(text, drop, strict=True)], dtype=object)
+
     same = F.col("`doc_id`").eqNullSafe(F.col("_kept_doc_id")) & (_host() == F.col("_kept_host")) & (F.xxhash64(F.col("`text`")) == F.col("_kept_text_key"))
-    return docs.join(verdict, same, "left_semi")
+    joined = docs.join(kept, same)
+    # Texts that stay whole don't go through Python.
+    joined = joined.withColumn("_kept_text", cleaned(F.when(F.col("_kept_drop").isNotNull(), F.col("`text`")), F.col("_kept_drop")))
+    changed = F.col("_kept_drop").isNotNull()
+    new = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text")}
+    return joined.select(*[F.when(changed, new[f.name].cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in new else F.col(f"`{f.name}`") for f in docs.schema])
