@@ -141,6 +141,18 @@ def test_near_duplicates(docs, empty):
     assert kept.columns == docs.columns and kept.filter(F.col("text") == BASE[0]).count() == 1
 
 
+def test_deduplicated_with_null_and_repeated_ids(spark):
+    texts = BASE[:6] + [BASE[0] + " tail", BASE[1] + " tail", BASE[2] + " tail"]
+    ids = [None, None, None, 5, 5, 5, None, None, 5]  # unlike rows share an id; each pair of near copies is null and null, or null and 5
+    rows = list(zip(ids, texts, strict=True)) + [(None, ""), (5, None)]
+    got = sorted(x["text"] or "" for x in neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    groups = [[(ids[j], texts[j]) for j in (k, 6 + k) if j < 9] for k in range(6)]
+    assert len(got) == 8 and got[:2] == ["", ""]
+    for g in groups:
+        low = min((i for i, _ in g if i is not None), default=None)
+        assert sum(t in got for _, t in g) == 1 and any(t in got for i, t in g if i == low)
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     universe = rng.integers(0, 2**63, 1100, dtype=np.uint64) * np.uint64(2)

@@ -250,12 +250,13 @@ def _apart(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (and text_key, uid) of every row.
+    """doc_id, n_shingles, component_id, kept (and text_key, uid, root) of every row.
 
     component_id is the smallest doc_id that can be reached by links; kept says
     whether it is the row's own. Documents without words are linked with
     nothing. A null doc_id has no say in component_id, which is null only if
-    all of a component are. Rows with equal doc_id are documents of their own
+    all of a component are; so it doesn't name a component, but root does (null
+    without words). Rows with equal doc_id are documents of their own
     that share a number. An empty table gives no rows.
     """
     rows = stage(_signed(documents, size), "signatures")
@@ -295,15 +296,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         labels = stage(components(edges), "labels")
 
     if labels is None:
-        of_class = classes.select("set_a", "set_b", F.col("low").alias("component_id"))
+        of_class = classes.select("set_a", "set_b", F.col("low").alias("component_id"), F.col("node").alias("root"))
     else:
         named = classes.select("set_a", "set_b", "low", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-        of_class = named.join(lowest, "root").select("set_a", "set_b", "component_id")
-    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key", "uid")
-    full = rows.filter("n > 0").join(of_class, ["set_a", "set_b"]).select("doc_id", "n", "component_id", "text_key", "uid")
+        of_class = named.join(lowest, "root").select("set_a", "set_b", "component_id", "root")
+    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key", "uid", F.lit(None).cast("long").alias("root"))
+    full = rows.filter("n > 0").join(of_class, ["set_a", "set_b"]).select("doc_id", "n", "component_id", "text_key", "uid", "root")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "text_key", "uid")
+    return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "text_key", "uid", "root")
 
 
 def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -315,8 +316,8 @@ def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> Data
     found = near_duplicates(documents, size, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     alone = F.when(F.col("n_shingles") == 0, F.col("uid"))
-    copies = found.groupBy("component_id", alone.alias("alone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("c"))
-    first = stage(copies.groupBy("component_id", "alone").agg(F.min(order).alias("k"), F.max("c").alias("c")), "kept")
+    copies = found.groupBy("root", alone.alias("alone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("c"))
+    first = stage(copies.groupBy("root", "alone").agg(F.min(order).alias("k"), F.max("c").alias("c")), "kept")
     keys = first.select(F.col("k.doc_id").alias("_first_id"), F.col("k.text_key").alias("_first_key")).distinct()
     marked = documents.withColumn("_first_text", F.xxhash64(F.col("`text`")))
     same = F.col("`doc_id`").eqNullSafe(F.col("_first_id")) & (F.col("_first_text") == F.col("_first_key"))
