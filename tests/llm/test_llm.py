@@ -49,7 +49,6 @@ def pairs(docs):
 @pytest.mark.parametrize("path", [BYTE, WORDS])
 def test_encoding_by_words_equals_the_library(path):
     plain, own = Tokenizer.from_file(path), encode.Encoder(path, remember=50)
-    plain.encode_special_tokens = True
     texts = [t or "" for t in TEXTS]
     assert own.cuts and own.split
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
@@ -69,7 +68,6 @@ def test_token_file_round_trip(planes):
 
 def test_token_output(docs, empty):
     plain, at, want = Tokenizer.from_file(BYTE), 0, []
-    plain.encode_special_tokens = True
     for i, t in sorted(pairs(docs), key=lambda p: (p[0] is not None, p[0] or 0, p[1].encode())):
         ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
@@ -82,7 +80,6 @@ def test_token_output(docs, empty):
 def test_packing(docs, empty):
     rows = packing.pack(docs, WORDS, 1, 64).collect()
     plain = Tokenizer.from_file(WORDS)
-    plain.encode_special_tokens = True
     want = collections.Counter()
     for i, t in pairs(docs):
         ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")

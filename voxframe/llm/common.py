@@ -49,7 +49,22 @@ def partitions(spark: SparkSession) -> int:
 def need(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns by their exact names, so that other columns, whose
     names may clash with the operator's own, take no part."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return df.select(*[quoted(n) for n in names])
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as the fields of one column `row`, so that no name of the operator's own can clash with theirs."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of packed() again, those in `changed` anew."""
+    return df.select(*[(changed or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def utf8(text: Column) -> Column:

@@ -7,7 +7,9 @@ the text at once, which the tests check.
 
 Latin-1 texts are split as the file's pre-tokenizer would and the library's model
 encodes each word. Other texts, whose letters depend on the Unicode version, are
-cut at white space only and the whole library encodes each piece.
+cut at white space only and the whole library encodes each piece. Texts that
+hold one of the file's added tokens, such as an end mark, go through the library
+at once, which gives that token's own id.
 """
 
 from __future__ import annotations
@@ -66,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
         self.remember = remember
         self.letters, self.tokenize = _byte_letters(), self.tokenizer.model.tokenize
         self.known, self.words = _Known(self._whole), _Known(self._word)
@@ -112,7 +115,9 @@ class Encoder:
             return [self._whole(t) for t in texts]
         out = []
         for text in texts:
-            if self.split and _is_latin(text):
+            if any(map(text.__contains__, self.added)):
+                out.append(self._whole(text))
+            elif self.split and _is_latin(text):
                 out.append(self._latin(text))
             else:
                 out.append(b"".join(map(self.known.__getitem__, self.pieces(text))))

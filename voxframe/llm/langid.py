@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import need
 
 DIM = 4096
-#: The classifier is fitted on about this many labelled documents of each language, chosen by a hash of doc_id.
-SAMPLE_PER_LANGUAGE = 1000
+#: The classifier is fitted on about this many distinct labelled documents of each language, chosen by a hash of id and text,
+#: and on fewer of each where there are so many languages that TOTAL_SAMPLE would be exceeded.
+SAMPLE_PER_LANGUAGE, TOTAL_SAMPLE = 1000, 20_000
+#: More languages are refused: the centroids of all go to every task.
 MAX_LANGUAGES = 1000
 CENTROIDS = 4
 #: Rejected: farther from the nearest centroid than all but this share of its language's training texts.
@@ -37,22 +39,28 @@ def _letters() -> np.ndarray:
 
 
 def counts(text: str) -> np.ndarray | None:
-    """How often each hashed n-gram occurs in the whole text; None without any letter."""
-    out, any_letter = np.zeros(DIM, np.int64), False
-    for at in range(0, max(1, len(text)), _PIECE):
-        part = text[max(0, at - 2) : at + _PIECE].lower()
-        c = _letters()[np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+    """How often each hashed n-gram occurs in the whole text; None without any letter.
+
+    The text goes by in pieces, each after the last two characters of what came
+    before, so memory is bounded and no n-gram is lost or counted twice.
+    """
+    out, any_letter, low = np.zeros(DIM, np.int64), False, text.lower()
+    tail = np.array([32], np.uint32)
+    for at in range(0, len(low) + 1, _PIECE):
+        part = low[at : at + _PIECE] + " " * (at + _PIECE > len(low))
+        c = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")]
         apart = c == 32
-        any_letter |= not apart.all()
-        c = c[~(apart & np.r_[False, apart[:-1]])]  # one space between words
-        h = c * np.uint32(0x9E3779B1)
-        grams = [h[c != 32]]
-        if len(c) > 1:
-            grams.append((h[:-1] ^ c[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D))
-        if len(c) > 2:
-            grams.append(((h[:-2] ^ c[1:-1] * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) ^ c[2:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D))
+        c = c[~(apart & np.r_[tail[-1] == 32, apart[:-1]])]  # one space between words
+        any_letter |= bool((c != 32).any())
+        s, k = np.concatenate([tail, c]), len(tail)
+        h = s * np.uint32(0x9E3779B1)
+        grams = [h[k:][c != 32], (h[k - 1 : -1] ^ s[k:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)]
+        k = max(k, 2)
+        if len(s) > k:
+            grams.append(((h[k - 2 : -2] ^ s[k - 1 : -1] * np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) ^ s[k:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D))
         for g in grams:
             out += np.bincount(g >> np.uint32(20), minlength=DIM)
+        tail = s[-2:]
     return out if any_letter else None
 
 
@@ -96,28 +104,33 @@ def fit(languages: list[str], tf: np.ndarray, centroids: int = CENTROIDS, reject
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on the rows (doc_id, text, lang), about `sample` of each language."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    known = [tuple(r) for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
+    """Fit on the rows (doc_id, text, lang), about `sample` distinct ones of each language and one at least.
+
+    Rows that repeat id and text count once. More than MAX_LANGUAGES languages are refused.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", place.alias("place"))
+    sizes = rows.select("lang", "place").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"))
+    known = [tuple(r) for r in sizes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(known) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not known:
         return fit([], np.zeros((0, DIM)))
-    share = F.create_map(*[F.lit(x) for lang, n in known for x in (lang, min(1.0, sample / n))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(place < share[F.col("lang")])
+    sample = max(1, min(sample, TOTAL_SAMPLE // len(known)))
+    below = F.create_map(*[F.lit(x) for lang, n, least in known for x in (lang, max(least, int(min(1.0, sample / n) * (1 << 62))))])
+    chosen = rows.filter(F.col("place") <= below[F.col("lang")]).groupBy("lang", "place").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(i, lang, t) for i, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"], strict=True) if (t := counts(text)) is not None]
-            yield pd.DataFrame([(i, lang, np.flatnonzero(t).astype("<i2").tobytes(), t[t > 0].astype("<i4").tobytes()) for i, lang, t in found], columns=["doc_id", "lang", "at", "n"])
+            found = [(lang, i, t) for lang, i, text in zip(pdf["lang"], pdf["place"], pdf["text"], strict=True) if (t := counts(text)) is not None]
+            yield pd.DataFrame([(lang, i, np.flatnonzero(t).astype("<i2").tobytes(), t[t > 0].astype("<i4").tobytes()) for lang, i, t in found], columns=["lang", "place", "at", "n"])
 
-    made = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "lang", "text").mapInPandas(count, "doc_id long, lang string, at binary, n binary")
-    got = sorted(map(tuple, made.limit(2 * sample * len(known)).collect()))  # bounded by `sample` and the languages
+    made = chosen.mapInPandas(count, "lang string, place long, at binary, n binary")
+    got = sorted(map(tuple, made.collect()))  # about TOTAL_SAMPLE at most, as chosen above
     tf = np.zeros((len(got), DIM), np.int32)
     for row, (_, _, at, n) in zip(tf, got, strict=True):
         row[np.frombuffer(at, "<i2")] = np.frombuffer(n, "<i4")
-    return fit([lang for _, lang, _, _ in got], tf)
+    return fit([lang for lang, *_ in got], tf)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
