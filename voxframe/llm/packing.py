@@ -3,17 +3,19 @@
 Best fit decreasing depends on lengths only, and there are at most `capacity` of
 them, so the plan is made from the histogram of lengths: a segment tree over
 remaining capacities finds the tightest open bin, and equal pieces that go to
-equal bins are placed in one step. The plan maps (length, rank among the pieces
-of that length) to a sequence and an offset, and executors look it up. No task
-ever holds all pieces, and the result is what a plain best fit decreasing over
-all of them would give.
+equal bins are placed in one step. The plan is a table of steps (length, ranks
+among the pieces of that length, sequence, offset), and each piece meets its step
+by a join on its length and block of ranks. No task ever holds all pieces, and
+the result is what a plain best fit decreasing over all of them would give.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -57,14 +59,18 @@ class TightestFit:
         return None
 
 
-def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), sorted: pieces of that length
+#: Ranks of a length that are joined with their steps by one key.
+RANKS = 512
+
+
+def plan(histogram: dict[int, int], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Steps (length, first rank, ranks, first sequence, offset): pieces of that length
     from that rank on go to consecutive sequences at that offset.
 
     A remaining capacity is left at most once for each length, so there are at
     most capacity**2 / 2 steps however many pieces there are.
     """
-    tree, rooms, made, steps = TightestFit(capacity), {}, 0, []
+    tree, rooms, made = TightestFit(capacity), {}, 0
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
         while left:
@@ -76,7 +82,7 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
                     if not bins or not fill:
                         continue
                     for k in range(fill):
-                        steps.append((length, rank, made, k * length))
+                        yield length, rank, bins, made, k * length
                         rank += bins
                     _put(tree, rooms, capacity - fill * length, made, bins)
                     made += bins
@@ -88,10 +94,9 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
                 bins.appendleft((first + take, count - take))
             elif not bins:
                 tree.mark(room, False)
-            steps.append((length, rank, first, capacity - room))
+            yield length, rank, take, first, capacity - room
             rank, left = rank + take, left - take
             _put(tree, rooms, room - length, first, take)
-    return np.array(sorted(steps), "i8").reshape(-1, 4)
 
 
 def _put(tree: TightestFit, rooms: dict[int, deque], room: int, first: int, count: int) -> None:
@@ -131,29 +136,34 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def planned(lengths: DataFrame, capacity: int) -> DataFrame:
+    """The steps (length, at, ranks, first, offset) for a table (length, n) of at most `capacity` rows, made by one task as they come."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        histogram: dict[int, int] = {}
+        for pdf in batches:
+            histogram |= dict(zip(pdf["length"].tolist(), pdf["n"].tolist(), strict=True))
+        steps = plan(histogram, capacity)
+        while some := array("q", [x for step in islice(steps, 50_000) for x in step]):
+            yield pd.DataFrame(np.frombuffer(some, "i8").reshape(-1, 5), columns=["length", "at", "ranks", "first", "offset"])
+
+    return lengths.coalesce(1).mapInPandas(run, "length long, at long, ranks long, first long, offset long")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
-    A null text counts as empty and is one piece, the end id. Rows with the same
+    A null text counts as empty and is one piece, the end id. A text of any
+    length is encoded whole and cut into pieces of `capacity`. Rows with the same
     doc_id are packed each by itself; null doc_ids stay null. An empty table
-    gives no rows.
+    gives no rows; other columns take no part.
     """
-    spark = docs.sparkSession
     made = stage(pieces(docs, tokenizer_path, end_id, capacity), "pieces")
     counts = stage(made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    steps = plan(histogram, capacity)
-    # One sorted key for both columns: a rank is below 2**44.
-    sent = spark.sparkContext.broadcast((steps[:, 0] << 44 | steps[:, 1], steps[:, 1:].copy()))
-
+    steps = stage(planned(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity), "steps")
     before = counts.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
     ranked = made.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        keys, rows = sent.value
-        at = np.searchsorted(keys, length.to_numpy() << 44 | rank.to_numpy(), "right") - 1
-        return pd.DataFrame({"sequence_id": rows[at, 1] + rank.to_numpy() - rows[at, 0], "offset": rows[at, 2]})
-
-    placed = ranked.withColumn("at", place("length", "rank"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
+    ranked = ranked.withColumn("block", F.expr(f"rank div {RANKS}"))
+    blocks = steps.withColumn("block", F.explode(F.sequence(F.expr(f"at div {RANKS}"), F.expr(f"(at + ranks - 1) div {RANKS}"))))
+    placed = ranked.join(blocks, ["length", "block"]).filter("rank >= at AND rank < at + ranks")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("at")).alias("sequence_id"), "offset")

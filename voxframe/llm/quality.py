@@ -2,10 +2,11 @@
 
 A host is a value of `source`. Lines are normalised (lower case, one space
 between words) and hashed; a line is above the limit if it stands in more than
-`min_docs` distinct texts of its host, however many the host has. Equal texts
-count as one. Such lines count as removed from all documents of the host but the
-first that passes the base rules, and a document of which too little remains is
-rejected as depleted. filter_documents() removes the lines from the texts that stay.
+`max_docs` documents of its host, however many the host has. Such lines are
+removed from all documents of the host but one, the first that passes the base
+rules, so that what is copied is thinned out and not lost. A document of which
+too little remains, by the base rule's own least number of words, is rejected as
+depleted. filter_documents() removes the lines from the texts that stay.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, stage
+from .common import need, packed, stage, unpacked
 
 _SYMBOLS, _SPACE = b"#*$%&|<>", " \t\n\v\f\r"
-#: More distinct texts of a host share a line that is above the limit; a share of the host would let its lines pass in large hosts.
-MIN_DOCS = 5
+#: A line in more documents of a host is above the limit. A share of the host instead would let its lines pass in large hosts.
+MAX_DOCS = 1
 #: Depleted: fewer words than this remain, or fewer than so many hundredths.
-LEFT_WORDS, LEFT_PERCENT = 20, 30
+LEFT_WORDS, LEFT_PERCENT = 50, 30
+#: A line that makes up more than this share of all lines of documents is met by broadcast; fewer than 1 / HOT_SHARE can.
+HOT_SHARE = 0.001
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 
@@ -74,52 +76,72 @@ def without_lines(text: str, drop: set[int]) -> str:
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _host() -> Column:
+def _host(source: Column) -> Column:
     """A null source is a host of its own, apart from any text."""
-    return F.when(F.col("`source`").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("`source`")))
+    return F.when(source.isNull(), "-").otherwise(F.concat(F.lit("="), source))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The statistics and line hashes of every row, with a number `uid` of its own."""
+def measured(rows: DataFrame) -> DataFrame:
+    """The statistics and line hashes of every row (uid, doc_id, text, source)."""
     schema = "uid long, doc_id string, host string, text_key long, " + ", ".join(f"{s} long" for s in _STATS) + ", lines array<struct<h: long, n: int>>"
     names = [c.split()[0] for c in schema.replace("array<struct<h: long, n: int>>", "array").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        uid = TaskContext.get().partitionId() << 33
         for pdf in batches:
             for k in range(0, len(pdf), 512):
-                rows = []
-                for doc_id, host, text_key, text in zip(*(pdf[c].iloc[k : k + 512] for c in ("doc_id", "host", "text_key", "text")), strict=True):
+                out = []
+                for uid, doc_id, host, text_key, text in zip(*(pdf[c].iloc[k : k + 512] for c in ("uid", "doc_id", "host", "text_key", "text")), strict=True):
                     *stats, lines = measure(text)
-                    rows.append((uid, doc_id, host, text_key, *stats, [{"h": h, "n": n} for h, n in lines.items()]))
-                    uid += 1
-                yield pd.DataFrame(rows, columns=names)
+                    out.append((uid, doc_id, host, text_key, *stats, [{"h": h, "n": n} for h, n in lines.items()]))
+                yield pd.DataFrame(out, columns=names)
 
-    rows = need(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("string").alias("doc_id"), _host().alias("host"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    made = rows.select("uid", F.col("doc_id").cast("string").alias("doc_id"), _host(F.col("source")).alias("host"), F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    return made.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def _order() -> list[Column]:
+    """The order of a host's documents; rows that repeat each other follow in any order, which no result shows."""
+    return [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("uid")]
+
+
+def _met(every: DataFrame, above: DataFrame, total: int) -> DataFrame:
+    """The rows of `every` whose (host, h) is among `above` (host, h, docs, owner), with `owner`.
+
+    Lines that are common in the whole table are broadcast, fewer than
+    1 / HOT_SHARE of them; no key of the join that is left has more than that
+    share of the rows.
+    """
+    hot = F.col("docs") > total * HOT_SHARE
+    marked = every.join(F.broadcast(above.filter(hot).drop("docs")), ["host", "h"], "left")
+    rest = marked.filter("owner IS NULL").drop("owner").join(above.filter(~hot).drop("docs"), ["host", "h"])
+    return marked.filter("owner IS NOT NULL").unionByName(rest)
+
+
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """Statistics and verdict of every row: doc_id, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words (and host, text_key).
+    n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words (and host).
 
     A null text has no words and fails. A null source is a host of its own.
-    Rows with equal doc_id are judged each by itself. An empty table gives no rows.
+    Each row is a document: rows with equal doc_id are counted and judged each
+    by itself, and so are those that repeat each other wholly. Of ties for a
+    line's first document the smallest doc_id counts, a null one last. Texts of
+    any length are read whole. An empty table gives no rows; other columns take
+    no part.
     """
-    return _judged(docs, min_docs, left_words, left_percent)[0].drop("uid")
+    rows = need(docs, "doc_id", "text", "source").withColumn("uid", F.monotonically_increasing_id())
+    return _judged(stage(measured(rows), "lines"), max_docs, left_words, left_percent)[0].drop("uid", "text_key")
 
 
-def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """judge() with uid, and the lines above the limit: uid, doc_id, host, text_key, h, n, owner."""
-    found = stage(measured(docs), "lines")
+def _judged(found: DataFrame, max_docs: int = MAX_DOCS, left_words: int = LEFT_WORDS, left_percent: int = LEFT_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The verdict on measured(), and the lines above the limit: uid, doc_id, host, text_key, h, n, owner."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     every = found.select("uid", "doc_id", "host", "text_key", failed.alias("base_failed"), F.explode("lines").alias("line")).select("uid", "doc_id", "host", "text_key", "base_failed", "line.h", "line.n")
-    # One row for each text first: the hot lines and copies are then only counted, which starts within the tasks.
-    texts = every.groupBy("host", "h", "text_key").agg(F.min("doc_id").alias("doc_id"), F.first("base_failed").alias("base_failed"))
-    lines = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("base_failed", F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
-    above = lines.filter(F.col("docs") > min_docs).select("host", "h", F.col("first.text_key").alias("owner"))
-    shared = stage(every.join(above, ["host", "h"]).select("uid", "doc_id", "host", "text_key", "h", "n", "owner"), "shared")
-    removed = shared.filter("text_key <> owner").groupBy("uid").agg(F.sum("n").alias("n_removed_words"))
+    # A document has a line once here, so rows count documents, and tasks combine before they shuffle.
+    lines = every.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("base_failed", *_order())).alias("first"))
+    above = stage(lines.filter(F.col("docs") > max_docs).select("host", "h", "docs", F.col("first.uid").alias("owner")), "above")
+    total = found.agg(F.sum(F.size("lines"))).first()[0] or 0
+    shared = stage(_met(every.drop("base_failed"), above, total), "shared")
+    removed = shared.filter("uid <> owner").groupBy("uid").agg(F.sum("n").alias("n_removed_words"))
     base = found.drop("lines").join(removed, "uid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < left_words) | (100 * left < left_percent * F.col("n_words")))
@@ -127,30 +149,28 @@ def _judged(docs: DataFrame, min_docs: int = MIN_DOCS, left_words: int = LEFT_WO
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows that judge() keeps without their lines above the limit; n_chars follows, other columns as they were.
+    """The rows that judge() keeps without their lines above the limit; n_chars, if there, follows, other columns as they were.
 
-    Of the kept documents of a host, the first that has such a line keeps it, and so do its equal texts.
+    Of the kept documents of a host, the first that has such a line keeps it.
+    Nulls, repeated rows, ties and empty tables: as in judge(). Columns may have any names.
     """
-    verdict, shared = _judged(docs, **limits)
-    verdict = stage(verdict.filter("kept").select("uid", "doc_id", "host", "text_key"), "verdict")
-    of_kept = shared.join(verdict.select("uid"), "uid", "left_semi").select("doc_id", "host", "text_key", "h")
-    # The owner may have been depleted of its other lines: then the next kept one has the line.
-    owner = of_kept.groupBy("host", "h").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")).select("host", "h", F.col("first.text_key").alias("owner"))
-    drop = of_kept.join(owner, ["host", "h"]).filter("text_key <> owner").groupBy("doc_id", "host", "text_key").agg(F.collect_set("h").alias("drop"))
-    names = ("doc_id", "host", "text_key")
-    d = drop.select(*[F.col(c).alias(f"_d_{c}") for c in names], "drop")
-    same = F.col("doc_id").eqNullSafe(F.col("_d_doc_id")) & (F.col("host") == F.col("_d_host")) & (F.col("text_key") == F.col("_d_text_key"))
-    # Rows with equal id, host and text have the same verdict.
-    kept = verdict.select(*names).distinct().join(d, same, "left").select(*[F.col(c).alias(f"_kept_{c}") for c in names], F.col("drop").alias("_kept_drop"))
+    rows = stage(packed(docs).withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    verdict, shared = _judged(stage(measured(rows.select("uid", "row.doc_id", "row.text", "row.source")), "lines"), **limits)
+    kept = stage(verdict.filter("kept").select("uid"), "verdict")
+    of_kept = stage(shared.drop("owner", "n").join(kept, "uid", "left_semi"), "of_kept")
+    # A line's owner may have been depleted of its other lines: then the next kept document has the line.
+    owners = of_kept.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*_order())).alias("first")).select("host", "h", "docs", F.col("first.uid").alias("owner"))
+    drop = _met(of_kept, stage(owners, "owners"), of_kept.count()).filter("uid <> owner").groupBy("uid").agg(F.collect_set("h").alias("drop"))
 
     @F.pandas_udf("string")
     def cleaned(text: pd.Series, drop: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else without_lines(t, set(x.tolist())) for t, x in zip(text, drop, strict=True)], dtype=object)
 
-    same = F.col("`doc_id`").eqNullSafe(F.col("_kept_doc_id")) & (_host() == F.col("_kept_host")) & (F.xxhash64(F.col("`text`")) == F.col("_kept_text_key"))
-    joined = docs.join(kept, same)
+    joined = rows.join(kept.join(drop, "uid", "left"), "uid")
     # Texts that stay whole don't go through Python.
-    joined = joined.withColumn("_kept_text", cleaned(F.when(F.col("_kept_drop").isNotNull(), F.col("`text`")), F.col("_kept_drop")))
-    changed = F.col("_kept_drop").isNotNull()
-    new = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text")}
-    return joined.select(*[F.when(changed, new[f.name].cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name in new else F.col(f"`{f.name}`") for f in docs.schema])
+    changed, text = F.col("drop").isNotNull(), F.col("row")["text"]
+    joined = joined.withColumn("cleaned", cleaned(F.when(changed, text), F.col("drop")))
+    new = {"text": F.when(changed, F.col("cleaned")).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return unpacked(joined, docs.columns, new)

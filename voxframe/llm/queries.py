@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import digest, htmltext, langid, mixing, neardup, packing, quality, secretscan, sharding, tokenfile
 from .common import read_documents
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_tree_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_documents(spark, sf_dir), max_epochs=2.0)
+    return mixing.mix(read_documents(spark, sf_dir), max_epochs=2.0, entropy_gain=0.5)
 
 
 def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ QUERIES = {
     "op10_quartile_digest": op10_quartile_digest,
 }
 
-ORACLE_SQL: dict[str, str] = {}

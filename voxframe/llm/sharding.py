@@ -50,7 +50,8 @@ def permute(row: Column, n: int, seed: int) -> Column:
 
     Fewer than a of the a x b cells lie beyond n and a walk visits each at most
     once, so the walk below is long enough: it makes that many steps, or 64
-    where more cells are spare, which a walk exceeds with a chance below 1e-100.
+    where more cells are spare, which a walk exceeds with a chance below 1e-100;
+    a place that still lies beyond n would be an error, not a wrong place.
     """
     a, b = grid(n)
 
@@ -68,7 +69,8 @@ def permute(row: Column, n: int, seed: int) -> Column:
     first = once(row)
     if not steps:
         return first
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    within = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.transform(F.array(within), lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a walk is longer than it was given steps"))))[0]
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_607) -> DataFrame:
@@ -76,7 +78,8 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_607) -> DataFrame
 
     Rows with equal doc_id are numbered by their text's checksum and size, so
     that equal inputs give equal results; a null doc_id comes first, a null text
-    has size 1 and the checksum of no bytes. An empty table gives no rows.
+    has size 1 and the checksum of no bytes. An empty table gives no rows. A very
+    long text is one row like any other; other columns take no part.
     """
     data = utf8(F.col("text"))
     rows = need(docs, "doc_id", "text").select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
