@@ -67,6 +67,22 @@ def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column] | Non
     return df.select(*[(changed or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
 
+#: A key that has more than this share of a table's rows is met by broadcast; fewer than 1 / HOT_SHARE keys can.
+HOT_SHARE = 0.002
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """big.join(small, on), where `small` has one row for each key and `big` may have very many for some.
+
+    The rows of `small` for such keys, fewer than 1 / HOT_SHARE, are broadcast;
+    in the join that is left no key has more than that share of the rows.
+    """
+    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counts.join(F.broadcast(big.agg(F.count(F.lit(1)).alias("_all"))), F.col("_rows") > F.col("_all") * HOT_SHARE).select(on)
+    near = big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return near.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on, how))
+
+
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import need
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -76,10 +77,84 @@ def _length(n: int) -> str:
     return "0" if n < 2 else "1" if n < 5 else "2" if n < 12 else "3" if n < 30 else "4" if n < 80 else "5"
 
 
+class _Tags:
+    """The tags of a page, found in one pass: no part of the page is searched more than a few times.
+
+    A tag ends at the first > outside of quotes. Once a page has no such end for
+    a tag, its quotes are taken as plain characters from there on.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes = page, True
+        self.last = {c: page.rfind(c) for c in (">", '"', "'", "-->")}
+
+    def end(self, at: int) -> int:
+        """Behind the > that ends the tag whose name ends at `at`; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        k = at
+        while self.quotes and (m := _STOP.search(self.page, k)):
+            if m[0] == ">":
+                return m.end()
+            k = m.end()
+            if k <= self.last[m[0]]:
+                k = self.page.index(m[0], k) + 1
+        self.quotes = False
+        return self.page.index(">", at) + 1
+
+    def find(self, at: int) -> tuple[int, int, str, bool, int] | None:
+        """Start, end, name, whether it's an end tag, and the name's end, of the next tag or comment (no name) from `at` on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if m := _NAME.match(page, start + 1):
+                closing = page[start + 1] == "/"
+                end = page.find(">", m.end()) + 1 if closing and m.end() <= self.last[">"] else -1 if closing else self.end(m.end())
+                if end > 0:
+                    return start, end, m[1].lower(), closing, m.end()
+            elif page.startswith("<!--", start):
+                end = page.index("-->", start + 4) + 3 if start + 4 <= self.last["-->"] else len(page)
+                return start, end, "", False, end
+            elif page[start + 1 : start + 2] in ("!", "?", "/") and page[start + 1 : start + 2] and start < self.last[">"]:
+                end = page.index(">", start) + 1
+                return start, end, "", False, end
+            at = start + 1
+        return None
+
+
+class _Open:
+    """The stack of open elements. Where the innermost one of a tag lies is known without looking through it."""
+
+    def __init__(self, root: tuple[str, int, str | None]) -> None:
+        self.items = [root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, item: tuple[str, int, str | None]) -> None:
+        self.places.setdefault(item[0], []).append(len(self.items))
+        if item[0] not in INLINE:
+            self.blocks.append(len(self.items))
+        self.items.append(item)
+
+    def pop(self) -> str:
+        tag = self.items.pop()[0]
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.blocks.pop()
+        return tag
+
+    def innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def find(self, tags, scope) -> int:
+        """The place of the innermost of the tags, 0 if there is none within the innermost of the scope."""
+        k = self.innermost(tags)
+        return k if k and k >= self.innermost(scope) else 0
+
+
 def parse(page: str) -> Tree:
-    """Builds the tree with the usual implied end tags; any input gives a tree."""
+    """Builds the tree with the usual implied end tags; any input gives a tree, in time that grows with its length."""
     tree = Tree()
-    stack: list[tuple[str, int, str | None]] = [("#root", tree.add(-1, ("root",), None, None), None)]
+    stack = _Open(("#root", tree.add(-1, ("root",), None, None), None))
     pieces: list[str] = []
     linked = unseen = inside_link = 0
 
@@ -88,7 +163,7 @@ def parse(page: str) -> Tree:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                tag, at, label = next(x for x in reversed(stack) if x[0] not in INLINE)
+                tag, at, label = stack.items[stack.blocks[-1]]
                 n = text.count(" ") + 1
                 share = min(1.0, linked / max(1, len(text)))
                 tree.add(at, ("text", tag, _length(n), "0" if share < 0.05 else "1" if share < 0.5 else "2", text[-1] in ".!?:;\"'”»…)"), text, label)
@@ -97,23 +172,15 @@ def parse(page: str) -> Tree:
 
     def close(to: int) -> None:
         nonlocal unseen, inside_link
-        while len(stack) > to:
-            tag = stack.pop()[0]
+        while len(stack.items) > to:
+            tag = stack.pop()
             unseen -= tag in UNSEEN
             inside_link -= tag == "a"
 
-    def find(tags, scope) -> int | None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in scope:
-                return None
-        return None
-
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), _Tags(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
+        m = tags.find(at)
+        stop = m[0] if m else end
         if stop > at and not unseen:
             piece = page[at:stop]
             pieces.append(piece)
@@ -121,43 +188,39 @@ def parse(page: str) -> Tree:
                 linked += len(piece.strip())
         if not m:
             break
-        at = m.end()
-        if name := m[1]:
-            tag = name.lower()
-            if tag == "br":
-                pieces.append(" ")
-                continue
+        _, at, tag, closing, named = m
+        if tag == "br":
+            pieces.append(" ")
+        elif tag and not closing:
             if tag not in INLINE:
                 flush()
-            if tag in CLOSES_P and (k := find(("p",), _P_SCOPE)):
+            if tag in CLOSES_P and (k := stack.find(("p",), _P_SCOPE)):
                 close(k)
-            if tag in ENDS and (k := find(ENDS[tag], _SCOPE.get(tag, ()))):
-                while k > 1 and stack[k - 1][0] in ENDS[tag]:
+            if tag in ENDS and (k := stack.find(ENDS[tag], _SCOPE.get(tag, ()))):
+                while k > 1 and stack.items[k - 1][0] in ENDS[tag]:
                     k -= 1
                 close(k)
             if tag in VOID:
                 continue
-            words, label = _words(m[2]) if m[2] and "=" in m[2] else ((), None)
-            _, above, inherited = stack[-1]
+            rest = page[named : at - 1]
+            words, label = _words(rest) if "=" in rest else ((), None)
+            _, above, inherited = stack.items[-1]
             label = label or inherited
             node = above if tag in INLINE else tree.add(above, ("element", tag, words), None, label)
-            if m[2].endswith("/") and tag not in RAW:  # written as empty
+            if rest.endswith("/") and tag not in RAW:  # written as empty
                 continue
-            stack.append((tag, node, label))
+            stack.push((tag, node, label))
             unseen += tag in UNSEEN
             inside_link += tag == "a"
             if tag in RAW:
-                m = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = m.end() if m else end
-                close(len(stack) - 1)
-        elif name := m[3]:
-            tag = name.lower()
-            if tag == "br":
-                pieces.append(" ")
-            elif k := find((tag,), ("table",) if tag not in ("table", "body", "html", "article", "main", "div", "section") else ()):
+                close(len(stack.items) - 1)
+        elif tag:
+            if k := stack.find((tag,), ("table",) if tag not in ("table", "body", "html", "article", "main", "div", "section") else ()):
                 if tag not in INLINE:
                     flush()
-                elif any(s[0] not in INLINE for s in stack[k + 1 :]):
+                elif stack.blocks[-1] > k:
                     continue  # an inline end tag doesn't end blocks
                 close(k)
     flush()
@@ -366,8 +429,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded; white space within a block becomes one
     space; blocks are joined by a line feed in page order. A null or empty page,
-    or one without content, has an empty text. Rows with equal page_id are
-    extracted each by itself; an empty table gives no rows.
+    or one without content, has an empty text. Pages of any length and however
+    broken are read whole, in time that grows with their length. Rows with equal
+    page_id are extracted each by itself; an empty table gives no rows; other
+    columns take no part.
     """
     schema = pages.schema
     sent = pages.sparkSession.sparkContext.broadcast(trained())  # some hundred counts, whatever the input

@@ -8,12 +8,13 @@ Bins in bands of ROWS give the buckets. In a bucket, candidate edges run from on
 centre to the others, so their number is bounded by the bucket's size; every
 edge is confirmed on the full sets.
 
-Documents with equal sets form one class, and only classes are compared. After a
-round of stars, classes that became connected need no further comparison; the
-next round takes other centres, each bucket its own, among what is still apart.
-At last the pairs that are still apart in a bucket are compared by sketches within
-the join, each in one bucket only, and those that pass are confirmed, so no link
-hangs on the choice of centres.
+Documents with equal sets form one class, and only classes are compared. A round
+of stars compares the centre of each bucket with all others in it; classes that
+became connected need no further comparison, and the next round takes another
+centre among what is still apart. When stars no longer halve the pairs that are
+left, these are compared by sketches, each in one bucket only, dealt over small
+blocks of the bucket, so no task holds a whole bucket; those that pass are
+confirmed. So no link hangs on the choice of centres, and no bucket is cut.
 """
 
 from __future__ import annotations
@@ -28,16 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, stage
+from .common import WORD, join_hot, need, packed, stage, unpacked
 
-BINS, ROWS = 128, 4
-#: A pair at the threshold shares a given band with chance 0.8**4; that it shares none of 32 has chance 5e-8.
-BANDS = BINS // ROWS
+#: A pair at the threshold shares a given band with chance 0.8**6; that it shares none of 40 has chance 5e-6.
+#: A pair at 0.5 shares one with chance 0.47, one at 0.3 with chance 0.03.
+ROWS, BANDS = 6, 40
+BINS = ROWS * BANDS
 #: Bins of the sketches that compare pairs before their full sets are.
 SKETCH = 512
-STAR_ROUNDS = 3
-#: A bucket with more classes is cut by a second band before its pairs are compared.
-LARGE_BUCKET = 4096
+#: The pairs left are dealt out when there are at most so many for each member of a bucket, or stars no longer halve them.
+FEW_PAIRS = 4
+#: Members of a block of a bucket whose pairs are dealt out.
+BLOCK = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +50,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+#: The least hash of each bin.
+_EDGES = np.array([-(-(k << 64) // BINS) for k in range(BINS)], np.uint64)
+
+
 class _Words(dict):
     """A word's hash, remembered for the worker's next texts."""
 
@@ -85,7 +92,7 @@ def _tries() -> np.ndarray:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """The values of the bins of a sorted, non-empty set, densified."""
-    at = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
+    at = np.searchsorted(s, _EDGES)
     filled = np.diff(np.r_[at, len(s)]) > 0
     values = s[np.minimum(at, len(s) - 1)]
     empty, k = np.flatnonzero(~filled), 0
@@ -205,7 +212,7 @@ def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: 100 * intersection >= percent * union."""
+    """The pairs (a, b, la, lb) whose sets are similar enough: 100 * intersection >= percent * union."""
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -217,111 +224,111 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series(out)
 
     a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(a, "a").join(b, "b").filter(similar("set_a", "set_b")).select("a", "b")
+    return join_hot(pairs, a, ["a"]).join(b, "b").filter(similar("set_a", "set_b")).select("a", "b", "la", "lb")
 
 
-def _finer(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, band, next, node, label): the members of large buckets dealt into finer ones by each later band.
+def _star_pairs(members: DataFrame, buckets: DataFrame, info: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b, la, lb): the centre of each bucket, with each other member that sizes and sketches allow.
 
-    Similar documents share a second band with nearly the same certainty as the
-    first. `next` is that band's place, null where a bucket is as it was.
+    The order of centres is the same in all buckets, so that classes which share
+    many buckets mostly share their centre too and give one pair.
     """
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    sized = members.join(counts, "key")
-    few = sized.filter(F.col("members") <= LARGE_BUCKET).select("key", "band", F.lit(None).cast("int").alias("next"), "node", "label")
-    many = sized.filter(F.col("members") > LARGE_BUCKET).join(nodes.select("node", "bands"), "node")
-    cut = many.select("key", "band", "node", "label", F.posexplode("bands").alias("next", "second")).filter("next > band")
-    return few.union(cut.select(F.xxhash64("key", "second").alias("key"), "band", "next", "node", "label"))
-
+    first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
+    centres = first.select("key", F.col("c.node").alias("a"), F.col("c.label").alias("la"))
+    pairs = join_hot(members, centres, ["key"]).filter("label <> la").select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
+    pairs = stage(pairs, "stars")
+    l, r = (info.select(F.col("node").alias(k), F.struct("n", "sketch").alias(side)) for k, side in (("a", "l"), ("b", "r")))
+    return join_hot(pairs, l, ["a"]).join(r, "b").filter(_alike("l", "r", percent)).select("a", "b", "la", "lb")
 
-def _first_shared(x: str, y: str) -> Column:
-    """Whether a pair's bucket is that of the first band (and of the next one, in a finer bucket) that it shares,
-    so that a pair which shares several buckets is compared in one."""
-    same = F.zip_with(f"{x}.bands", f"{y}.bands", lambda p, q: p == q)
-    first = F.array_position(same, F.lit(True)) - 1
-    second = F.array_position(F.slice(same, F.col(f"{x}.band") + 2, BANDS), F.lit(True)) + F.col(f"{x}.band")
-    return (first == F.col(f"{x}.band")) & F.coalesce(second == F.col(f"{x}.next"), F.lit(True))
 
+def _left_pairs(members: DataFrame, buckets: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """(a, b, la, lb): all pairs of unlike labels in a bucket that sizes and sketches allow, each in the bucket of the first band that it shares.
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Only the buckets that still hold more than one label."""
-    mixed = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("key")
-    return members.join(mixed, "key", "left_semi")
+    A bucket's members fall into blocks of about BLOCK, and each two blocks, and
+    each block with itself, meet under a key of their own.
+    """
+    sized = join_hot(members, buckets.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), ["key"])
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    full = stage(sized.join(info.select("node", F.struct("n", "sketch", "bands").alias("seen")), "node"), "left")
+    x = full.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
+    y = full.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).alias("y")
+    cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node"))
+    same = F.zip_with("x.seen.bands", "y.seen.bands", lambda p, q: p == q)
+    here = F.array_position(same, F.lit(True)) == F.col("x.band") + 1
+    found = x.join(y, cell & once & (F.col("x.label") != F.col("y.label")) & _alike("x.seen", "y.seen", percent) & here)
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+
+
+def _linked(classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """(node, label): the component of every class that shares a bucket; None if there is none."""
+    every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    members = stage(every.join(shared, "key", "left_semi"), "members")
+    wanted = stage(members.select("node").distinct(), "wanted")
+    info = stage(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch", "bands", "doc_id", "text_key"), "nodes")
+    sets = stage(_sets(documents, info.select("node", "doc_id", "text_key"), size), "sets")
+    labels = wanted.withColumn("label", F.col("node"))
+    before, turn = None, 0
+    while True:
+        named = members.join(labels, "node")
+        buckets = named.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l"), F.max("label").alias("h"))
+        buckets = stage(buckets.filter("l <> h").select("key", "members"), "buckets")
+        n, rows, pairs = buckets.agg(F.count(F.lit(1)), F.sum("members"), F.sum(F.expr("members * (members - 1) / 2"))).first()
+        if not n:
+            return labels
+        apart = stage(join_hot(named, buckets.select("key"), ["key"]), "apart")
+        last = turn > 0 and (pairs <= FEW_PAIRS * rows or pairs > before / 2)
+        found = _left_pairs(apart, buckets, info, percent) if last else _star_pairs(apart, buckets, info, turn, percent)
+        links = stage(_confirmed(stage(found, "alike"), sets, percent), "links")
+        if not links.isEmpty():
+            roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")
+            labels = stage(join_hot(labels, roots, ["label"], "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        if last:
+            return labels
+        before, turn = pairs, turn + 1
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (and text_key, uid, root) of every row.
 
     component_id is the smallest doc_id that can be reached by links; kept says
-    whether it is the row's own. Documents without words are linked with
-    nothing. A null doc_id has no say in component_id, which is null only if
-    all of a component are; so it doesn't name a component, but root does (null
-    without words). Rows with equal doc_id are documents of their own
-    that share a number. An empty table gives no rows.
+    whether it is the row's own. Documents without words (null or empty texts)
+    are linked with nothing. A null doc_id has no say in component_id, which is
+    null only if all of a component are; so it doesn't name a component, but root
+    does (null without words). Rows with equal doc_id are documents of their own
+    that share a number. Texts of any length are compared whole. An empty table
+    gives no rows; other columns take no part.
     """
     rows = stage(_signed(documents, size), "signatures")
     group = rows.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("low"), F.min(F.struct("uid", "doc_id", "text_key", "n", "sketch", "bands")).alias("x"))
     classes = stage(group.select("set_a", "set_b", "low", F.col("x.uid").alias("node"), "x.doc_id", "x.text_key", "x.n", "x.sketch", "x.bands"), "classes")
-    every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    members = stage(every.join(shared, "key", "left_semi"), "members")
-    wanted = members.select("node").distinct()
-    sets = stage(_sets(documents, classes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_key"), size), "sets")
-    info = stage(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch", "bands"), "nodes")
-
-    members = members.withColumn("label", F.col("node"))
-    edges = None
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            moved = labels.select("node", F.col("root"))
-            members = members.select("key", "band", "node").join(moved, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("label"))
-        members = stage(_apart(members), "members")
-        if members.isEmpty():
-            break
-        left, right = info.select("node", "n", "sketch").alias("l"), info.select("node", "n", "sketch").alias("r")
-        if turn < STAR_ROUNDS:
-            centre = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
-            pairs = members.join(centre, "key").filter("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = pairs.join(left, F.col("a") == F.col("l.node")).join(right, F.col("b") == F.col("r.node")).filter(_alike("l", "r", percent)).select("a", "b")
-        else:
-            full = _finer(members, info).join(info, "node")
-            x, y = full.alias("x"), full.alias("y")
-            here = (F.col("x.key") == F.col("y.key")) & F.col("x.next").eqNullSafe(F.col("y.next"))
-            pairs = x.join(y, here & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", percent) & _first_shared("x", "y"))
-            pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        good = stage(_confirmed(pairs, sets, percent), "links")
-        edges = good if edges is None else edges.union(good)
-        labels = stage(components(edges), "labels")
-
-    if labels is None:
-        of_class = classes.select("set_a", "set_b", F.col("low").alias("component_id"), F.col("node").alias("root"))
-    else:
-        named = classes.select("set_a", "set_b", "low", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-        of_class = named.join(lowest, "root").select("set_a", "set_b", "component_id", "root")
+    labels = _linked(classes, documents, size, percent)
+    named = stage(classes.select("set_a", "set_b", "low", "node").join(labels, "node", "left").select("set_a", "set_b", "low", F.coalesce("label", "node").alias("root")), "named")
+    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_class = stage(join_hot(named.drop("low"), lowest, ["root"]), "of_class")
     empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key", "uid", F.lit(None).cast("long").alias("root"))
-    full = rows.filter("n > 0").join(of_class, ["set_a", "set_b"]).select("doc_id", "n", "component_id", "text_key", "uid", "root")
+    full = join_hot(rows.filter("n > 0").select("doc_id", "n", "text_key", "uid", "set_a", "set_b"), of_class, ["set_a", "set_b"])
+    full = full.select("doc_id", "n", "component_id", "text_key", "uid", "root")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "text_key", "uid", "root")
 
 
 def deduplicated(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns as they were.
+    """One document of each group, the one with the smallest doc_id; all columns as they were, whatever their names.
 
-    Of rows that share that doc_id, the first by text digest stays, once.
-    Documents without words all stay.
+    Of rows that share that doc_id, the first by text digest stays, once. A null
+    doc_id comes last. Documents without words all stay; an empty table gives no rows.
     """
     found = near_duplicates(documents, size, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     alone = F.when(F.col("n_shingles") == 0, F.col("uid"))
     copies = found.groupBy("root", alone.alias("alone"), "doc_id", "text_key").agg(F.count(F.lit(1)).alias("c"))
     first = stage(copies.groupBy("root", "alone").agg(F.min(order).alias("k"), F.max("c").alias("c")), "kept")
-    keys = first.select(F.col("k.doc_id").alias("_first_id"), F.col("k.text_key").alias("_first_key")).distinct()
-    marked = documents.withColumn("_first_text", F.xxhash64(F.col("`text`")))
-    same = F.col("`doc_id`").eqNullSafe(F.col("_first_id")) & (F.col("_first_text") == F.col("_first_key"))
-    once = marked.join(keys, same, "left_semi")
+    keys = first.select(F.col("k.doc_id").alias("id"), F.col("k.text_key").alias("key")).distinct()
+    rows = packed(documents).withColumn("own_id", F.col("row")["doc_id"]).withColumn("own_key", F.xxhash64(F.col("row")["text"]))
+    once = rows.join(keys, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
     if not first.filter("c > 1").isEmpty():  # rows that repeat id and text
-        once = once.dropDuplicates(["doc_id", "_first_text"])
-    return once.select(*[F.col(f"`{c}`") for c in documents.columns])
+        words = F.coalesce(F.col("row")["text"].rlike(WORD), F.lit(False))
+        once = once.withColumn("alone", F.when(~words, F.monotonically_increasing_id())).dropDuplicates(["own_id", "own_key", "alone"])
+    return unpacked(once, documents.columns)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from .common import WORD
 from .quality import LEFT_PERCENT, LEFT_WORDS, MAX_DOCS, MIN_WORDS, REPEAT_PERCENT
+from .secretscan import BASE, RULES
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '" + WORD + "')"
@@ -38,6 +39,23 @@ SELECT judged.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_cha
   coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
 FROM judged LEFT JOIN removed ON judged.doc_id = removed.doc_id"""
 
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) END AS s FROM words),
+keyed AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS k, s FROM sets),
+classes AS (SELECT k, min(doc_id) AS low, any_value(n) AS n, any_value(s) AS s FROM keyed WHERE n > 0 GROUP BY k),
+flat AS (SELECT low, n, unnest(s) AS gram FROM classes),
+links AS (
+  SELECT a.low AS x, b.low AS y FROM flat a JOIN flat b ON a.gram = b.gram AND a.low < b.low
+  GROUP BY a.low, b.low HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, root) AS (SELECT low, low FROM classes UNION SELECT e.y, r.root FROM reach r JOIN both_ways e ON e.x = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT keyed.doc_id, keyed.n AS n_shingles, coalesce(root, keyed.doc_id) AS component_id, coalesce(root, keyed.doc_id) = keyed.doc_id AS kept
+FROM keyed LEFT JOIN classes USING (k) LEFT JOIN roots ON node = low"""
+
 MIXING = f"""
 WITH RECURSIVE units AS (
   SELECT doc_id, source, md5(text) AS text_md5, len({_WORDS.format("coalesce(text, '')")}) + 1 AS tokens, count(*) AS copies FROM documents GROUP BY ALL),
@@ -69,4 +87,39 @@ SELECT doc_id, source, text_md5, copies, tokens, epoch::INTEGER AS epoch, alpha,
   row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5(concat_ws(':', '10', block::VARCHAR, coalesce(doc_id::VARCHAR, 'null'), coalesce(text_md5, 'null'), epoch::VARCHAR)), 1, 15))::BIGINT, doc_id, text_md5) - 1 AS slot
 FROM blocks"""
 
-ORACLE_SQL = {"op5_line_frequency_quality": QUALITY, "op9_temperature_mix": MIXING}
+
+
+def _either(pattern: str) -> str:
+    """A pattern with its part (?i:...) spelled out in either case."""
+    head, _, rest = pattern.partition("(?i:")
+    if not rest:
+        return pattern
+    depth = 1
+    end = next(i for i, c in enumerate(rest) if (depth := depth + (c == "(") - (c == ")")) == 0)
+    return head + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in rest[:end]) + rest[end + 1 :]
+
+
+def _secrets() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({i}, {quote(r.kind)}, {r.least})" for i, r in enumerate(RULES))
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS ord, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {r.group}) AS parts FROM d WHERE regexp_matches(text, {p})"
+        for i, r in enumerate(RULES)
+        for p in [quote(_either(r.pattern))]
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+rules AS (SELECT * FROM (VALUES {rules}) t(ord, kind, least)),
+found AS ({found}),
+matches AS (SELECT doc_id, ord, unnest(range(1, len(hits) + 1)) AS k, gaps, hits, parts FROM found),
+sizes AS (SELECT doc_id, ord, k, length(gaps[k]) AS gap, length(hits[k]) AS hit, length(parts[k]) AS part FROM matches),
+placed AS (SELECT *, (sum(gap + hit) OVER (PARTITION BY doc_id, ord ORDER BY k))::BIGINT AS stop FROM sizes),
+spans AS (SELECT doc_id, ord, stop - hit AS start, kind || ':' || (stop - hit) || ':' || stop AS span FROM placed JOIN rules USING (ord) WHERE part >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY start, ord) FILTER (ord < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLE_SQL = {"op3_minhash_near_duplicates": NEAR_DUPLICATES, "op5_line_frequency_quality": QUALITY, "op6_trigram_secret_scan": _secrets(), "op9_temperature_mix": MIXING}

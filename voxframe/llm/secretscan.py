@@ -2,13 +2,15 @@
 
 From each rule's regex a Boolean query over trigrams is derived: any match must
 hold them. The index has a posting (trigram, document) for each trigram that some
-rule asks for; the postings of a document decide which rules may match it, and
-only these are run over its text. Rules without mandatory trigrams run over all
-texts. Trigrams are those of the lower-cased text, so case doesn't matter.
+rule asks for. The postings of a query are intersected by document, and only the
+documents that are left are verified with that rule's regex. Rules without
+mandatory trigrams run over all texts. Trigrams are those of the lower-cased
+text, so case doesn't matter.
 """
 
 from __future__ import annotations
 
+import re
 import re._constants as C
 import re._parser
 from collections.abc import Iterable
@@ -17,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import need, packed, stage, unpacked
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -86,13 +90,18 @@ def _and(a: Query, b: Query) -> Query:
     if a is None or b is None:
         return b if a is None else a
     both = frozenset(x | y for x in a for y in b)
-    return both if len(both) <= _MOST else a
+    return _absorbed(both) if len(both) <= _MOST else a
+
+
+def _absorbed(query: Query) -> Query:
+    """Without alternatives that ask for more than another one does."""
+    return None if query is None else frozenset(x for x in query if not any(y < x for y in query))
 
 
 def _grams(strings: set[str]) -> Query:
     if any(len(s) < 3 for s in strings):
         return None
-    return frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
+    return _absorbed(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings))
 
 
 def _of(items: Iterable) -> Query:
@@ -111,7 +120,7 @@ def _of(items: Iterable) -> Query:
             query = _and(query, _of(arg[-1]))
         elif op is C.BRANCH:
             each = [_of(x) for x in arg[1]]
-            query = query if None in each else _and(query, frozenset().union(*each))
+            query = query if None in each else _and(query, _absorbed(frozenset().union(*each)))
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
             query = _and(query, _of(arg[2]))
     return _and(query, _grams(_strings(run)))
@@ -122,16 +131,37 @@ def trigram_query(pattern: str) -> Query:
     return _of(re._parser.parse(pattern))
 
 
-def _key() -> Column:
+def _key(doc_id: Column, text: Column) -> Column:
     """A row's key in the index. Keys that clash only add candidates."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64(doc_id, text)
+
+
+#: Characters of the pieces in which a text is indexed and redacted, so that memory is bounded.
+PIECE = 4096
+#: So many candidates, of two numbers each, are sent to every task; more are met by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _wanted(trigrams: list[str]) -> str:
+    """A pattern that finds each place where one of the trigrams begins, and gives the trigram."""
+    by_first: dict[str, list[str]] = {}
+    for g in trigrams:
+        by_first.setdefault(g[0], []).append(g[1:])
+    each = (re.escape(first) + "(?:" + "|".join(map(re.escape, rest)) + ")" for first, rest in by_first.items())
+    return "(?=(" + "|".join(each) + "))"
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """(gram, key): each document's key for each of the trigrams, by its place, that its text holds."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(low.contains(g), F.lit(i)) for i, g in enumerate(trigrams)]))
-    return docs.filter("text IS NOT NULL").select(_key().alias("key"), F.explode(held).alias("gram"))
+    """(gram, key): the distinct ones among these trigrams, by their places, that each piece of a document's text holds.
+
+    Pieces overlap by two characters, so no trigram is lost between them.
+    """
+    low = docs.filter("text IS NOT NULL").select(_key(F.col("doc_id"), F.col("text")).alias("key"), F.lower("text").alias("low"))
+    pieces = low.select("key", F.explode(F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))).alias("piece"))
+    grams = F.array_intersect(F.regexp_extract_all("piece", F.lit(_wanted(trigrams)), F.lit(1)), F.array(*map(F.lit, trigrams)))
+    held = pieces.select("key", F.explode(grams).alias("gram"))
+    place = F.create_map(*[F.lit(x) for i, g in enumerate(trigrams) for x in (g, i)])
+    return held.select("key", place[F.col("gram")].alias("gram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -139,7 +169,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({g for q in queries if q for alternative in q for g in alternative})
     if not trigrams:
-        return docs.select(_key().alias("key"), F.lit(0).cast("long").alias("mask")).limit(0)
+        return docs.select(_key(F.col("doc_id"), F.col("text")).alias("key"), F.lit(0).cast("long").alias("mask")).limit(0)
     at = {g: i for i, g in enumerate(trigrams)}
     words = -(-len(trigrams) // 60)
     index = postings(docs, trigrams)
@@ -164,40 +194,56 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 _SPANS = "array<struct<start: int, ord: int, stop: int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value being computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """The rule's spans: what lies between matches, and the matches, give their positions in code points."""
-    p = F.lit(rule.pattern)
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("part"))
+    """The rule's spans: what lies between matches, and the matches, give their positions in code points.
+
+    Positions are summed in blocks of matches, so a text with very many takes no quadratic time.
+    """
+    p, block = F.lit(rule.pattern), 512
+    hits = F.regexp_extract_all(text, p, F.lit(0))
+    parts = F.regexp_extract_all(text, p, F.lit(rule.group)) if rule.group else hits
+    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), parts.alias("part"))
+    matches = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False)).alias("good")))
     none = F.array().cast(_SPANS)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        good = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.least)
+        start = acc["at"] + x["gap"]
+        stop = start + x["hit"]
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), stop.alias("stop"))).cast(_SPANS)
-        return F.struct(stop.alias("at"), F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(stop.alias("at"), F.when(x["good"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    def spans(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["hit"]))
+        before = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    cut = _let(matches, lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / block).cast("int")), lambda k: F.slice(m, k * block + 1, block)))
+    return F.when(text.rlike(rule.pattern), _let(cut, spans)).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All columns, and `_found`: the spans (start, ord, stop) of all rules, sorted, ord being the rule's place.
+    """(row, found): all columns as fields of `row`, and the spans (start, ord, stop) of all rules, sorted, ord being the rule's place.
 
     A null text has no spans. Rows with equal doc_id and text share an entry of
-    the index and are scanned each by itself.
+    the index and are scanned each by itself. Other columns may have any names.
     """
-    rows = docs.withColumn("_key", F.xxhash64(F.col("`doc_id`"), F.col("`text`")))
-    may = candidates(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")), rules)
-    may = may.select(F.col("key").alias("_key"), F.col("mask").alias("_mask"))
-    rows = rows.join(may, "_key", "left").withColumn("_mask", F.coalesce("_mask", F.lit(0).cast("long")))
-    text, found, none = F.coalesce(F.col("`text`"), F.lit("")), [], F.array().cast(_SPANS)
+    row = F.col("row")
+    rows = packed(docs).withColumn("key", _key(row["doc_id"], row["text"]))
+    may = stage(candidates(rows.select("row.doc_id", "row.text"), rules), "candidates")
+    few = may.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(may) if few else may, "key", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
+    text, found, none = F.coalesce(row["text"], F.lit("")), [], F.array().cast(_SPANS)
     for i, rule in enumerate(rules):
         own = _spans(text, rule, i)
         if trigram_query(rule.pattern) is not None:
-            own = F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, own).otherwise(none)
+            own = F.when(F.col("mask").bitwiseAND(F.lit(1 << i).cast("long")) != 0, own).otherwise(none)
         found.append(own)
-    return rows.withColumn("_found", F.array_sort(F.concat(*found))).select(*[F.col(f"`{c}`") for c in docs.columns], "_found")
+    return rows.select("row", F.array_sort(F.concat(*found)).alias("found"))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -210,32 +256,43 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, by start and then
     kind as listed. A null text counts as empty; without spans base_sha256 is
-    that of no bytes and spans is empty. An empty table gives no rows.
+    that of no bytes and spans is empty. Texts of any length are scanned whole.
+    An empty table gives no rows; other columns take no part.
     """
-    found = scan(docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")), rules)
+    found = scan(need(docs, "doc_id", "text"), rules).select("row.doc_id", "found")
 
     def count(order: int) -> Column:
-        return F.size(F.filter("_found", lambda s: s["ord"] == order)).cast("long")
+        return F.size(F.filter("found", lambda s: s["ord"] == order)).cast("long")
 
     counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
-    base = _joined(F.filter("_found", lambda s: s["ord"] < len(BASE)), rules)
-    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("_found"), rules).alias("spans"))
+    base = _joined(F.filter("found", lambda s: s["ord"] < len(BASE)), rules)
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("found"), rules).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The documents with each span, overlapping ones as one, replaced by `mark`; n_chars, if there, follows the text.
 
-    All rows stay, and texts without spans are unchanged.
+    All rows stay, repeated ones too; a null text stays null, and texts without
+    spans are unchanged. An empty table gives no rows; columns may have any names.
     """
-    found = scan(docs, rules)
-    text = F.col("`text`")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_found", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    clean = F.when(F.size("_found") > 0, clean).otherwise(text)
-    out = {"text": clean} | ({"n_chars": F.when(F.size("_found") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("`n_chars`"))} if "n_chars" in docs.columns else {})
-    return found.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    rows = scan(docs, rules)
+    text, found = F.col("row")["text"], F.col("found")
+
+    def clean(piece: Column, place: Column) -> Column:
+        """A piece of the text, what spans cover being left out; a span's mark stands where it starts."""
+        base, size = place * PIECE, F.length(piece)
+
+        def step(acc: Column, s: Column) -> Column:
+            start = s["start"] - base
+            gap = F.when(start >= acc["at"], F.concat(F.substring(piece, acc["at"] + 1, start - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], F.least(s["stop"] - base, size)).alias("at"), F.concat(acc["out"], gap).alias("out"))
+
+        own = F.filter(found, lambda s: (s["stop"] > base) & (s["start"] < base + size))
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(piece, a["at"] + 1, size)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    rows = rows.withColumn("clean", F.when(F.size(found) > 0, F.array_join(F.transform(pieces, clean), "")).otherwise(text))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size(found) > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return unpacked(rows, docs.columns, new)
