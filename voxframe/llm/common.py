@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a character class body for Java, RE2 and Python regexes.
@@ -42,6 +42,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed_stage(df: DataFrame, name: str, *aggregates: Column) -> tuple[DataFrame, tuple]:
+    """stage(), and aggregates of what was written, which cost no further job."""
+    seen = Observation()
+    done = stage(df.observe(seen, *[a.alias(f"a{k}") for k, a in enumerate(aggregates)]), name)
+    found = seen.get
+    return done, tuple(found[f"a{k}"] for k in range(len(aggregates)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,18 +77,30 @@ def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column] | Non
 
 #: A key that has more than this share of a table's rows is met by broadcast; fewer than 1 / HOT_SHARE keys can.
 HOT_SHARE = 0.002
+#: Rows that one task joins at ease, whatever their keys.
+EASY_ROWS = 20_000
+
+
+def hot_keys(big: DataFrame, on: list[str], counts: DataFrame | None = None) -> list[int]:
+    """Hashes of the keys with more than HOT_SHARE of the rows of a staged table; `counts` (on, rows) if it's known already."""
+    total = big.count()
+    if total <= EASY_ROWS:
+        return []
+    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("rows")) if counts is None else counts
+    return [r[0] for r in counts.filter(F.col("rows") > total * HOT_SHARE).select(F.xxhash64(*on)).collect()]
 
 
-def join_hot(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """big.join(small, on), where `small` has one row for each key and `big` may have very many for some.
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], hot: list[int], how: str = "inner") -> DataFrame:
+    """big.join(small, on), where `small` has one row for each key and `big` very many for the `hot` ones.
 
-    The rows of `small` for such keys, fewer than 1 / HOT_SHARE, are broadcast;
-    in the join that is left no key has more than that share of the rows.
+    The rows of `small` for these, fewer than 1 / HOT_SHARE, are broadcast; in
+    the join that is left no key has more than that share of the rows.
     """
-    counts = big.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.join(F.broadcast(big.agg(F.count(F.lit(1)).alias("_all"))), F.col("_rows") > F.col("_all") * HOT_SHARE).select(on)
-    near = big.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on, how)
-    return near.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on, how))
+    if not hot:
+        return big.join(small, on, how)
+    is_hot = F.xxhash64(*on).isin(hot)
+    near = big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), on, how)
+    return near.unionByName(big.filter(~is_hot).join(small.filter(~is_hot), on, how))
 
 
 def utf8(text: Column) -> Column:

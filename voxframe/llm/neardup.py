@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, join_hot, need, packed, stage, unpacked
+from .common import WORD, hot_keys, join_hot, need, observed_stage, packed, stage, unpacked
 
 #: A pair at the threshold shares a given band with chance 0.8**6; that it shares none of 40 has chance 5e-6.
 #: A pair at 0.5 shares one with chance 0.47, one at 0.3 with chance 0.03.
@@ -188,8 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(least.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(down.select("a", F.col("m").alias("b"))).distinct()
-        edges = stage(small, "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        edges, now = observed_stage(small, "edges", F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = now
@@ -211,7 +210,7 @@ def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return found.mapInPandas(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: list[int]) -> DataFrame:
     """The pairs (a, b, la, lb) whose sets are similar enough: 100 * intersection >= percent * union."""
 
     @F.pandas_udf("boolean")
@@ -224,30 +223,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pd.Series(out)
 
     a, b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    return join_hot(pairs, a, ["a"]).join(b, "b").filter(similar("set_a", "set_b")).select("a", "b", "la", "lb")
+    return join_hot(pairs, a, ["a"], hot).join(b, "b").filter(similar("set_a", "set_b")).select("a", "b", "la", "lb")
 
 
-def _star_pairs(members: DataFrame, buckets: DataFrame, info: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b, la, lb): the centre of each bucket, with each other member that sizes and sketches allow.
+def _star_links(members: DataFrame, hot: list[int], info: DataFrame, sets: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b, la, lb) of each bucket's centre and another member those that are similar enough.
 
     The order of centres is the same in all buckets, so that classes which share
     many buckets mostly share their centre too and give one pair.
     """
     first = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
     centres = first.select("key", F.col("c.node").alias("a"), F.col("c.label").alias("la"))
-    pairs = join_hot(members, centres, ["key"]).filter("label <> la").select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
+    pairs = join_hot(members, centres, ["key"], hot).filter("label <> la").select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
     pairs = stage(pairs, "stars")
+    hot = hot_keys(pairs, ["a"])
     l, r = (info.select(F.col("node").alias(k), F.struct("n", "sketch").alias(side)) for k, side in (("a", "l"), ("b", "r")))
-    return join_hot(pairs, l, ["a"]).join(r, "b").filter(_alike("l", "r", percent)).select("a", "b", "la", "lb")
+    alike = join_hot(pairs, l, ["a"], hot).join(r, "b").filter(_alike("l", "r", percent)).select("a", "b", "la", "lb")
+    return _confirmed(alike, sets, percent, hot)
 
 
-def _left_pairs(members: DataFrame, buckets: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """(a, b, la, lb): all pairs of unlike labels in a bucket that sizes and sketches allow, each in the bucket of the first band that it shares.
+def _left_links(members: DataFrame, hot: list[int], buckets: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of all pairs (a, b, la, lb) of unlike labels in a bucket those that are similar enough, each in the bucket of the first band that it shares.
 
     A bucket's members fall into blocks of about BLOCK, and each two blocks, and
     each block with itself, meet under a key of their own.
     """
-    sized = join_hot(members, buckets.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), ["key"])
+    sized = join_hot(members, buckets.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), ["key"], hot)
     sized = sized.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     full = stage(sized.join(info.select("node", F.struct("n", "sketch", "bands").alias("seen")), "node"), "left")
     x = full.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).alias("x")
@@ -257,33 +258,33 @@ def _left_pairs(members: DataFrame, buckets: DataFrame, info: DataFrame, percent
     same = F.zip_with("x.seen.bands", "y.seen.bands", lambda p, q: p == q)
     here = F.array_position(same, F.lit(True)) == F.col("x.band") + 1
     found = x.join(y, cell & once & (F.col("x.label") != F.col("y.label")) & _alike("x.seen", "y.seen", percent) & here)
-    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+    found = stage(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")), "alike")
+    return _confirmed(found, sets, percent, hot_keys(found, ["a"]))
 
 
-def _linked(classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """(node, label): the component of every class that shares a bucket; None if there is none."""
+def _linked(classes: DataFrame, documents: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label): the component of every class that shares a bucket."""
     every = classes.select(F.posexplode("bands").alias("band", "key"), "node")
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     members = stage(every.join(shared, "key", "left_semi"), "members")
-    wanted = stage(members.select("node").distinct(), "wanted")
-    info = stage(classes.join(wanted, "node", "left_semi").select("node", "n", "sketch", "bands", "doc_id", "text_key"), "nodes")
+    info = stage(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "sketch", "bands", "doc_id", "text_key"), "nodes")
     sets = stage(_sets(documents, info.select("node", "doc_id", "text_key"), size), "sets")
-    labels = wanted.withColumn("label", F.col("node"))
+    labels = info.select("node", F.col("node").alias("label"))
     before, turn = None, 0
     while True:
         named = members.join(labels, "node")
         buckets = named.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("l"), F.max("label").alias("h"))
-        buckets = stage(buckets.filter("l <> h").select("key", "members"), "buckets")
-        n, rows, pairs = buckets.agg(F.count(F.lit(1)), F.sum("members"), F.sum(F.expr("members * (members - 1) / 2"))).first()
-        if not n:
+        buckets, (rows, pairs) = observed_stage(buckets.filter("l <> h").select("key", "members"), "buckets", F.sum("members"), F.sum(F.expr("members * (members - 1) / 2")))
+        if not rows:
             return labels
-        apart = stage(join_hot(named, buckets.select("key"), ["key"]), "apart")
+        hot = hot_keys(members, ["key"], buckets.select("key", F.col("members").alias("rows")))
+        apart = stage(join_hot(named, buckets.select("key"), ["key"], hot), "apart")
         last = turn > 0 and (pairs <= FEW_PAIRS * rows or pairs > before / 2)
-        found = _left_pairs(apart, buckets, info, percent) if last else _star_pairs(apart, buckets, info, turn, percent)
-        links = stage(_confirmed(stage(found, "alike"), sets, percent), "links")
-        if not links.isEmpty():
+        found = _left_links(apart, hot, buckets, info, sets, percent) if last else _star_links(apart, hot, info, sets, turn, percent)
+        links, (n,) = observed_stage(found, "links", F.count(F.lit(1)))
+        if n:
             roots = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "label")
-            labels = stage(join_hot(labels, roots, ["label"], "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+            labels = stage(join_hot(labels, roots, ["label"], hot_keys(labels, ["label"]), "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
         if last:
             return labels
         before, turn = pairs, turn + 1
@@ -306,9 +307,10 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     labels = _linked(classes, documents, size, percent)
     named = stage(classes.select("set_a", "set_b", "low", "node").join(labels, "node", "left").select("set_a", "set_b", "low", F.coalesce("label", "node").alias("root")), "named")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = stage(join_hot(named.drop("low"), lowest, ["root"]), "of_class")
+    of_class = stage(join_hot(named.drop("low"), lowest, ["root"], hot_keys(named, ["root"])), "of_class")
     empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_key", "uid", F.lit(None).cast("long").alias("root"))
-    full = join_hot(rows.filter("n > 0").select("doc_id", "n", "text_key", "uid", "set_a", "set_b"), of_class, ["set_a", "set_b"])
+    worded = rows.filter("n > 0").select("doc_id", "n", "text_key", "uid", "set_a", "set_b")
+    full = join_hot(worded, of_class, ["set_a", "set_b"], hot_keys(worded, ["set_a", "set_b"]))
     full = full.select("doc_id", "n", "component_id", "text_key", "uid", "root")
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return full.union(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "text_key", "uid", "root")
