@@ -61,3 +61,55 @@ def bce_loss(logit: Column, target: Column, positive_weight: float = 1.0) -> Col
 
     terms = F.zip_with(logit, target, one)
     return try_divide(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.size(terms))
+
+
+def sigmoid(z: Column) -> Column:
+    """The logistic function, its argument held to +-30."""
+    return 1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
+
+
+def _mean(terms: Column) -> Column:
+    return try_divide(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.size(terms))
+
+
+def boundary_loss(logit: Column, distance: Column) -> Column:
+    """Mean of the probability times the signed distance (positive outside): what lies far outside costs most."""
+    return _mean(F.zip_with(logit, distance, lambda z, d: sigmoid(z) * d))
+
+
+def boundary_focal_loss(logit: Column, target: Column, band: Column, positive_weight: float = 2.5, gamma: float = 2.0) -> Column:
+    """Focal cross-entropy over the boundary band, by its own count; 0 without a band."""
+
+    def one(s: Column) -> Column:
+        z, t = s["z"], s["t"].cast("double")
+        soft = F.log1p(F.exp(-F.abs(z))) + F.greatest(-z, F.lit(0.0))
+        cost = (1 - t) * z + (1 + (positive_weight - 1) * t) * soft
+        hit = t * sigmoid(z) + (1 - t) * (1 - sigmoid(z))
+        return F.pow(F.greatest(1 - hit, F.lit(0.0)), F.lit(gamma)) * cost
+
+    rows = F.arrays_zip(logit.alias("z"), target.alias("t"), band.alias("b"))
+    return F.coalesce(_mean(F.transform(F.filter(rows, lambda s: s["b"]), one)), F.lit(0.0))
+
+
+def clipped_distance_loss(predicted: Column, distance: Column, band: float = 5.0, far_weight: float = 0.1) -> Column:
+    """Mean squared error against the signed distance (positive inside), clipped to +-band; clipped voxels weigh less."""
+
+    def one(p: Column, d: Column) -> Column:
+        t = F.least(F.greatest(d, F.lit(-band)), F.lit(band))
+        return F.when(F.abs(d) >= band, far_weight).otherwise(1.0) * (p - t) * (p - t)
+
+    return _mean(F.zip_with(predicted, distance, one))
+
+
+def deep_supervision(losses: list[Column]) -> Column:
+    """Heads from the finest on, each weighing half as much as the one before, by the sum of the weights."""
+    weights = [0.5**k for k in range(len(losses))]
+    return sum((w * x for w, x in zip(weights, losses, strict=True)), F.lit(0.0)) / sum(weights)
+
+
+def regional_dice(prediction: Column, target: Column, inside: Column, eps: float = 1e-6) -> Column:
+    """Smoothed Dice over the voxels that `inside` marks."""
+    rows = F.filter(F.arrays_zip(prediction.alias("p"), target.alias("t"), inside.alias("i")), lambda s: s["i"])
+    count = lambda test: F.size(F.filter(rows, test))
+    both, p, t = count(lambda s: s["p"] & s["t"]), count(lambda s: s["p"]), count(lambda s: s["t"])
+    return (2.0 * both + eps) / (p + t + eps)

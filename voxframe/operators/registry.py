@@ -153,7 +153,7 @@ def apply_operator(df: DataFrame, name: str, severity: float, seed: int = 0, cas
             return df.withColumn(voxels, values)
         return df.withColumn(voxels, _column(op, values, inside, F.col(shape), F.col(case).cast("string"), severity, seed, params))
 
-    return df.withColumn(voxels, _kernel_udf({name: severity}, seed, params)(F.col(case).cast("string"), F.lit(name), values, inside, F.col(shape)))
+    return df.withColumn(voxels, _kernel_udf(name, severity, seed, params)(F.col(case).cast("string"), values, inside, F.col(shape)))
 
 
 def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Column, severity: float, seed: int, params: dict) -> Column:
@@ -161,45 +161,25 @@ def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Col
     return A.let(lambda v, m, s, c: op.function(ColumnVolume(v, m, s, c, seed, op.name), severity=severity, **params), voxels, mask, shape, case)
 
 
-def _kernel_udf(severity: dict[str, float], seed: int, params: dict):
-    """Of (case, operator, voxels, mask, shape): the new voxels; rows of other operators stay as they are."""
-
-    one = _one(severity, seed, params)
+def _kernel_udf(name: str, severity: float, seed: int, params: dict):
+    """Of (case, voxels, mask, shape): the new voxels."""
 
     @F.pandas_udf("array<double>")
     def kernel(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for rows in batches:
-            yield pd.Series([one(*row) for row in zip(*rows, strict=True)])
+            yield pd.Series([_one(name, severity, seed, params, *row) for row in zip(*rows, strict=True)])
 
     return kernel.asNondeterministic()  # so that it is evaluated once, by itself, and not moved into generators
 
 
-def _one(severity: dict[str, float], seed: int, params: dict) -> Callable:
-    def run(case, name, voxels, mask, shape):
-        import voxframe.operators  # noqa: F401  (registers the kernels in the worker)
-
-        if voxels is None or case is None or name not in severity:
-            return voxels
-        dims = tuple(int(k) for k in shape)
-        x, inner = np.asarray(voxels, np.float64).reshape(dims), np.asarray(mask, bool).reshape(dims)
-        try:
-            return run_kernel(get(name), x, severity[name], case_rng(seed, case, name), inner, **params).ravel()
-        except ValueError:
-            if len(severity) == 1:
-                raise
-            return voxels  # a drawn operator that a case doesn't suit leaves it as it is
-
-    return run
-
-
-def _kernels(severity: dict[str, float], seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    one = _one(severity, seed, {})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(pdf["case_id"].astype(str), pdf["_op"], pdf["voxels"], pdf["mask"], pdf["shape"], strict=True)
-        return pdf.assign(voxels=[one(*row) for row in rows])
+def _one(name: str, severity: float, seed: int, params: dict, case, voxels, mask, shape):
+    import voxframe.operators  # noqa: F401  (registers the kernels in the worker)
 
-    return run
+    if voxels is None or case is None:
+        return voxels
+    dims = tuple(int(k) for k in shape)
+    x, inner = np.asarray(voxels, np.float64).reshape(dims), np.asarray(mask, bool).reshape(dims)
+    return run_kernel(get(name), x, severity, case_rng(seed, case, name), inner, **params).ravel()
 
 
 def with_pandas(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], added: str = "") -> DataFrame:
@@ -213,18 +193,43 @@ def with_pandas(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, ", ".join([*fields, added] if added else fields))
 
 
-def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float], seed: int = 0) -> DataFrame:
-    """Applies to each row the operator that `chosen` names, in one pass; rows with null stay as they are."""
+def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float | tuple[float, float]], seed: int = 0, errors: str | None = None) -> DataFrame:
+    """Applies to each row the operator that `chosen` names; rows with null stay as they are.
+
+    A severity is a number, or a range within which a kernel's is drawn for each
+    case; a column operator takes the middle of it. Rows of kernels go through
+    Python and the others don't. A kernel's error is an error of the query, or is
+    written to the column `errors` of a row that stays as it was: no row is left
+    as it was while it is said to have been changed.
+    """
     rows = df.withColumn("_op", chosen).withColumn("voxels", F.col("voxels").cast("array<double>"))
-    kernels = {n: s for n, s in severity.items() if get(n).lowering == "kernel"}
+    bounds = {n: s if isinstance(s, tuple) else (s, s) for n, s in severity.items()}
+    kernels = [n for n in bounds if get(n).lowering == "kernel"]
     case, inside = F.col("case_id").cast("string"), F.transform("mask", lambda m: m.cast("boolean"))
-    rows = with_pandas(rows, _kernels(kernels, seed))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, failed = [], list(pdf[errors]) if errors else []
+        for k, (c, n, voxels, mask, shape) in enumerate(zip(pdf["case_id"].astype(str), pdf["_op"], pdf["voxels"], pdf["mask"], pdf["shape"], strict=True)):
+            low, high = bounds[n]
+            s = low if low == high else float(case_rng(seed, c, f"{n}:severity").uniform(low, high))
+            try:
+                out.append(_one(n, s, seed, {}, c, voxels, mask, shape))
+            except Exception as e:
+                if errors is None:
+                    raise
+                out.append(voxels)
+                failed[k] = failed[k] or f"{n}: {e}"
+        return pdf.assign(voxels=out, **({errors: failed} if errors else {}))
+
     out = None
-    for n, s in severity.items():
+    for n, (low, high) in bounds.items():
         if n not in kernels:
-            own = _column(get(n), F.col("voxels"), inside, F.col("shape"), case, s, seed, {})
+            own = _column(get(n), F.col("voxels"), inside, F.col("shape"), case, (low + high) / 2, seed, {})
             out = F.when(F.col("_op") == n, own) if out is None else out.when(F.col("_op") == n, own)
-    return rows.withColumn("voxels", F.col("voxels") if out is None else out.otherwise(F.col("voxels"))).drop("_op")
+    by_kernel = F.coalesce(F.col("_op").isin(*kernels), F.lit(False)) if kernels else F.lit(False)
+    others = rows.filter(~by_kernel)
+    others = others if out is None else others.withColumn("voxels", out.otherwise(F.col("voxels")))
+    return (others.unionByName(with_pandas(rows.filter(by_kernel), run)) if kernels else others).drop("_op")
 
 
 def chain(df: DataFrame, steps: list[tuple], seed: int = 0, **columns) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import draws
-from ..plans.routing import STRONG_DIMMERS, route_default
-from .measures import tone_map
-from .registry import OPERATORS, ColumnVolume, apply_chosen, apply_operator, get
+from ..plans.routing import HARD_PROFILES, HARD_SEVERITIES, STRONG_DIMMERS, hard_tail_verdict, route_default
+from .measures import effects, tone_map
+from .registry import OPERATORS, ColumnVolume, apply_chosen, apply_operator
 
 # Targets (csf, gm, wm) and extracranial factor of the sequences; noise, bias and contrast of the fields.
 SEQUENCES = {
@@ -78,10 +78,26 @@ def appearance(df: DataFrame, seed: int) -> DataFrame:
     return additive_noise(coarse, seed)
 
 
-def overlay(df: DataFrame, seed: int, severity: tuple[float, float] = (0.3, 0.85)) -> DataFrame:
-    """One or two distinct pool operators for each case, at most one of the strong dimmers, clipped at the end.
+#: The severity of pool operators that have no training range of their own.
+OVERLAY_SEVERITY = (0.3, 0.85)
 
-    Operators are chosen by keyed draws and applied in one pass over the rows.
+
+def apply_pool(df: DataFrame, chosen: Column, seed: int, severity: tuple[float, float] = OVERLAY_SEVERITY, errors: str | None = None) -> DataFrame:
+    """The pool operator that `chosen` names, within its training range, clipped; a value that isn't finite is an error, as apply_chosen() has them."""
+    rows = apply_chosen(df, chosen, {n: tuple(o.train or severity) for n, o in OPERATORS.items() if o.pool}, seed, errors)
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    text = "an operator gave a value that isn't finite"
+    if errors:
+        rows = rows.withColumn(errors, F.coalesce(F.col(errors), F.when(F.exists("voxels", bad), text)))
+        return rows.withColumn("voxels", F.transform("voxels", lambda x: A.clip(x)))
+    return rows.withColumn("voxels", F.transform("voxels", lambda x: F.when(bad(x), F.raise_error(F.lit(text))).otherwise(A.clip(x))))
+
+
+def overlay(df: DataFrame, seed: int, severity: tuple[float, float] = OVERLAY_SEVERITY) -> DataFrame:
+    """One or two distinct pool operators for each case, at most one of the strong dimmers, each clipped; adds `artifacts`.
+
+    Operators are chosen by keyed draws. An operator that fails, or gives values
+    that aren't finite, fails the query.
     """
     pool = [n for n, o in OPERATORS.items() if o.pool]
     names = F.array(*map(F.lit, pool))
@@ -91,10 +107,23 @@ def overlay(df: DataFrame, seed: int, severity: tuple[float, float] = (0.3, 0.85
     second = F.when(dim(F.get(order, 0)), F.get(F.filter(F.slice(order, 2, len(pool)), lambda n: ~dim(n)), 0)).otherwise(F.get(order, 1))
     count = F.when(draws.uniform(seed, case, "count") < 0.5, 1).otherwise(2)
     rows = df.withColumn("artifacts", F.when(count == 1, F.array(F.get(order, 0))).otherwise(F.array(F.get(order, 0), second)))
-    middle = {n: sum(get(n).train or severity) / 2 for n in pool}
     for turn in range(2):
-        rows = apply_chosen(rows, F.get(F.col("artifacts"), turn), middle, seed + turn)
-    return rows.withColumn("voxels", F.transform("voxels", lambda x: F.when(F.isnan(x), 0.0).otherwise(A.clip(x))))
+        rows = apply_pool(rows, F.get(F.col("artifacts"), turn), seed + turn, severity)
+    return rows
+
+
+def hard_tail(df: DataFrame, seed: int) -> DataFrame:
+    """Each case under one of the hard profiles, two operators in turn, if the gates accept what they did; else as it was. Adds `profile` and `verdict`."""
+    case = F.col("case_id").cast("string")
+    profile = draws.choice(draws.uniform(seed, case, "profile"), {k: 1.0 for k in HARD_PROFILES})
+    rows = df.withColumns({"profile": profile, "_before": F.col("voxels").cast("array<double>")})
+    for turn in range(2):
+        names = F.create_map(*[F.lit(x) for k, ops in HARD_PROFILES.items() for x in (k, ops[turn])])
+        rows = apply_chosen(rows, names[F.col("profile")], {ops[turn]: HARD_SEVERITIES[k][turn] for k, ops in HARD_PROFILES.items()}, seed + turn)
+        rows = rows.withColumn("voxels", F.transform("voxels", lambda x: A.clip(x)))
+    found = effects(F.col("_before"), F.col("voxels"), F.transform("mask", lambda m: m.cast("boolean")))
+    judged = rows.withColumns(found).withColumn("verdict", hard_tail_verdict())
+    return judged.withColumn("voxels", F.when(F.col("verdict") == "accept", F.col("voxels")).otherwise(F.col("_before"))).drop("_before", *found)
 
 
 def routed(df: DataFrame, seed: int) -> DataFrame:

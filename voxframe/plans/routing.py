@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.draws import choice
 
 #: Default shares of the router.
@@ -16,6 +18,8 @@ MIXED_REST = {"clean": 0.15, "standard": 0.15, "benign": 0.35, "label_synthesis"
 BENIGN_REST = {"clean": 0.25, "standard": 0.25, "benign": 0.50}
 #: Hard-tail profiles, each of two operators.
 HARD_PROFILES = {"motion_gibbs": ("gibbs", "motion"), "ghost_rician": ("ghosting", "rician_noise"), "undersample_recon": ("pe_undersample", "dl_recon"), "bias_erasing": ("bias", "random_erasing"), "alias_gfactor": ("aliasing", "g_factor_noise")}
+#: The severities of each profile's operators.
+HARD_SEVERITIES = {"motion_gibbs": ((0.38, 0.44), (0.10, 0.20)), "ghost_rician": ((0.70, 0.95), (0.25, 0.45)), "undersample_recon": ((0.70, 1.00), (0.40, 0.65)), "bias_erasing": ((0.50, 0.75), (0.65, 0.90)), "alias_gfactor": ((0.65, 0.90), (0.18, 0.30))}
 POSTERIOR_PHENOTYPES = {"p1": 0.20, "p2": 0.15, "p3": 0.25, "p4": 0.30, "p5": 0.10}
 STRONG_DIMMERS = ("dropout", "signal_drop_band", "bounce_point_null", "void", "metal_void")
 
@@ -113,6 +117,40 @@ def batch_gate(seed: int, epoch: int, batch: int, size: int, fraction: float) ->
     return (mixed >> 11) / 2**53 < fraction
 
 
+def _decimal(n: int) -> Column:
+    return F.lit(Decimal(n))
+
+
+def _affine64(v: Column, factor: int, plus: int) -> Column:
+    """v * factor + plus modulo 2**64 of a BIGINT's bits, in decimals, since a BIGINT doesn't wrap."""
+    word, half = _decimal(1 << 64), _decimal(1 << 32)
+    low, high = v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(10,0)"), F.shiftrightunsigned(v, 32).cast("decimal(10,0)")
+    cross = ((low * _decimal(factor >> 32) + high * _decimal(factor & 0xFFFFFFFF)) % half).cast("decimal(10,0)")
+    total = ((low * _decimal(factor & 0xFFFFFFFF) + cross * half + _decimal(plus)) % word).cast("decimal(20,0)")
+    return let(lambda t: F.when(t >= _decimal(1 << 63), t - word).otherwise(t).cast("long"), total)
+
+
+def splitmix64_column(x: Column) -> Column:
+    """splitmix64() of a BIGINT's bits."""
+
+    def shaken(shift: int):
+        return lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, shift))
+
+    v = let(shaken(30), let(lambda a: _affine64(a, 1, 0x9E3779B97F4A7C15), x))
+    v = let(shaken(27), let(lambda a: _affine64(a, 0xBF58476D1CE4E5B9, 0), v))
+    return let(shaken(31), let(lambda a: _affine64(a, 0x94D049BB133111EB, 0), v))
+
+
+def with_batch_gate(df: DataFrame, seed: int, epoch: str, batch: str, size: str, fraction: float, name: str = "attacked") -> DataFrame:
+    """batch_gate() of each row's columns, one step at a time so that no expression nests all of them."""
+    first = splitmix64(seed)
+    df = df.withColumn("_mixed", F.lit(first - (1 << 64) if first >= 1 << 63 else first).cast("long"))
+    for k, v in enumerate((epoch, batch, size)):
+        df = df.withColumn("_own", splitmix64_column(F.col(v).cast("long") + k + 1))
+        df = df.withColumn("_mixed", splitmix64_column(F.col("_mixed").bitwiseXOR(F.col("_own"))))
+    return df.withColumn(name, F.shiftrightunsigned("_mixed", 11) / float(2**53) < fraction).drop("_mixed", "_own")
+
+
 #: The gates of the hard tail in order, first match wins: (name, condition in SQL over effect columns).
 VETOES = (
     ("operator_noop", "mean_abs <= 1e-8"), ("floor_fraction", "floor_fraction > 0.02"), ("insufficient_effect", "changed < 1e-3 OR mean_abs < 5e-4 OR mask_mean_abs < 1e-3 OR mask_p99_abs < 0.02"),

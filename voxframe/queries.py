@@ -658,3 +658,6 @@ def _ramp(spark, sf):
 @query("lr_schedule", f"SELECT event_id, round(CASE WHEN s < 100 THEN 0.01 * (0.1 + 0.9 * s / 100.0) ELSE 0.5 * 0.01 * (1 + cos({math.pi!r} * least(1.0, (s - 100) / 900.0))) END, 6) + 0.0 AS rate FROM (SELECT event_id, event_id % 1200 AS s FROM events)")
 def _rate(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(routing.lr_schedule(F.col("event_id") % 1200, 100, 1000, 0.01)).alias("rate"))
+
+
+from . import queries_more as queries_more  # noqa: E402  (registers its queries)
