@@ -275,11 +275,11 @@ def bias(x, severity, rng, mask, voxel_length_range=(3, 96), field_kind=None):
 
 
 @operator("chemical_shift", "intensity", "3d", (0.0, 1.0), pool=True, train=(0.12, 0.8))
-def chemical_shift(x, severity, rng, mask, axis=None):
+def chemical_shift(x, severity, rng, mask, axis=None, shift=None):
     """The bright outer shell moves by whole voxels along an axis, without wrap: added there, taken away here."""
     axis = int(rng.integers(x.ndim)) if axis is None else axis
     fat = np.where(_shell(x, 0.2), x, 0.0) * (x > _top(x, 60))
-    by = int(1 + 9 * severity * rng.random()) * int(rng.choice((-1, 1)))
+    by = int(1 + 9 * severity * rng.random()) * int(rng.choice((-1, 1))) if shift is None else shift
     moved = P._shifted(fat, [by if a == axis else 0 for a in range(x.ndim)], 0.0)
     return _clip(x + severity * (moved - 0.8 * fat))
 
