@@ -44,22 +44,54 @@ def _otsu(counts: Column, n: Column, sums: Column, bins: int) -> Column:
     return F.aggregate(F.transform(counts, lambda c, k: F.struct(c.alias("c"), k.alias("k"))), start, step, lambda a: (a["at"] + 0.5) / bins)
 
 
-def effects(before: Column, after: Column, mask: Column) -> dict[str, Column]:
-    """What an operator did: the columns that the hard tail's gates read."""
-    gone = F.zip_with(before, after, lambda x, y: F.abs(y - x))
-    inside = A.where(gone, mask, lambda d, m: m)
-    n = F.size(before)
-    share = lambda a, test: F.size(F.filter(a, test)).cast("double") / n
-    both = lambda test: F.size(F.filter(F.zip_with(before, after, test), lambda t: t)).cast("double") / n
-    spread = lambda a: A.percentile(a, 99.0) - A.percentile(a, 1.0)
-    rms = lambda a: F.sqrt(A.mean(F.transform(a, lambda x: x * x)))
-    support = F.size(F.filter(before, lambda x: x > 0.05))
-    kept = F.size(F.filter(F.zip_with(before, after, lambda x, y: (x > 0.05) & (y > 0.05)), lambda t: t))
-    return {
-        "changed": share(gone, lambda d: d > 1e-3), "mean_abs": A.mean(gone), "p99_abs": A.percentile(gone, 99.0), "mask_mean_abs": F.coalesce(A.mean(inside), F.lit(0.0)), "mask_p99_abs": F.coalesce(A.percentile(inside, 99.0), F.lit(0.0)),
-        "range_ratio": A.try_divide(spread(after), spread(before)), "rms_ratio": A.try_divide(rms(after), rms(before)), "floor_fraction": share(after, lambda x: x < 0), "new_zero": both(lambda x, y: (x > 0) & (y <= 0)), "new_one": both(lambda x, y: (x < 1) & (y >= 1)),
-        "exact_one": share(after, lambda x: x == 1), "plateau": plateau_fraction(after), "support_retention": F.coalesce(A.try_divide(kept.cast("double"), support), F.lit(1.0)),
-    }
+#: The names of effects(), in order.
+EFFECTS = (
+    "mean_abs", "support_mean_abs", "changed", "support_p99_abs", "range_before", "range_after", "range_ratio", "support_floor", "support_low", "support_high", "support_retention",
+    "mask_mean_abs", "mask_p99_abs", "rms_ratio", "new_zero", "new_one", "exact_one", "plateau_before", "plateau",
+)
+
+
+def effects(before: Column, after: Column, mask: Column) -> Column:
+    """What an operator did: a struct of EFFECTS, which the hard tail's gates read.
+
+    The support is what exceeds a quarter of the first percentile of the
+    positives (everything, if nothing does). Null where there is no mask to judge by.
+    """
+    low = 1e-6
+
+    def judged(rows: Column, floor: Column) -> Column:
+        some = F.filter(rows, lambda r: r["x"] > floor)
+        return A.let(lambda s, t: found(rows, s, t, floor), F.when(F.size(some) > 0, some).otherwise(rows), F.filter(rows, lambda r: r["m"]))
+
+    def found(rows: Column, s: Column, t: Column, floor: Column) -> Column:
+        of = lambda a, k: F.transform(a, lambda r: r[k])
+        gap = lambda a: F.transform(a, lambda r: F.abs(r["y"] - r["x"]))
+        share = lambda a, test: A.try_divide(F.size(F.filter(a, test)).cast("double"), F.size(a))
+        spread = lambda a: A.let(lambda v: A.percentile(v, 95.0) - A.percentile(v, 5.0), a)
+        rms = lambda a: F.sqrt(A.mean(F.transform(a, lambda x: x * x)))
+        values = {
+            "mean_abs": A.mean(gap(rows)), "support_mean_abs": A.mean(gap(s)), "changed": share(rows, lambda r: F.abs(r["y"] - r["x"]) > low), "support_p99_abs": A.percentile(gap(s), 99.0),
+            "range_before": spread(of(s, "x")), "range_after": spread(of(s, "y")), "support_floor": floor, "support_low": share(s, lambda r: r["y"] <= low), "support_high": share(s, lambda r: r["y"] >= 1 - low),
+            "support_retention": share(s, lambda r: r["y"] > floor), "mask_mean_abs": A.mean(gap(t)), "mask_p99_abs": A.percentile(gap(t), 99.0), "rms_ratio": rms(of(t, "y")) / (rms(of(t, "x")) + 1e-8),
+            "new_zero": share(t, lambda r: (r["y"] <= low) & (r["x"] > low)), "new_one": share(t, lambda r: (r["y"] >= 1 - low) & (r["x"] < 1 - low)), "exact_one": share(t, lambda r: r["y"] >= 1 - low),
+            "plateau_before": F.when(F.size(t) > 0, plateau_fraction(of(t, "x"))), "plateau": F.when(F.size(t) > 0, plateau_fraction(of(t, "y"))),
+        }
+        return A.let(lambda a, b: F.struct(*[(b / (a + 1e-8) if k == "range_ratio" else a if k == "range_before" else b if k == "range_after" else values[k]).alias(k) for k in EFFECTS]), values["range_before"], values["range_after"])
+
+    rows = F.arrays_zip(before.alias("x"), after.alias("y"), mask.alias("m"))
+    floor = F.greatest(F.lit(low), F.coalesce(A.percentile(A.positives(before), 1.0) * 0.25, F.lit(low)))
+    return A.let(judged, rows, floor)
+
+
+def raised_floor(before: Column, after: Column) -> Column:
+    """The volume after, where positives that fell to 0 get 1 % of what they were (2e-6 at least)."""
+    return F.zip_with(before, after, lambda x, y: F.when((x > 1e-6) & (y <= 1e-6), F.greatest(F.lit(2e-6), 0.01 * x)).otherwise(y))
+
+
+def floor_share(before: Column, after: Column) -> Column:
+    """The share of the positives that fell to 0."""
+    gone = F.size(F.filter(F.zip_with(before, after, lambda x, y: (x > 1e-6) & (y <= 1e-6)), lambda t: t))
+    return gone / F.greatest(F.lit(1), F.size(F.filter(before, lambda x: x > 1e-6))).cast("double")
 
 
 def lag_correlation(v: ColumnVolume, axis: int, lag: int = 1, least: int = 64) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import draws
-from ..plans.routing import HARD_PROFILES, HARD_SEVERITIES, STRONG_DIMMERS, hard_tail_verdict, route_default
-from .measures import effects, tone_map
+from ..plans.routing import HARD_PROFILES, HARD_SEVERITIES, NEW_ZERO_CAPS, STRONG_DIMMERS, hard_tail_verdict, route_default
+from .measures import EFFECTS, effects, floor_share, raised_floor, tone_map
 from .registry import OPERATORS, ColumnVolume, apply_chosen, apply_operator
 
 # Targets (csf, gm, wm) and extracranial factor of the sequences; noise, bias and contrast of the fields.
@@ -112,18 +112,36 @@ def overlay(df: DataFrame, seed: int, severity: tuple[float, float] = OVERLAY_SE
     return rows
 
 
+def judged(df: DataFrame, before: str, after: str, profile: Column, step_abs: Column) -> DataFrame:
+    """Rows with `after` raised from 0 where it was positive, the effects as columns, and the `verdict` of the hard tail's gates."""
+    zero_cap = F.coalesce(F.create_map(*[F.lit(x) for k, v in NEW_ZERO_CAPS.items() for x in (k, v)])[profile], F.lit(0.01))
+    inside = F.transform("mask", lambda m: m.cast("boolean"))
+    gone = A.where(F.zip_with(before, after, lambda x, y: ((x > 1e-6) & (y <= 1e-6)).cast("double")), inside, lambda _, m: m)
+    raw = {"step_abs": step_abs, "zero_cap": zero_cap, "floor_share": floor_share(F.col(before), F.col(after)), "raw_new_zero": A.mean(gone)}
+    rows = df.withColumns(raw).withColumn(after, raised_floor(F.col(before), F.col(after)))
+    rows = rows.withColumn("_effects", effects(F.col(before), F.col(after), inside))
+    return rows.withColumns({k: F.col(f"_effects.{k}") for k in EFFECTS}).drop("_effects").withColumn("verdict", hard_tail_verdict())
+
+
 def hard_tail(df: DataFrame, seed: int) -> DataFrame:
-    """Each case under one of the hard profiles, two operators in turn, if the gates accept what they did; else as it was. Adds `profile` and `verdict`."""
+    """Each case under one of the hard profiles, two operators in turn, if the gates accept what they did; else as it was. Adds `profile` and `verdict`.
+
+    Operators don't see the mask, which only the gates read; an operator's error fails the query.
+    """
     case = F.col("case_id").cast("string")
     profile = draws.choice(draws.uniform(seed, case, "profile"), {k: 1.0 for k in HARD_PROFILES})
-    rows = df.withColumns({"profile": profile, "_before": F.col("voxels").cast("array<double>")})
+    own = F.transform("voxels", lambda x: x.cast("double"))
+    rows = df.withColumns({"profile": profile, "voxels": own}).withColumns({"_before": F.col("voxels"), "_mask": F.col("mask"), "_step": F.lit(float("inf"))})
+    rows = rows.withColumn("mask", F.transform("voxels", lambda x: x > 0))
     for turn in range(2):
         names = F.create_map(*[F.lit(x) for k, ops in HARD_PROFILES.items() for x in (k, ops[turn])])
+        rows = rows.withColumn("_last", F.col("voxels"))
         rows = apply_chosen(rows, names[F.col("profile")], {ops[turn]: HARD_SEVERITIES[k][turn] for k, ops in HARD_PROFILES.items()}, seed + turn)
         rows = rows.withColumn("voxels", F.transform("voxels", lambda x: A.clip(x)))
-    found = effects(F.col("_before"), F.col("voxels"), F.transform("mask", lambda m: m.cast("boolean")))
-    judged = rows.withColumns(found).withColumn("verdict", hard_tail_verdict())
-    return judged.withColumn("voxels", F.when(F.col("verdict") == "accept", F.col("voxels")).otherwise(F.col("_before"))).drop("_before", *found)
+        rows = rows.withColumn("_step", F.least("_step", A.mean(F.zip_with("voxels", "_last", lambda a, b: F.abs(a - b)))))
+    done = judged(rows.withColumn("mask", F.col("_mask")), "_before", "voxels", F.col("profile"), F.col("_step"))
+    out = done.withColumn("voxels", F.when(F.col("verdict") == "accept", F.col("voxels")).otherwise(F.col("_before")))
+    return out.select(*df.columns, "profile", "verdict")
 
 
 def routed(df: DataFrame, seed: int) -> DataFrame:

@@ -151,10 +151,15 @@ def with_batch_gate(df: DataFrame, seed: int, epoch: str, batch: str, size: str,
     return df.withColumn(name, F.shiftrightunsigned("_mixed", 11) / float(2**53) < fraction).drop("_mixed", "_own")
 
 
-#: The gates of the hard tail in order, first match wins: (name, condition in SQL over effect columns).
+#: The new zeros that a profile may make in the mask, where it isn't 0.01.
+NEW_ZERO_CAPS = {"bias_erasing": 0.15}
+#: The gates of the hard tail in order, first match wins: (name, condition in SQL over measures.EFFECTS,
+#: the steps' least mean change `step_abs`, `floor_share`, `raw_new_zero` and the profile's `zero_cap`).
 VETOES = (
-    ("operator_noop", "mean_abs <= 1e-8"), ("floor_fraction", "floor_fraction > 0.02"), ("insufficient_effect", "changed < 1e-3 OR mean_abs < 5e-4 OR mask_mean_abs < 1e-3 OR mask_p99_abs < 0.02"),
-    ("dynamic_range", "range_ratio < 0.35 OR range_ratio > 5"), ("rms", "rms_ratio < 0.25 OR rms_ratio > 5"), ("new_zero", "new_zero > 0.01"), ("new_one", "new_one > 0.08"), ("exact_one", "exact_one > 0.10"), ("plateau", "plateau > 0.20"), ("support", "support_retention < 0.65"),
+    ("operator_noop", "step_abs <= 1e-8"), ("positive_magnitude_floor_fraction", "floor_share > 0.02"), ("raw_new_zero_saturation", "raw_new_zero > zero_cap"),
+    ("insufficient_effect", "changed < 1e-3 OR mean_abs < 5e-4 OR support_mean_abs < 1e-3 OR mask_mean_abs < 1e-3 OR mask_p99_abs < 0.02"),
+    ("supported_dynamic_range", "NOT range_ratio BETWEEN 0.35 AND 5"), ("in_mask_rms", "NOT rms_ratio BETWEEN 0.25 AND 5"), ("new_zero_saturation", "new_zero > zero_cap"), ("new_one_saturation", "new_one > 0.08"),
+    ("exact_one_saturation", "exact_one > 0.10"), ("in_mask_plateau", "plateau > 0.20"), ("support_floor_retention", "support_retention < 0.65"), ("no_mask", "mask_mean_abs IS NULL"),
 )
 
 

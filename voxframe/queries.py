@@ -190,15 +190,6 @@ def _tone(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.posexplode(M.tone_map(F.col("voxels"), 1.2, [0.0, 0.6, 1.0], 1.1, 0.05)).alias("idx", "value")).withColumn("value", r6(F.col("value")))
 
 
-@query("quantile_transfer")
-def _transfer(spark, sf):
-    """Each volume to the quantiles of the next one."""
-    v = _vectors(spark, sf)
-    donor = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("voxels").alias("donor"))
-    out = v.join(donor, "vec_id").select("vec_id", M.quantile_transfer(F.col("voxels"), F.col("donor"), points=16).alias("voxels"))
-    return out.select("vec_id", F.posexplode("voxels").alias("idx", "value")).withColumn("value", r6(F.col("value")))
-
-
 _measure("robust_sigma", f"WITH {_VOX}, d AS (SELECT vox.vec_id, median(abs(x - med)) AS d FROM vox JOIN vol USING (vec_id) GROUP BY vox.vec_id) SELECT vec_id, round(1.4826 * d, 6) + 0.0 AS sigma FROM d", sigma=lambda: r6(M.robust_sigma(F.col("voxels"))))
 _measure("plateau_fraction", f"WITH {_VOX}, g AS (SELECT vec_id, round_even(x * 1024, 0) AS q, count(*) AS n FROM vox GROUP BY 1, 2) SELECT vec_id, round(max(n) / 64.0, 6) + 0.0 AS plateau FROM g GROUP BY vec_id", plateau=lambda: r6(M.plateau_fraction(F.col("voxels"))))
 _measure(
@@ -222,27 +213,6 @@ def _bbox(spark, sf):
     return b.select("vec_id", F.get("x.low", 0).alias("low_i"), F.get("x.high", 0).alias("high_i"), F.get("x.low", 1).alias("low_j"), F.get("x.high", 2).alias("high_k"), *[r6(F.get("x.centroid", k)).alias(n) for k, n in enumerate(("ci", "cj", "ck"))], F.col("x.n").alias("n"))
 
 
-@query(
-    "effect_metrics",
-    f"""WITH {_VOX}, e AS (SELECT vec_id, x, m, {_CL.format('CASE WHEN m THEN x * 0.7 ELSE x END')} AS y FROM vox)
-    SELECT vec_id, round(avg((abs(y - x) > 1e-3)::INTEGER), 6) + 0.0 AS changed, round(avg(abs(y - x)), 6) + 0.0 AS mean_abs, round(quantile_cont(abs(y - x), 0.99), 6) + 0.0 AS p99_abs, round(avg(abs(y - x)) FILTER (WHERE m), 6) + 0.0 AS mask_mean_abs,
-    round((quantile_cont(y, 0.99) - quantile_cont(y, 0.01)) / (quantile_cont(x, 0.99) - quantile_cont(x, 0.01)), 6) + 0.0 AS range_ratio, round(sqrt(avg(y * y)) / sqrt(avg(x * x)), 6) + 0.0 AS rms_ratio, round(avg((y = 1)::INTEGER), 6) + 0.0 AS exact_one FROM e GROUP BY vec_id""",
-)
-def _effects(spark, sf):
-    before = _vectors(spark, sf).withColumn("before", F.col("voxels"))
-    after = apply_operator(before, "brain_intensity", 0.7, case="vec_id")
-    e = M.effects(F.col("before"), F.col("voxels"), F.col("mask"))
-    return after.select("vec_id", *[r6(e[k]).alias(k) for k in ("changed", "mean_abs", "p99_abs", "mask_mean_abs", "range_ratio", "rms_ratio", "exact_one")])
-
-
-@query("hard_tail_verdicts")
-def _verdicts(spark, sf):
-    before = _vectors(spark, sf).withColumn("before", F.col("voxels"))
-    after = apply_operator(apply_operator(before, "bias", 0.6, SEED, case="vec_id"), "random_erasing", 0.7, SEED, case="vec_id", magnitude_noise=True)
-    e = M.effects(F.col("before"), F.col("voxels"), F.col("mask"))
-    return after.select("vec_id", *[c.alias(k) for k, c in e.items()]).select("vec_id", routing.hard_tail_verdict().alias("verdict"))
-
-
 @query("top_fraction_support", f"WITH {_VOX}, r AS (SELECT vec_id, idx, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, idx) AS n FROM vox) SELECT vec_id, idx::INTEGER AS idx FROM r WHERE n <= 7")
 def _support(spark, sf):
     v = _vectors(spark, sf).select("vec_id", F.posexplode(M.top_fraction(F.col("voxels"), 0.1)).alias("idx", "keep"))
@@ -264,23 +234,6 @@ def _orientation(spark, sf):
     return rows.select("vec_id", "idx", r6(F.col("p.t")).alias("turned"), r6(F.col("p.b")).alias("back"))
 
 
-@query("sliding_window_blend")
-def _sliding(spark, sf):
-    blended = spatial.sliding_blend(_v(), 2, 1, lambda x, number: x * (1.0 + number % 7 / 10.0))
-    return _vectors(spark, sf).select("vec_id", F.posexplode(blended).alias("idx", "value")).withColumn("value", r6(F.col("value")))
-
-
-@query("largest_component")
-def _largest(spark, sf):
-    return spatial.components(_vectors(spark, sf)).select("vec_id", F.get("component_sizes", 0).alias("largest"), F.size("component_sizes").alias("components"))
-
-
-@query("postprocess_mask")
-def _post(spark, sf):
-    out = spatial.postprocess_masks(_vectors(spark, sf), threshold=0.6, keep_ratio=0.05)
-    return out.select("vec_id", F.size(F.filter("mask", lambda m: m)).alias("voxels"), "dropped_component", evaluation.review_flags(F.col("mask_fraction"), F.col("dropped_component")).alias("review"))
-
-
 _LOSS = f"WITH {_VOX}, q AS (SELECT vec_id, x AS p, m::INTEGER::DOUBLE AS t, (x - 0.5) * 4 AS z FROM vox) SELECT vec_id, "
 _measure("tversky_loss", _LOSS + "round(1.0 - (sum(p*t) + 1e-6) / (sum(p*t) + 0.3*sum(p*(1-t)) + 0.7*sum((1-p)*t) + 1e-6), 6) + 0.0 AS loss FROM q GROUP BY vec_id", loss=lambda: r6(S.tversky_loss(F.col("voxels"), F.col("mask"))))
 _measure("bce_loss", _LOSS + "round(avg((1-t)*z + (1 + t) * (ln(1 + exp(-abs(z))) + greatest(-z, 0.0))), 6) + 0.0 AS loss FROM q GROUP BY vec_id", loss=lambda: r6(S.bce_loss(F.transform("voxels", lambda x: (x - 0.5) * 4), F.col("mask"), 2.0)))
@@ -660,4 +613,4 @@ def _rate(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(routing.lr_schedule(F.col("event_id") % 1200, 100, 1000, 0.01)).alias("rate"))
 
 
-from . import queries_more, queries_volumes  # noqa: E402, F401  (they register their queries)
+from . import queries_measures, queries_more, queries_volumes  # noqa: E402, F401  (they register their queries)
