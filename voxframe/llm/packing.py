@@ -165,5 +165,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     ranked = made.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.withColumn("block", F.expr(f"rank div {RANKS}"))
     blocks = steps.withColumn("block", F.explode(F.sequence(F.expr(f"at div {RANKS}"), F.expr(f"(at + ranks - 1) div {RANKS}"))))
-    placed = ranked.join(blocks, ["length", "block"]).filter("rank >= at AND rank < at + ranks")
+    # The steps grow with the documents up to their bound, so they aren't broadcast while they happen to be few.
+    placed = ranked.join(blocks.hint("merge"), ["length", "block"]).filter("rank >= at AND rank < at + ranks")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("at")).alias("sequence_id"), "offset")
