@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import numpy as np
@@ -88,6 +89,12 @@ def test_nifti_round_trip(spark, tmp_path):
     (tmp_path / "bad.nii").write_bytes(b"nothing")
     rows = {r["case_id"].rsplit("/", 1)[1]: r for r in read_nifti(spark, f"file://{tmp_path}").collect()}
     assert rows["a.nii"]["error"] is None and len(rows["a.nii"]["voxels"]) == 60 and rows["bad.nii"]["error"]
+    # A header needs only the file's beginning: one whose voxels are cut off, or gzipped and broken later, is read.
+    (tmp_path / "cut.nii").write_bytes(encode_nifti(x, affine)[:360])
+    (tmp_path / "z.nii.gz").write_bytes(gzip.compress(encode_nifti(np.random.default_rng(0).random((20, 20, 20)), affine))[:5000])
+    heads = {r["case_id"].rsplit("/", 1)[1]: r for r in read_nifti(spark, f"file://{tmp_path}", header_only=True).collect()}
+    assert list(heads["a.nii"]["shape"]) == list(heads["cut.nii"]["shape"]) == [3, 4, 5] and heads["a.nii"]["voxels"] is None and heads["bad.nii"]["error"]
+    assert list(heads["z.nii.gz"]["shape"]) == [20, 20, 20] and np.allclose(heads["z.nii.gz"]["spacing_mm"], [1, 2, 3])
 
 
 def test_manifest_rules(spark, tmp_path):
@@ -100,6 +107,10 @@ def test_manifest_rules(spark, tmp_path):
     for bad in ([], [{"scan": "a"}], [{"scan": "a", "mask": "a"}], [{"scan": "a", "mask": "b"}, {"scan": "a", "mask": "c"}]):
         with pytest.raises(ValueError):
             read(bad)
+    for name, text in (("l.jsonl", '{"scan": "a", "mask": "b", "id": 7}\n{"scan": "/c", "mask": "s3://d/e"}\n'), ("l.csv", "id,scan,mask\n7,a,b\n,/c,s3://d/e\n"), ("l.json", '[{"scan": "a", "mask": "b", "id": 7}, {"scan": "/c", "mask": "s3://d/e"}]')):
+        (tmp_path / name).write_text(text)
+        rows = sorted(tuple(r) for r in listings.read_manifest(spark, f"file://{tmp_path}/{name}").collect())
+        assert rows == [("2", "/c", "s3://d/e"), ("7", f"file://{tmp_path}/a", f"file://{tmp_path}/b")]
 
 
 def test_pairs_and_sinks(spark, tmp_path):

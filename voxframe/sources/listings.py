@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,34 +78,37 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """id, scan, mask of a manifest: CSV, JSON lines, a JSON list, or an object with cases or records.
 
     Relative paths belong to the manifest's folder; an id defaults to the row's
-    number from 1. Missing fields, repeated scans or ids, and a scan that is its
-    own mask raise. A manifest lists files, so it is read by the driver, whole.
+    number from 1. An empty manifest, missing fields, repeated scans or ids, and
+    a scan that is its own mask raise.
     """
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
     if path.lower().endswith(".csv"):
-        import csv
-
-        rows = list(csv.DictReader(text.lstrip("﻿").splitlines()))
-    elif path.lower().endswith(".jsonl"):
-        rows = [json.loads(line) for line in text.splitlines() if line.strip()]
+        found = spark.read.option("header", True).option("multiLine", True).csv(path)
     else:
-        got = json.loads(text)
-        rows = got if isinstance(got, list) else got.get("cases") or got.get("records") or []
-    if not rows:
+        row = "id string, scan string, mask string"
+        listed = "array<struct<id: string, scan: string, mask: string>>"
+        got = spark.read.schema(f"{row}, cases {listed}, records {listed}").option("multiLine", not path.lower().endswith(".jsonl")).json(path)
+        found = got.select(F.explode(F.coalesce("cases", "records", F.array(F.struct("id", "scan", "mask")))).alias("r")).select("r.*")
+    field = lambda n: F.nullif(F.col(n).cast("string"), F.lit("")) if n in found.columns else F.lit(None).cast("string")
+    rows = found.select(*[field(n).alias(n) for n in ("id", "scan", "mask")]).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts, starts, total = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).count().collect()), {}, 0
+    for p, n in counts:  # a number for each part of the files
+        starts[p], total = total, total + n
+    if not total:
         raise ValueError("the manifest is empty")
+    before = F.create_map(*[F.lit(x) for p, n in starts.items() for x in (p, n)])[part]
+    rows = rows.withColumn("number", before + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
+    if lacking := rows.filter("scan IS NULL OR mask IS NULL").agg(F.min("number")).first()[0]:
+        raise ValueError(f"row {lacking} lacks scan or mask")
     base = path.rsplit("/", 1)[0]
-    place = lambda p: p if p.startswith("/") or "://" in p else f"{base}/{p}"
-    out = []
-    for n, r in enumerate(rows, 1):
-        if not r.get("scan") or not r.get("mask"):
-            raise ValueError(f"row {n} lacks scan or mask")
-        out.append((str(r.get("id") or n), place(r["scan"]), place(r["mask"])))
-    for what, values in (("id", [r[0] for r in out]), ("scan", [r[1] for r in out])):
-        if len(set(values)) < len(values):
+    place = lambda c: F.when(F.col(c).startswith("/") | F.col(c).contains("://"), F.col(c)).otherwise(F.concat(F.lit(f"{base}/"), F.col(c)))
+    out = rows.select(F.coalesce("id", F.col("number").cast("string")).alias("id"), place("scan").alias("scan"), place("mask").alias("mask"))
+    for what in ("id", "scan"):
+        if not out.groupBy(what).count().filter("count > 1").isEmpty():
             raise ValueError(f"repeated {what}")
-    if any(s == m for _, s, m in out):
+    if not out.filter("scan = mask").isEmpty():
         raise ValueError("a scan is its own mask")
-    return spark.createDataFrame(out, "id string, scan string, mask string")
+    return out
 
 
 def subject_id(path: Column, explicit: Column | None = None, pattern: str | None = None) -> Column:

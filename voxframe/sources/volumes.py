@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import struct
+import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
@@ -114,6 +116,21 @@ def decode_nifti(data: bytes, header_only: bool = False) -> dict:
     return out
 
 
+def _first_bytes(uri: str, size: int = 352) -> bytes:
+    """The beginning of a file, unzipped if it is gzipped; no more than a block of it is read."""
+    where = urlparse(uri)
+    if where.scheme in ("", "file"):
+        source = open(unquote(where.path), "rb")
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        source = store.open_input_stream(path)
+    with source:
+        data = source.read(4096)
+        return zlib.decompressobj(31).decompress(data, size) if data[:2] == b"\x1f\x8b" else data[:size]
+
+
 def encode_nifti(voxels: np.ndarray, affine: np.ndarray) -> bytes:
     """A NIfTI-1 file of a volume, uint8 for masks and float32 otherwise."""
     kind, bits, data = (2, 8, voxels.astype("u1")) if voxels.dtype == bool else (16, 32, voxels.astype("<f4"))
@@ -134,7 +151,8 @@ def read_nifti(spark: SparkSession, path: str, glob: str = "*.nii*", header_only
     """One row for each file below a folder, with `error` where it can't be read.
 
     mode 'raw': values as they are; 'binary': must be 0 or 1; 'reference': finite
-    in [0, 1], then 1 where above 0.5 as float32.
+    in [0, 1], then 1 where above 0.5 as float32. With `header_only` voxels are
+    null and only the beginning of each file is read, by the URI that Spark lists.
     """
     if mode not in ("raw", "binary", "reference"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -144,7 +162,7 @@ def read_nifti(spark: SparkSession, path: str, glob: str = "*.nii*", header_only
             for r in pdf.itertuples():
                 row = {"case_id": r.path, "shape": None, "spacing_mm": None, "affine": None, "voxels": None, "error": None}
                 try:
-                    got = decode_nifti(r.content, header_only)
+                    got = decode_nifti(_first_bytes(r.path) if header_only else r.content, header_only)
                     v = got["voxels"]
                     if v is not None and mode != "raw":
                         if not np.isfinite(v).all() or v.min() < 0 or v.max() > 1 or (mode == "binary" and not np.isin(v, (0, 1)).all()):
@@ -156,4 +174,4 @@ def read_nifti(spark: SparkSession, path: str, glob: str = "*.nii*", header_only
                 yield pd.DataFrame([row])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInPandas(read, VOLUME)
+    return files.select("path", *([] if header_only else ["content"])).mapInPandas(read, VOLUME)
