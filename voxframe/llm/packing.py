@@ -161,10 +161,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     made = stage(pieces(docs, tokenizer_path, end_id, capacity), "pieces")
     counts = stage(made.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
     steps = stage(planned(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity), "steps")
+    # Counts and steps grow with the documents up to their bounds, so they aren't broadcast while they happen to be few.
     before = counts.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
-    ranked = made.join(before, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = made.join(before.hint("merge"), ["length", "task"]).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.withColumn("block", F.expr(f"rank div {RANKS}"))
     blocks = steps.withColumn("block", F.explode(F.sequence(F.expr(f"at div {RANKS}"), F.expr(f"(at + ranks - 1) div {RANKS}"))))
-    # The steps grow with the documents up to their bound, so they aren't broadcast while they happen to be few.
     placed = ranked.join(blocks.hint("merge"), ["length", "block"]).filter("rank >= at AND rank < at + ranks")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("at")).alias("sequence_id"), "offset")
