@@ -26,6 +26,8 @@ from .common import need
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
+#: A tag without quotes, as most are.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)([^>\"']*)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -106,6 +108,8 @@ class _Tags:
         """Start, end, name, whether it's an end tag, and the name's end, of the next tag or comment (no name) from `at` on."""
         page = self.page
         while (start := page.find("<", at)) >= 0:
+            if start < self.last[">"] and (m := _PLAIN.match(page, start)):
+                return start, m.end(), m[2].lower(), m[1] == "/", m.end(2)
             if m := _NAME.match(page, start + 1):
                 closing = page[start + 1] == "/"
                 end = page.find(">", m.end()) + 1 if closing and m.end() <= self.last[">"] else -1 if closing else self.end(m.end())
