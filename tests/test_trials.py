@@ -221,3 +221,25 @@ def test_code_fingerprint(spark, tmp_path):
     assert one["files"] == 2 and one["fingerprint"] == hashlib.sha256(names.encode()).hexdigest()
     (tmp_path / "a.py").write_text("3")
     assert exports.code_fingerprint(read(), str(tmp_path)).first()["fingerprint"] != one["fingerprint"]
+
+
+def test_air_and_wedge():
+    from voxframe.operators.kernels import uni_air, zero_wedge
+
+    a = uni_air(np.random.default_rng(0), 20_000, 0.5, 4.0)
+    assert abs(a.mean() - 0.5) < 0.01 and abs(a.var() - 1 / (4 * 9)) < 0.002  # Beta(4, 4)
+    b = uni_air(np.random.default_rng(0), 20_000, 0.5, 4.0, 1.0001)
+    assert abs(b.mean() - 0.5) < 0.01 and abs(b.var() - a.var()) < 0.003  # the general law meets the special one
+    _, m = head(12)
+    for seed in range(5):
+        w = zero_wedge(np.random.default_rng(seed), m)
+        assert not (w & m).any()
+    assert not zero_wedge(np.random.default_rng(0), np.ones((6, 6, 6), bool)).any()
+
+
+def test_stages_with_drawn_acquisitions(cases):
+    rows = stages.realistic_acquisition(cases.filter("case_id <> 'no mask'"), 1, share=1.0).collect()
+    assert all(r["acquisition"]["field"] in stages.FIELDS and r["acquisition"]["sequence"] in stages.SEQUENCES for r in rows)
+    assert all(0 <= x <= 1 for r in rows for x in r["voxels"])
+    source = {r["case_id"]: r["voxels"] for r in cases.collect()}
+    assert all(r["voxels"] == source[r["case_id"]] and r["acquisition"] is None for r in stages.realistic_acquisition(cases, 1, share=0.0).collect())

@@ -160,7 +160,7 @@ def surfaces(df: DataFrame, radius: int = 2, spacing: tuple[float, float, float]
 
 
 def moved(df: DataFrame, kind: str, seed: int, **params) -> DataFrame:
-    """Rows with `voxels` and `mask` moved together by `pose`, `morph` or `label_synthesis`; a mask that geometry_accepted()
+    """Rows with `voxels` and `mask` moved together by `pose`, `morph`, `mp2rage_morphology` or `label_synthesis`; a mask that geometry_accepted()
     refuses leaves both as they are. Adds `moved`, whether they are."""
 
     def one(case, voxels, mask, shape):
@@ -170,6 +170,8 @@ def moved(df: DataFrame, kind: str, seed: int, **params) -> DataFrame:
         if kind == "pose":
             own = {"degrees": rng.uniform(-180, 180, 3), "scale": rng.uniform(0.9, 1.1)} | params
             y, n = pose(x, m, **own)
+        elif kind == "mp2rage_morphology":  # gentler, and its mask may change its volume by 15 % at most
+            y, n, _ = morph(x, m, rng, rng.uniform(0.08, 0.18), ratio=(0.85, 1.15))
         elif kind == "morph":
             y, n, _ = morph(x, m, rng, **({"strength": rng.uniform(0.2, 0.45)} | params))
         else:

@@ -337,6 +337,31 @@ def t2_remap(x, severity, rng, mask, csf_thresh=0.2, gm_thresh=0.6, csf_target=0
     return _clip(np.where(mask, out + mod * (x - x[mask].mean()), out))
 
 
+def uni_air(rng: np.random.Generator, shape, centre: float = 0.5, coils: float = 32.0, inv2_scale: float = 1.0) -> np.ndarray:
+    """The stored ratio image where there is only noise: Beta(N, N) for N coils of equal noise; else two Gamma norms and the
+    cosine between random directions. Scaled so that its middle is `centre`, held to [0, 1]."""
+    n, scale = max(float(coils), 1.0), max(float(inv2_scale), 1e-3)
+    if abs(scale - 1) <= 1e-6:
+        ratio = rng.beta(n, n, shape)
+    else:
+        a, b = rng.gamma(n, 1.0, shape), rng.gamma(n, scale**2, shape)
+        around = max(n - 0.5, 0.5)
+        ratio = 0.5 + np.sqrt(a * b) * (2 * rng.beta(around, around, shape) - 1) / (a + b + 1e-12)
+    return np.clip(2 * centre * ratio, 0, 1)
+
+
+def zero_wedge(rng: np.random.Generator, mask: np.ndarray, share: float = 0.25, tries: int = 12) -> np.ndarray:
+    """The voxels beyond a tilted plane, about `share` of the volume's reach; none if each of `tries` planes would meet the mask."""
+    g = P.grid(mask.shape) - (np.reshape(mask.shape, (-1, *[1] * mask.ndim)) - 1) / 2
+    for _ in range(tries):
+        direction = rng.standard_normal(mask.ndim)
+        height = np.tensordot(direction / np.linalg.norm(direction), g, 1)
+        beyond = height > height.max() - rng.uniform(0.5, 1.0) * share * np.ptp(height)
+        if not (beyond & mask).any():
+            return beyond
+    return np.zeros(mask.shape, bool)
+
+
 #: What master strength sets in the MP2RAGE look, as (clean, real, extreme).
 _UNI = {"tissue": (0.0, 0.02, 0.06), "background": (0.0, 1.0, 1.0), "scalp": (0.0, 0.85, 1.0), "curve": (0.0, 1.0, 1.0)}
 

@@ -15,8 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import arrays as A
 from ..functions import draws
@@ -153,23 +156,25 @@ def apply_operator(df: DataFrame, name: str, severity: float, seed: int = 0, cas
             return df.withColumn(voxels, values)
         return df.withColumn(voxels, _column(op, values, inside, F.col(shape), F.col(case).cast("string"), severity, seed, params))
 
-    return df.withColumn(voxels, _kernel_udf(name, severity, seed, params)(F.col(case).cast("string"), values, inside, F.col(shape)))
-
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        masks = pdf[mask] if mask and mask in pdf else [None] * len(pdf)
+        out = []
+        for c, x, m, s in zip(pdf[case], pdf[voxels], masks, pdf[shape], strict=True):
+            m = m if m is not None or x is None else np.asarray(x, float) > 0
+            out.append(_one(name, severity, seed, params, None if pd.isna(c) else _text(c), x, m, s))
+        return pdf.assign(**{voxels: out})
 
-def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Column, severity: float, seed: int, params: dict) -> Column:
-    """The operator on bound values, so that its many references don't repeat what computes them."""
-    return A.let(lambda v, m, s, c: op.function(ColumnVolume(v, m, s, c, seed, op.name), severity=severity, **params), voxels, mask, shape, case)
+    return with_pandas(df.withColumn(voxels, values), run, changed=(voxels,))
 
 
-def _kernel_udf(name: str, severity: float, seed: int, params: dict):
-    """Of (case, voxels, mask, shape): the new voxels."""
+def _text(case) -> str:
+    """An id as Spark writes it; whole numbers that pandas holds as floats, beside nulls, are whole."""
+    return str(int(case)) if isinstance(case, float) and case == int(case) else str(case)
 
-    @F.pandas_udf("array<double>")
-    def kernel(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([_one(name, severity, seed, params, *row) for row in zip(*rows, strict=True)])
 
-    return kernel.asNondeterministic()  # so that it is evaluated once, by itself, and not moved into generators
+def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Column, severity: float, seed: int, params: dict) -> Column:
+    """The operator on bound values, so that its many references don't repeat what computes them."""
+    return A.let(lambda v, m, s, c: op.function(ColumnVolume(v, m, s, c, seed, op.name), severity=severity, **params), voxels, mask, shape, case)
 
 
 def _one(name: str, severity: float, seed: int, params: dict, case, voxels, mask, shape):
@@ -182,15 +187,23 @@ def _one(name: str, severity: float, seed: int, params: dict, case, voxels, mask
     return run_kernel(get(name), x, severity, case_rng(seed, case, name), inner, **params).ravel()
 
 
-def with_pandas(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], added: str = "") -> DataFrame:
-    """The rows through a function of pandas frames that keeps all columns and adds `added`, a batch at a time."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+def with_pandas(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], added: str = "", changed: tuple[str, ...] = ("voxels", "mask")) -> DataFrame:
+    """The rows through a function of pandas frames, a batch at a time, that writes the columns `changed` and adds `added`.
+
+    All other columns pass as they are, in Arrow, so no value of theirs is touched.
+    A step of its own in the plan, which Spark can't move into an expression.
+    """
+    more = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(added)] if added else []
+    schema = StructType([*df.schema.fields, *(StructType.fromDDL(added).fields if added else [])])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield function(pdf)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = function(batch.to_pandas())
+            arrays = [pa.array(out[f.name].tolist(), f.type) if f.name in changed else batch.column(k) for k, f in enumerate(batch.schema)]
+            arrays += [pa.array(out[name].tolist(), kind) for name, kind in more]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *(name for name, _ in more)])
 
-    return df.mapInPandas(run, ", ".join([*fields, added] if added else fields))
+    return df.mapInArrow(run, schema)
 
 
 def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float | tuple[float, float]], seed: int = 0, errors: str | None = None) -> DataFrame:
@@ -229,7 +242,7 @@ def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float | tupl
     by_kernel = F.coalesce(F.col("_op").isin(*kernels), F.lit(False)) if kernels else F.lit(False)
     others = rows.filter(~by_kernel)
     others = others if out is None else others.withColumn("voxels", out.otherwise(F.col("voxels")))
-    return (others.unionByName(with_pandas(rows.filter(by_kernel), run)) if kernels else others).drop("_op")
+    return (others.unionByName(with_pandas(rows.filter(by_kernel), run, changed=("voxels", *([errors] if errors else [])))) if kernels else others).drop("_op")
 
 
 def chain(df: DataFrame, steps: list[tuple], seed: int = 0, **columns) -> DataFrame:

@@ -1,17 +1,25 @@
-"""Pipeline stages: compositions of operators with keyed choices."""
+"""Pipeline stages: compositions of operators with keyed choices.
+
+Voxels are bound along with the draws, so that a kernel that made them stays outside of lambdas, where Spark can run it.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import draws
+from ..plans.acquisition import acquisition
 from ..plans.routing import HARD_PROFILES, HARD_SEVERITIES, NEW_ZERO_CAPS, STRONG_DIMMERS, hard_tail_verdict, route_default
-from .measures import EFFECTS, effects, floor_share, raised_floor, tone_map
-from .registry import OPERATORS, ColumnVolume, apply_chosen, apply_operator
+from .measures import EFFECTS, effects, floor_share, lag_correlation, raised_floor, robust_sigma, tone_map
+from . import primitives as P
+from .registry import OPERATORS, ColumnVolume, apply_chosen, apply_operator, case_rng, with_pandas
 
 # Targets (csf, gm, wm) and extracranial factor of the sequences; noise, bias and contrast of the fields.
 SEQUENCES = {
@@ -26,49 +34,114 @@ def _volume(name: str, seed: int) -> ColumnVolume:
     return ColumnVolume(F.col("voxels"), F.col("mask"), F.col("shape"), F.col("case_id").cast("string"), seed, name)
 
 
-def bias_field(df: DataFrame, seed: int, order: int = 3, strength: float = 0.5) -> DataFrame:
+def bias_field(df: DataFrame, seed: int, order: int = 3, strength: float | Column = 0.5) -> DataFrame:
     """The exponential of a random sum of low cosines without the constant one, its exponent held to 1.2."""
     v = _volume("realistic_bias_field", seed)
     terms = [(a, b, c) for a in range(order) for b in range(order) for c in range(order) if a + b + c]
-    weights = [v.between(-strength, strength, *t) / math.sqrt(len(terms)) for t in terms]
+    weights = [v.between(-1.0, 1.0, *t) * strength / math.sqrt(len(terms)) for t in terms]
+
+    def field(voxels: Column, *bound: Column) -> Column:
+        def one(x: Column, *place: Column) -> Column:
+            total = F.lit(0.0)
+            for w, t in zip(bound, terms, strict=True):
+                wave = w
+                for p, n, axis in zip(place, t, range(3), strict=True):
+                    if n:
+                        wave = wave * F.cos(math.pi * n * (p + 0.5) / v.size(axis))
+                total = total + wave
+            return x * F.exp(A.clip(total, -1.2, 1.2))
 
-    def one(x: Column, *place: Column) -> Column:
-        total = F.lit(0.0)
-        for w, t in zip(weights, terms, strict=True):
-            wave = w
-            for p, n, size in zip(place, t, range(3), strict=True):
-                if n:
-                    wave = wave * F.cos(math.pi * n * (p + 0.5) / v.size(size))
-            total = total + wave
-        return x * F.exp(A.clip(total, -1.2, 1.2))
+        return replace(v, voxels=voxels).map(one)
 
-    return df.withColumn("voxels", v.map(one))
+    return df.withColumn("voxels", A.let(field, F.col("voxels"), *weights))
 
 
-def additive_noise(df: DataFrame, seed: int, most: float = 0.05) -> DataFrame:
-    """Normal noise of a deviation drawn for each case."""
+def additive_noise(df: DataFrame, seed: int, most: float | Column = 0.05) -> DataFrame:
+    """Normal noise of a deviation drawn for each case, `most` at most."""
     v = _volume("realistic_noise", seed)
-    sigma = v.between(0.0, most, "sigma")
-    return df.withColumn("voxels", F.transform("voxels", lambda x, i: x + sigma * v.normal("n", i)))
+    return df.withColumn("voxels", A.let(lambda voxels, sigma: F.transform(voxels, lambda x, i: x + sigma * v.normal("n", i)), F.col("voxels"), v.uniform("sigma") * most))
+
+
+def tone_mapping(df: DataFrame, seed: int, gamma=(0.7, 1.5), contrast=(0.8, 1.3), brightness=(-0.1, 0.1), jitter: float = 0.22) -> DataFrame:
+    """Power, a monotone curve through six jittered knots (the first stays 0), contrast about 0.5 and brightness, all drawn for each case; clipped."""
+    v = _volume("tone_mapping", seed)
+    knots = F.array_sort(F.array(*[k / 5.0 + v.between(-jitter, jitter, "knot", k) for k in range(6)]))
+    knots = F.transform(knots, lambda y, k: F.when(k == 0, 0.0).otherwise(A.clip(y, 0.0, 1.15)))
+
+    def curve(voxels: Column, ys: Column, g: Column, c: Column, b: Column) -> Column:
+        def one(x: Column) -> Column:
+            t = F.pow(A.clip(x), g) * 5
+            k = F.least(F.floor(t).cast("int"), F.lit(4))
+            y = F.get(ys, k) + (t - k) * (F.get(ys, k + 1) - F.get(ys, k))
+            return A.clip(0.5 + c * (y - 0.5) + b)
+
+        return F.transform(voxels, one)
+
+    return df.withColumn("voxels", A.let(curve, F.col("voxels"), knots, v.between(*gamma, "gamma"), v.between(*contrast, "contrast"), v.between(*brightness, "brightness")))
+
 
+def resolution(df: DataFrame, seed: int, share: float = 0.6, most: float = 2.2, factors: tuple[float, float, float] | None = None) -> DataFrame:
+    """Each axis, with the given chance, blurred by a third of a factor up to `most`, made coarser by it and brought back."""
 
-def render_sequence(df: DataFrame, sequence: Column, field: float = 3.0, clean: bool = True, recon: str = "none", seed: int = 0) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for case, voxels, shape in zip(pdf["case_id"].astype(str), pdf["voxels"], pdf["shape"], strict=True):
+            x, rng = np.asarray(voxels, float).reshape([int(n) for n in shape]), case_rng(seed, case, "resolution")
+            f = factors or [rng.uniform(1.0, most) if rng.random() < share else 1.0 for _ in range(3)]
+            small = P.resize(P.gaussian(x, [k / 3 if k > 1 else 0.0 for k in f]), [max(1, round(n / k)) for n, k in zip(x.shape, f, strict=True)])
+            out.append(P.resize(small, x.shape).ravel())
+        return pdf.assign(voxels=out)
+
+    return with_pandas(df, run)
+
+
+def render_sequence(df: DataFrame, sequence: Column, field: float | Column = 3.0, clean: bool = True, recon: str | Column = "none", seed: int = 0) -> DataFrame:
     """Tissue by terciles of the mask remapped to a sequence's targets, others scaled; then bias and noise of the field
-    (halved if clean) and of the reconstruction."""
-    noise, bias, contrast = FIELDS[field]
+    (halved if clean) and of the reconstruction. Field and reconstruction may be columns."""
+    look = F.create_map(*[x for k, t in FIELDS.items() for x in (F.lit(float(k)), F.array(*map(F.lit, map(float, t))))])[F.lit(field) if isinstance(field, float) else field]
+    gain = F.create_map(*[F.lit(x) for k, t in RECON_NOISE.items() for x in (k, t)])[F.lit(recon) if isinstance(recon, str) else recon]
     table = F.create_map(*[x for k, t in SEQUENCES.items() for x in (F.lit(k), F.array(*map(F.lit, t)))])
-    t = table[sequence]
     inside = A.where(F.col("voxels"), F.col("mask"), lambda x, m: m)
-    low, high = A.percentile(inside, 33.0), A.percentile(inside, 67.0)
 
-    def one(p: Column) -> Column:
-        x = p["x"]
-        tissue = F.when(x < low, t[0]).when(x < high, t[1]).otherwise(t[2])
-        return A.clip(F.when(p["m"], 0.5 + contrast * (0.8 * tissue + 0.2 * x - 0.5)).otherwise(x * t[3]))
+    def remap(pairs: Column, t: Column, low: Column, high: Column, contrast: Column) -> Column:
+        def one(p: Column) -> Column:
+            x = p["x"]
+            tissue = F.when(x < low, t[0]).when(x < high, t[1]).otherwise(t[2])
+            return A.clip(F.when(p["m"], 0.5 + contrast * (0.8 * tissue + 0.2 * x - 0.5)).otherwise(x * t[3]))
+
+        return F.transform(pairs, one)
 
-    out = df.withColumn("voxels", F.transform(F.arrays_zip(F.col("voxels").alias("x"), F.col("mask").alias("m")), one))
+    zipped = F.arrays_zip(F.col("voxels").alias("x"), F.col("mask").alias("m"))
+    out = df.withColumn("voxels", A.let(remap, zipped, table[sequence], A.percentile(inside, 33.0), A.percentile(inside, 67.0), look[2]))
     half = 0.5 if clean else 1.0
-    return additive_noise(bias_field(out, seed, strength=bias * half), seed, 2 * noise * half * RECON_NOISE[recon])
+    return additive_noise(bias_field(out, seed, strength=look[1] * half), seed, look[0] * gain * (2 * half))
+
+
+def realistic_acquisition(df: DataFrame, seed: int, share: float = 0.55) -> DataFrame:
+    """In `share` of the cases a scan as another machine would make it: field, sequence, vendor and reconstruction drawn together
+    and rendered; other cases stay. Adds `acquisition`, null where nothing was drawn."""
+    case = F.col("case_id").cast("string")
+    rows = df.withColumns({"acquisition": F.when(draws.uniform(seed, case, "acquire") < share, acquisition(seed, case)), "_before": F.col("voxels")})
+    out = render_sequence(rows, F.col("acquisition.sequence"), F.col("acquisition.field"), False, F.col("acquisition.recon"), seed)
+    return out.withColumn("voxels", F.when(F.col("acquisition").isNotNull(), F.transform("voxels", lambda x: A.clip(x))).otherwise(F.col("_before"))).drop("_before")
+
+
+def style_descriptor(df: DataFrame, sigmas: tuple[float, ...] = (0.6, 1.2, 2.4), quantiles: int = 33, least: int = 64) -> DataFrame:
+    """Adds `residual_scales` (robust deviations of what a Gaussian of each sigma takes away, in the mask), `lags` (correlations
+    at one and two voxels along each axis of the finest residual) and `cdf` (equally spaced quantiles in the mask)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.asarray(x, float).reshape([int(n) for n in s]) for x, s in zip(pdf["voxels"], pdf["shape"], strict=True)]
+        return pdf.assign(_residuals=[[(x - P.gaussian(x, sigma)).ravel().tolist() for sigma in sigmas] for x in rows])
+
+    out = with_pandas(df, run, "_residuals array<array<double>>")
+    mask = F.transform("mask", lambda m: m.cast("boolean"))
+    inside = lambda a: A.where(a, mask, lambda x, m: m)
+    finest = ColumnVolume(F.get("_residuals", 0), F.col("mask"), F.col("shape"), F.lit(""), 0, "")
+    scales = F.array(*[robust_sigma(inside(F.get("_residuals", k))) for k in range(len(sigmas))])
+    lags = F.array(*[lag_correlation(finest, axis, lag, least) for lag in (1, 2) for axis in range(3)])
+    cdf = A.let(lambda s: F.array(*[A.percentile(s, 100.0 * k / (quantiles - 1)) for k in range(quantiles)]), F.array_sort(inside(F.col("voxels"))))
+    return out.withColumns({"residual_scales": scales, "lags": lags, "cdf": cdf}).drop("_residuals")
 
 
 def appearance(df: DataFrame, seed: int) -> DataFrame:

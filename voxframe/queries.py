@@ -248,12 +248,6 @@ def _overlay(spark, sf):
     return out.select(F.col("case_id").alias("vec_id"), "artifacts", r6(A.mean(F.col("voxels"))).alias("mean"))
 
 
-@query("stage_sequences")
-def _sequences(spark, sf):
-    v = embedding_volumes(spark, sf).withColumn("sequence", draws.choice(draws.uniform(SEED, F.col("case_id"), "sequence"), {k: 1.0 for k in stages.SEQUENCES}))
-    return stages.render_sequence(v, F.col("sequence"), seed=SEED).select(F.col("case_id").alias("vec_id"), "sequence", r6(A.mean(F.col("voxels"))).alias("mean"))
-
-
 @query("stage_appearance")
 def _appearance(spark, sf):
     return stages.appearance(embedding_volumes(spark, sf), SEED).select(F.col("case_id").alias("vec_id"), r6(A.mean(F.col("voxels"))).alias("mean"), r6(A.std(F.col("voxels"))).alias("std"))

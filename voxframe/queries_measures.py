@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import arrays as A
+from .functions import draws
 from .operators import spatial, stages
 from .operators import measures as M
 from .plans import evaluation, routing
-from .queries import _CL, _VOX, _v, _vectors, query, rounded
+from .queries import _CL, _VOX, SEED, _choice_sql, _normal, _u, _v, _vectors, query, r6, rounded
+from .queries_more import _long
+from .queries_volumes import _axis0, _d, _gauss, _three
+from .sources.volumes import embedding_volumes
 
 # quantiles
 
@@ -124,3 +131,99 @@ def _post(spark: SparkSession, sf: str) -> DataFrame:
     out = spatial.postprocess_masks(_vectors(spark, sf), threshold=0.6, keep_ratio=0.3)
     return out.select("vec_id", F.size(F.filter("mask", lambda m: m)).alias("voxels"), "dropped_component", evaluation.review_flags(F.col("mask_fraction"), F.col("dropped_component")).alias("review"))
 
+
+
+# stages whose draws SQL can make
+
+_TM = "tone_mapping"
+_knot = lambda k: _d(_TM, "knot", k)
+_KNOTS = f"list_sort([{', '.join(f'{k / 5.0!r} + -0.22 + 0.44 * {_knot(k)}' for k in range(6))}])"
+
+
+@query(
+    "stage_tone_mapping",
+    f"""WITH {_VOX}, k AS (SELECT vec_id, list_transform({_KNOTS}, lambda y, i: CASE WHEN i = 1 THEN 0.0 ELSE least(greatest(y, 0.0), 1.15) END) AS ys, 0.7 + 0.8 * {_d(_TM, 'gamma')} AS g, 0.8 + 0.5 * {_d(_TM, 'contrast')} AS c2, -0.1 + 0.2 * {_d(_TM, 'brightness')} AS b2 FROM vol),
+    t AS (SELECT vec_id, idx, ys, c2, b2, power({_CL.format('x')}, g) * 5 AS t FROM vox JOIN k USING (vec_id)), u AS (SELECT *, least(floor(t)::INTEGER, 4) AS n FROM t)
+    SELECT vec_id, idx::INTEGER AS idx, round({_CL.format('0.5 + c2 * (ys[n + 1] + (t - n) * (ys[n + 2] - ys[n + 1]) - 0.5) + b2')}, 6) + 0.0 AS value FROM u""",
+)
+def _tone_stage(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(stages.tone_mapping(embedding_volumes(spark, sf), SEED))
+
+
+_HALVED = [[(1 - t) * _gauss(2 / 3)[0][k] + t * _gauss(2 / 3)[3][k] for k in range(4)] for t in (0, 1 / 3, 2 / 3, 1)]
+query("stage_resolution", f"WITH {_VOX} SELECT vec_id, idx::INTEGER AS idx, round({_axis0(_HALVED)}, 6) + 0.0 AS value FROM vox")(lambda spark, sf: _long(stages.resolution(embedding_volumes(spark, sf), SEED, factors=(2.0, 1.0, 1.0))))
+
+_BF = "realistic_bias_field"
+_TERMS = [(i, j, k) for i in range(3) for j in range(3) for k in range(3) if i + j + k]
+
+
+def _bias_sql(strength: str) -> tuple[str, str]:
+    """The weights of the field's terms as columns, and the field from them."""
+    weights = ", ".join(f"(-1.0 + 2.0 * {_d(_BF, *t)}) * {strength} / {math.sqrt(26)!r} AS w{n}" for n, t in enumerate(_TERMS))
+    wave = lambda n, t: " * ".join([f"w{n}", *(f"cos({math.pi * m!r} * ({p} + 0.5) / 4)" for m, p in zip(t, "abc", strict=True) if m)])
+    return weights, f"exp(least(greatest({' + '.join(wave(n, t) for n, t in enumerate(_TERMS))}, -1.2), 1.2))"
+
+
+_WEIGHTS, _FIELD = _bias_sql("0.5")
+
+
+@query("stage_bias_field", f"WITH {_VOX}, w AS (SELECT vec_id, {_WEIGHTS} FROM vol) SELECT vec_id, idx::INTEGER AS idx, round(x * {_FIELD}, 6) + 0.0 AS value FROM vox JOIN w USING (vec_id)")
+def _bias_stage(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(stages.bias_field(embedding_volumes(spark, sf), SEED))
+
+
+_NOISE = f"({_d('realistic_noise', 'sigma')} * 0.05)"
+
+
+@query("stage_noise", f"WITH {_VOX} SELECT vec_id, idx::INTEGER AS idx, round(x + {_NOISE} * {_normal('realistic_noise', 'n')}, 6) + 0.0 AS value FROM vox")
+def _noise_stage(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(stages.additive_noise(embedding_volumes(spark, sf), SEED))
+
+
+_SQ = ", ".join(f"'{k}': [{', '.join(map(repr, t))}]" for k, t in stages.SEQUENCES.items())
+_CHOSEN = _choice_sql(_u(f"'{SEED}'", "vec_id", "'sequence'"), {k: 1.0 for k in stages.SEQUENCES})
+_W3, _F3 = _bias_sql("0.225")
+
+
+@query(
+    "stage_sequences",
+    f"""WITH {_VOX}, s AS (SELECT vec_id, quantile_cont(x, 0.33) FILTER (m) AS lo, quantile_cont(x, 0.67) FILTER (m) AS hi FROM vox GROUP BY vec_id), q AS (SELECT vec_id, {_CHOSEN} AS sequence, {_W3} FROM vol),
+    t AS (SELECT vox.*, q.* EXCLUDE (vec_id), lo, hi, MAP {{{_SQ}}}[sequence] AS t FROM vox JOIN q USING (vec_id) JOIN s USING (vec_id)),
+    r AS (SELECT *, {_CL.format("CASE WHEN m THEN 0.5 + 1.0 * (0.8 * CASE WHEN x < lo THEN t[1] WHEN x < hi THEN t[2] ELSE t[3] END + 0.2 * x - 0.5) ELSE x * t[4] END")} * {_F3} + {_d('realistic_noise', 'sigma')} * 0.018 * {_normal('realistic_noise', 'n')} AS y FROM t)
+    SELECT vec_id, any_value(sequence) AS sequence, round(avg(y), 6) + 0.0 AS mean FROM r GROUP BY vec_id""",
+)
+def _sequences(spark: SparkSession, sf: str) -> DataFrame:
+    v = embedding_volumes(spark, sf).withColumn("sequence", draws.choice(draws.uniform(SEED, F.col("case_id"), "sequence"), {k: 1.0 for k in stages.SEQUENCES}))
+    return stages.render_sequence(v, F.col("sequence"), seed=SEED).select(F.col("case_id").alias("vec_id"), "sequence", r6(A.mean(F.col("voxels"))).alias("mean"))
+
+
+@query("stage_acquisition")
+def _acquired(spark: SparkSession, sf: str) -> DataFrame:
+    out = stages.realistic_acquisition(embedding_volumes(spark, sf), SEED)
+    return out.select(F.col("case_id").alias("vec_id"), "acquisition.*", r6(A.mean(F.col("voxels"))).alias("mean"))
+
+
+def _lag_sql(axis: str, lag: int) -> str:
+    return f"(SELECT p.vec_id, CASE WHEN count(*) < 24 OR stddev_pop(p.r0) * stddev_pop(q.r0) < 1e-12 THEN 0.0 ELSE corr(p.r0, q.r0) END AS {axis}{lag} FROM res p JOIN res q ON p.vec_id = q.vec_id AND {' AND '.join(f'q.{o} = p.{o}' + (f' + {lag}' if o == axis else '') for o in 'abc')} GROUP BY p.vec_id)"
+
+
+_LAGS = [(axis, lag) for lag in (1, 2) for axis in "abc"]
+_SIGMAS = (0.6, 1.2, 2.4)
+
+
+@query(
+    "style_descriptor",
+    f"""WITH {_VOX}, res AS (SELECT p.vec_id, p.idx, p.a, p.b, p.c, p.x, p.m, {', '.join(f'p.x - {_three(*[_gauss(s)] * 3)} AS r{k}' for k, s in enumerate(_SIGMAS))} FROM vox p JOIN vox q USING (vec_id) GROUP BY p.vec_id, p.idx, p.a, p.b, p.c, p.x, p.m),
+    md AS (SELECT vec_id, {', '.join(f'median(r{k}) FILTER (m) AS m{k}' for k in range(3))} FROM res GROUP BY vec_id),
+    sc AS (SELECT res.vec_id, {', '.join(f'CASE WHEN count(*) FILTER (m) < 2 THEN 0.0 ELSE 1.4826 * median(abs(r{k} - m{k})) FILTER (m) END AS s{k}' for k in range(3))} FROM res JOIN md USING (vec_id) GROUP BY res.vec_id),
+    cd AS (SELECT vec_id, quantile_cont(x, [{', '.join(repr(k / 32) for k in range(33))}]) FILTER (m) AS cdf FROM vox GROUP BY vec_id)
+    SELECT sc.vec_id, {', '.join(f'round(s{k}, 6) + 0.0 AS scale_{k}' for k in range(3))}, {', '.join(f'round({a}{n}, 6) + 0.0 AS lag_{n}_{a}' for a, n in _LAGS)}, {', '.join(f'round(cdf[{k + 1}], 6) + 0.0 AS q{k}' for k in (0, 1, 16, 31, 32))}
+    FROM sc JOIN cd USING (vec_id) {' '.join(f'JOIN {_lag_sql(a, n)} l{a}{n} ON l{a}{n}.vec_id = sc.vec_id' for a, n in _LAGS)}""",
+)
+def _style(spark: SparkSession, sf: str) -> DataFrame:
+    out = stages.style_descriptor(embedding_volumes(spark, sf), least=24)
+    scales = [F.get("residual_scales", k).alias(f"scale_{k}") for k in range(3)]
+    lags = [F.get("lags", k).alias(f"lag_{n}_{a}") for k, (a, n) in enumerate(_LAGS)]
+    cdf = [F.get("cdf", k).alias(f"q{k}") for k in (0, 1, 16, 31, 32)]
+    done = out.select(F.col("case_id").alias("vec_id"), *scales, *lags, *cdf)
+    return rounded(done, *done.columns[1:])

@@ -191,7 +191,7 @@ def _turn(spark: SparkSession, sf: str) -> DataFrame:
     return _long(anatomy.moved(embedding_volumes(spark, sf).withColumn("mask", F.transform("mask", lambda m, i: i % 64 == 21)), "pose", SEED, degrees=(0.0, 0.0, 90.0), scale=1.0))
 
 
-for _kind in ("pose", "morph", "label_synthesis"):
+for _kind in ("pose", "morph", "mp2rage_morphology", "label_synthesis"):
 
     def _stage(spark: SparkSession, sf: str, kind: str = _kind) -> DataFrame:
         out = anatomy.moved(embedding_volumes(spark, sf), kind, SEED)
