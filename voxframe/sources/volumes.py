@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.tasks import spread
 
 VOLUME = "case_id string, shape array<int>, spacing_mm array<double>, affine array<double>, voxels array<double>, error string"
 
 
 def embedding_volumes(spark: SparkSession, sf_dir: str, normalized: bool = True) -> DataFrame:
     """Each vector of 64 values as a 4 x 4 x 4 volume; the mask is what lies above the median."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("case_id"), "label", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.transform("embedding", lambda x: x.cast("double")).alias("voxels"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(F.col("vec_id").alias("case_id"), "label", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.transform("embedding", lambda x: x.cast("double")).alias("voxels"))
     if normalized:
         rows = rows.withColumn("voxels", normalize_intensity(F.col("voxels")))
     masked = A.let(lambda v: F.struct(v.alias("voxels"), A.let(lambda m: F.transform(v, lambda x: x > m), A.median(v)).alias("mask")), F.col("voxels"))
