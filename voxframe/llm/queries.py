@@ -5,21 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.tasks import spread
 from . import digest, htmltext, langid, mixing, neardup, packing, quality, secretscan, sharding, tokenfile
 from .common import read_documents
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_tree_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return htmltext.extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_output(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.token_output(spread(read_documents(spark, sf_dir)), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = neardup.near_duplicates(read_documents(spark, sf_dir), size=4, percent=80)
+    found = neardup.near_duplicates(spread(read_documents(spark, sf_dir)), size=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -28,7 +29,7 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(read_documents(spark, sf_dir))
+    found = quality.judge(spread(read_documents(spark, sf_dir)))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
@@ -37,11 +38,11 @@ def op6_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.held_out_identification(read_documents(spark, sf_dir))
+    return langid.held_out_identification(spread(read_documents(spark, sf_dir)))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack(spread(read_documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.fingerprints(read_documents(spark, sf_dir))
+    return digest.fingerprints(spread(read_documents(spark, sf_dir)))
 
 
 QUERIES = {
