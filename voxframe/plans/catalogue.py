@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import json_string, trial_seed_hex
 from ..operators import OPERATORS
 
+#: The tiers in order, and the conditions that are no registered operators.
 TIERS = ("clean", "mild", "protocols", "full")
 MILD = ("rotation", "resize", "resolution", "mild_mix")
 #: Acquisition sequences of the protocol tier besides the two registered renderers.

@@ -9,7 +9,7 @@ import math
 
 from ..operators import OPERATORS
 
-#: The 20 stages of the pipeline besides the registered operators.
+#: The names of the 20 stages of the pipeline besides the registered operators. No result depends on their order.
 STAGES = (
     "standard_protocols", "realistic_acquisition", "realistic_appearance", "tone_mapping", "donor_histogram_transfer", "realistic_bias_field", "realistic_noise", "label_synthesis", "morphology", "orientation", "resolution", "artifact_overlay",
     "mp2rage_morphology", "mp2rage_noise_superset", "mp2rage_superset", "mp2rage_lower_feature", "mp2rage_posterior_fossa", "mp2rage_target_style", "hard_artifact_tail", "saliency_adversarial",
