@@ -87,6 +87,20 @@ SELECT doc_id, source, text_md5, copies, tokens, epoch::INTEGER AS epoch, alpha,
   row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5(concat_ws(':', '10', block::VARCHAR, coalesce(doc_id::VARCHAR, 'null'), coalesce(text_md5, 'null'), epoch::VARCHAR)), 1, 15))::BIGINT, doc_id, text_md5) - 1 AS slot
 FROM blocks"""
 
+HARD_NEGATIVES = """
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM used a JOIN used b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10"""
 
 
 def _either(pattern: str) -> str:
@@ -122,4 +136,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM d LEFT JOIN listed USING (doc_id)"""
 
 
-ORACLE_SQL = {"op3_minhash_near_duplicates": NEAR_DUPLICATES, "op5_line_frequency_quality": QUALITY, "op6_trigram_secret_scan": _secrets(), "op9_temperature_mix": MIXING}
+ORACLE_SQL = {"op3_minhash_near_duplicates": NEAR_DUPLICATES, "op5_line_frequency_quality": QUALITY, "op6_trigram_secret_scan": _secrets(), "op9_temperature_mix": MIXING, "op12_hard_negatives": HARD_NEGATIVES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, htmltext, langid, mixing, neardup, packing, quality, secretscan, sharding, tokenfile
+from . import digest, hardneg, htmltext, langid, mixing, nbsvm, neardup, packing, quality, secretscan, sharding, tokenfile, whitening
 from .common import read_documents
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -52,6 +52,18 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(read_documents(spark, sf_dir))
 
 
+def op11_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.held_out_quality(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_tree_model_text": op1_tree_model_text,
     "op2_token_output": op2_token_output,
@@ -63,5 +75,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_quartile_digest": op10_quartile_digest,
+    "op11_nb_svm_quality": op11_nb_svm_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
-
