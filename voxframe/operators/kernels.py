@@ -420,50 +420,6 @@ def _along(values, axis, ndim):
     return np.asarray(values).reshape([-1 if a == axis else 1 for a in range(ndim)])
 
 
-def _rigid(x, shift, angle):
-    """Each slice of the last axis rotated about its centre and shifted."""
-    g = P.grid(x.shape)
-    c = [(n - 1) / 2 for n in x.shape]
-    u, w = g[0] - c[0] - shift[0], g[1] - c[1] - shift[1]
-    g[0] = np.cos(angle) * u + np.sin(angle) * w + c[0]
-    g[1] = -np.sin(angle) * u + np.cos(angle) * w + c[1]
-    return P.sample(x, g)
-
-
-@operator("motion", "kspace", "3d", (0.0, 1.0), pool=True, train=(0.3, 1.1), has_detector=True)
-def motion(x, severity, rng, mask, n_poses=8, pe_axis=None, magnitude=False, batched_3d=False, slice_workers=None):
-    """Bands of phase-encoding lines come from the image in other poses; the band at the centre stays nearly clean in 40 %."""
-    axis = int(rng.integers(2)) if pe_axis is None else pe_axis
-    n, reach = x.shape[axis], 0.1 * severity * min(x.shape[:2])
-    centric = rng.random() < 0.4
-    freq = np.fft.fftfreq(n) * n
-    order = np.argsort(np.abs(freq)) if centric else np.argsort(freq)
-    k, _ = _lines(x, axis)
-    for p, band in enumerate(b for b in np.array_split(order, n_poses) if len(b)):
-        shift, angle = rng.uniform(-reach, reach, 2), np.deg2rad(rng.uniform(-6, 6) * severity)
-        if centric and (p == 0 or np.abs(freq[band]).max() <= 0.06 * n):
-            shift, angle = shift / 4, angle / 4
-        posed = np.fft.fft(_rigid(x, shift, angle), axis=axis)
-        at = [slice(None)] * x.ndim
-        at[axis] = band
-        k[tuple(at)] = posed[tuple(at)]
-    out = np.fft.ifft(k, axis=axis)
-    return _clip(np.abs(out) if magnitude else out.real)
-
-
-@operator("motion_continuous", "kspace", "3d", (0.0, 1.0), pool=True, has_detector=True)
-def motion_continuous(x, severity, rng, mask):
-    """A smooth random walk of translations, one for each phase-encoding line, as a phase on the line."""
-    n, m = x.shape[1], x.shape[0]
-    walk = P.gaussian(np.cumsum(rng.standard_normal(n)), n / 8)
-    walk -= walk.mean()
-    walk *= 0.12 * severity * min(m, n) / max(np.abs(walk).max(), 1e-9)
-    k = np.fft.fft2(x, axes=(0, 1))
-    line = np.argsort(np.argsort(np.fft.fftfreq(n)))  # acquired from one end of k-space to the other
-    phase = np.exp(-2j * np.pi * np.fft.fftfreq(m)[:, None] * walk[line][None])
-    return _clip(np.fft.ifft2(k * phase.reshape(m, n, *[1] * (x.ndim - 2)), axes=(0, 1)).real)
-
-
 @operator("eye_ghosting", "kspace", "3d", (0.0, 1.0), pool=True, has_detector=True)
 def eye_ghosting(x, severity, rng, mask, axis=0, anterior_low=True, bright_thr=0.3, base_amp=0.5, decay_frac=0.3, lr_axis=1, n_ghosts=4, ghost_step_frac=0.12, outside_amp=0.5, least_source=50):
     """A bright source in front of the mask leaves decaying copies along an axis; too small a source changes nothing."""

@@ -1,9 +1,10 @@
 """The operator registry and how operators are applied to a DataFrame of volumes.
 
-An operator is lowered in one of two ways. `column`: a function of a ColumnVolume
+An operator is lowered in one of three ways. `column`: a function of a ColumnVolume
 that gives the new voxels as a Column; it stays in the JVM. `kernel`: a function
 of a NumPy array, run in Arrow batches. Either way rows go one by one: applying
-an operator never shuffles.
+such an operator never shuffles. `job`: a function of a DataFrame of volumes, for
+work that is dealt out by slices or lines and shuffles them.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql.types import StructType
 
 from ..functions import arrays as A
 from ..functions import draws
+from ..functions.staging import stage
 
 KINDS = ("geometry", "intensity", "noise", "kspace", "focal", "structure", "meta")
 DIMS = ("2d", "3d", "either")
-RESERVED = ("x", "severity", "rng", "mask", "v")
+RESERVED = ("x", "severity", "rng", "mask", "v", "volumes", "seed")
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,7 @@ OPERATORS: dict[str, Operator] = {}
 
 def operator(name: str, kind: str, dims: str, severity: tuple[float, float], *, lowering: str = "kernel", **more):
     """Register a function; its keyword parameters beyond the reserved ones become the operator's."""
-    if kind not in KINDS or dims not in DIMS or lowering not in ("column", "kernel"):
+    if kind not in KINDS or dims not in DIMS or lowering not in ("column", "kernel", "job"):
         raise ValueError(f"{name}: unknown kind, dims or lowering")
     if severity[0] > severity[1]:
         raise ValueError(f"{name}: severity range is inverted")
@@ -156,6 +158,11 @@ def apply_operator(df: DataFrame, name: str, severity: float, seed: int = 0, cas
             return df.withColumn(voxels, values)
         return df.withColumn(voxels, _column(op, values, inside, F.col(shape), F.col(case).cast("string"), severity, seed, params))
 
+    if op.lowering == "job":
+        if op.identity_at_zero and severity <= 0:
+            return df.withColumn(voxels, values)
+        return _job(op, df.withColumn(voxels, values), severity, seed, params, case, voxels, shape)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         masks = pdf[mask] if mask and mask in pdf else [None] * len(pdf)
         out = []
@@ -177,6 +184,14 @@ def _column(op: Operator, voxels: Column, mask: Column, shape: Column, case: Col
     return A.let(lambda v, m, s, c: op.function(ColumnVolume(v, m, s, c, seed, op.name), severity=severity, **params), voxels, mask, shape, case)
 
 
+def _job(op: Operator, df: DataFrame, severity: float | Column, seed: int, params: dict, case: str, voxels: str, shape: str) -> DataFrame:
+    """The rows, numbered and staged, with the voxels that the operator's job gives for their numbers; null voxels or cases stay as they are."""
+    rows = stage(df.withColumn("_uid", F.monotonically_increasing_id()), op.name)
+    volumes = rows.filter(F.col(voxels).isNotNull() & F.col(case).isNotNull()).select("_uid", F.col(case).cast("string").alias("case_id"), F.col(voxels).alias("voxels"), F.col(shape).alias("shape"))
+    made = op.function(volumes, severity=severity, seed=seed, **params).select("_uid", F.col("voxels").alias("_new"))
+    return rows.join(made, "_uid", "left").withColumn(voxels, F.coalesce("_new", voxels)).drop("_uid", "_new")
+
+
 def _one(name: str, severity: float, seed: int, params: dict, case, voxels, mask, shape):
     import voxframe.operators  # noqa: F401  (registers the kernels in the worker)
 
@@ -210,12 +225,13 @@ def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float | tupl
     """Applies to each row the operator that `chosen` names; rows with null stay as they are.
 
     A severity is a number, or a range within which a kernel's is drawn for each
-    case; a column operator takes the middle of it. Rows of kernels go through
-    Python and the others don't. A kernel's error is an error of the query, or is
+    case; a column operator and a job take the middle of it. The rows are staged,
+    so that what made them runs once; those of kernels go through Python, those of
+    each job through it, and the others through neither. A kernel's error is an error of the query, or is
     written to the column `errors` of a row that stays as it was: no row is left
     as it was while it is said to have been changed.
     """
-    rows = df.withColumn("_op", chosen).withColumn("voxels", F.col("voxels").cast("array<double>"))
+    rows = stage(df.withColumn("_op", chosen).withColumn("voxels", F.col("voxels").cast("array<double>")), "chosen")
     bounds = {n: s if isinstance(s, tuple) else (s, s) for n, s in severity.items()}
     kernels = [n for n in bounds if get(n).lowering == "kernel"]
     case, inside = F.col("case_id").cast("string"), F.transform("mask", lambda m: m.cast("boolean"))
@@ -236,13 +252,18 @@ def apply_chosen(df: DataFrame, chosen: Column, severity: dict[str, float | tupl
 
     out = None
     for n, (low, high) in bounds.items():
-        if n not in kernels:
+        if get(n).lowering == "column":
             own = _column(get(n), F.col("voxels"), inside, F.col("shape"), case, (low + high) / 2, seed, {})
             out = F.when(F.col("_op") == n, own) if out is None else out.when(F.col("_op") == n, own)
-    by_kernel = F.coalesce(F.col("_op").isin(*kernels), F.lit(False)) if kernels else F.lit(False)
-    others = rows.filter(~by_kernel)
+    jobs = [n for n in bounds if get(n).lowering == "job"]
+    by = lambda names: F.coalesce(F.col("_op").isin(*names), F.lit(False))
+    others = rows.filter(~by([*kernels, *jobs])) if kernels or jobs else rows
     others = others if out is None else others.withColumn("voxels", out.otherwise(F.col("voxels")))
-    return (others.unionByName(with_pandas(rows.filter(by_kernel), run, changed=("voxels", *([errors] if errors else [])))) if kernels else others).drop("_op")
+    if kernels:
+        others = others.unionByName(with_pandas(rows.filter(by(kernels)), run, changed=("voxels", *([errors] if errors else []))))
+    for n in jobs:
+        others = others.unionByName(_job(get(n), rows.filter(by([n])), sum(bounds[n]) / 2, seed, {}, "case_id", "voxels", "shape"))
+    return others.drop("_op")
 
 
 def chain(df: DataFrame, steps: list[tuple], seed: int = 0, **columns) -> DataFrame:

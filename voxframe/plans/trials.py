@@ -127,7 +127,7 @@ def render(cases: DataFrame, name: str, repeat: int = 0, seed: int = 0, retries:
     elif kind == "operator":
         severity = trial_severity(name, seed, repeat)
         op = OPERATORS[name]
-        if op.lowering == "column":
+        if op.lowering != "kernel":
             out = plain(apply_operator(rows, name, severity, seed + repeat))
         else:
             out = _rendered(rows, lambda case, x, m: (run_kernel(OPERATORS[name], x, severity, case_rng(seed + repeat, case, name), m), m), retries)

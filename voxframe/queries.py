@@ -607,4 +607,4 @@ def _rate(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(routing.lr_schedule(F.col("event_id") % 1200, 100, 1000, 0.01)).alias("rate"))
 
 
-from . import queries_measures, queries_more, queries_volumes  # noqa: E402, F401  (they register their queries)
+from . import queries_blocks, queries_measures, queries_more, queries_volumes  # noqa: E402, F401  (they register their queries)

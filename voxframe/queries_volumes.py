@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .queries import _CL, _VOX, SEED, _at, _normal, _u, _volume_sql, volume_query
+from .queries import _CL, _NORMAL, _VOX, SEED, _at, _normal, _u, _volume_sql, volume_query
 
 Q = "'{}'".format
 
@@ -169,3 +169,62 @@ volume_query(
     SELECT f.vec_id, f.idx::INTEGER AS idx, round({_CL.format('f.x + 0.5 * (coalesce(g.fat, 0.0) - 0.8 * f.fat)')}, 6) + 0.0 AS value FROM f LEFT JOIN f g ON g.vec_id = f.vec_id AND g.a = f.a - 1 AND g.b = f.b AND g.c = f.c""",
     axis=0, shift=1,
 )
+
+
+# motion: the transform over four places an axis, written out as sums of cosines
+
+_DEGREE = math.pi / 180
+
+
+def _motion_sql() -> str:
+    """Poses, posed images, and the real part of the inverse of the composed spectrum; y runs along the phase axis."""
+    pose = ", ".join(f"calm * {most} * (2 * {_d('motion', name, '(p)')} - 1) AS {name}" for name, most in (("dy", "0.2"), ("dx", "0.2"), ("turn", "3.0")))
+    y, x = "least(greatest(cos(turn * {0}) * (y - 1.5) + sin(turn * {0}) * (x - 1.5) + 1.5, 0.0), 3.0)", "least(greatest(-sin(turn * {0}) * (y - 1.5) + cos(turn * {0}) * (x - 1.5) + 1.5, 0.0), 3.0)"
+    spot = lambda i, j: f"CASE WHEN axis = 0 THEN {_at(i, j)} ELSE {_at(j, i)} END"
+    near = [[spot(i, j) for j in ("j", "least(j + 1, 3)")] for i in ("i", "least(i + 1, 3)")]
+    return f"""WITH {_NORMAL},
+    drawn AS (SELECT vec_id, v, CASE WHEN {_d('motion', 'axis')} < 0.5 THEN 0 ELSE 1 END AS axis, {_d('motion', 'centric')} < 0.4 AS centric FROM vol),
+    pose AS (SELECT vec_id, p, {pose} FROM drawn, (SELECT p, CASE WHEN p = 8 THEN 0.25 ELSE 1.0 END AS calm FROM (VALUES (0), (1), (2), (3), (8)) t(p))),
+    spots AS (SELECT vec_id, p, y, x, {y.format(_DEGREE)} AS py, {x.format(_DEGREE)} AS px FROM pose, range(4) r(y), range(4) s(x)),
+    cells AS (SELECT *, floor(py)::INTEGER AS i, floor(px)::INTEGER AS j FROM spots),
+    posed AS (
+      SELECT vec_id, p, y, x, c, (1 - (py - i)) * ((1 - (px - j)) * {near[0][0]} + (px - j) * {near[0][1]}) + (py - i) * ((1 - (px - j)) * {near[1][0]} + (px - j) * {near[1][1]}) AS g
+      FROM cells JOIN drawn USING (vec_id), range(4) r(c)),
+    lines AS (SELECT vec_id, axis, fy - 2 AS fy, CASE WHEN centric AND fy >= 1 THEN 8 ELSE fy END AS p FROM drawn, range(4) r(fy)),
+    waves AS (SELECT vec_id, axis, p, fy, fx - 2 AS fx, dy, dx FROM lines JOIN pose USING (vec_id, p), range(4) r(fx)),
+    spectrum AS (
+      SELECT w.vec_id, axis, c, fy, fx, sum(g * cos({2 * math.pi!r} * (fy * (y + dy) + fx * (x + dx)) / 4)) AS re, -sum(g * sin({2 * math.pi!r} * (fy * (y + dy) + fx * (x + dx)) / 4)) AS im
+      FROM waves w JOIN posed q ON q.vec_id = w.vec_id AND q.p = w.p GROUP BY ALL),
+    back AS (
+      SELECT vec_id, axis, c, y, x, sum(re * cos({2 * math.pi!r} * (fy * y + fx * x) / 4) - im * sin({2 * math.pi!r} * (fy * y + fx * x) / 4)) / 16 AS value
+      FROM spectrum, range(4) r(y), range(4) s(x) GROUP BY ALL)
+    SELECT vec_id, (CASE WHEN axis = 0 THEN 16 * y + 4 * x ELSE 16 * x + 4 * y END + c)::INTEGER AS idx, round({_CL.format('value')}, 6) + 0.0 AS value FROM back"""
+
+
+volume_query("motion", 0.5, _motion_sql())
+
+
+def _walk_sql(name: str) -> str:
+    """The centred and smoothed walk over four lines, scaled to its reach."""
+    normal = lambda r: f"(sqrt(-2 * ln(greatest({_d('motion_continuous', name, f'({r})', 'a')}, {2.0**-33!r}))) * cos({2 * math.pi!r} * {_d('motion_continuous', name, f'({r})', 'b')}))"
+    g = _gauss(0.5)
+    steps = ", ".join(f"{normal(r)} AS s{r}" for r in range(4))
+    so_far = ", ".join(" + ".join(f"s{q}" for q in range(r + 1)) + f" AS t{r}" for r in range(4))
+    smooth = ", ".join(" + ".join(f"{g[r][q]!r} * t{q}" for q in range(4)) + f" AS w{r}" for r in range(4))
+    mean = "(w0 + w1 + w2 + w3) / 4"
+    scaled = ", ".join(f"(w{r} - {mean}) / (greatest({', '.join(f'abs(w{q} - {mean})' for q in range(4))}) + 1e-9) * 0.24" for r in range(4))
+    return f"{name} AS (SELECT vec_id, [{scaled}] AS s{name} FROM (SELECT vec_id, {smooth} FROM (SELECT vec_id, {so_far} FROM (SELECT vec_id, {steps} FROM vol))))"
+
+
+volume_query(
+    "motion_continuous", 0.5,
+    f"""WITH {_VOX}, {_walk_sql('y')}, {_walk_sql('x')},
+    spectrum AS (
+      SELECT vec_id, c, fy - 2 AS fy, fx - 2 AS fx, sum(vox.x * cos({2 * math.pi!r} * ((fy - 2) * (a + sy[fy + 1]) + (fx - 2) * (b + sx[fy + 1])) / 4)) AS re,
+        -sum(vox.x * sin({2 * math.pi!r} * ((fy - 2) * (a + sy[fy + 1]) + (fx - 2) * (b + sx[fy + 1])) / 4)) AS im
+      FROM vox JOIN y USING (vec_id) JOIN x USING (vec_id), range(4) r(fy), range(4) s(fx) GROUP BY ALL),
+    back AS (
+      SELECT vec_id, a, b, c, sum(re * cos({2 * math.pi!r} * (fy * a + fx * b) / 4) - im * sin({2 * math.pi!r} * (fy * a + fx * b) / 4)) / 16 AS value
+      FROM spectrum, range(4) r(a), range(4) s(b) GROUP BY ALL)
+    SELECT vec_id, (16 * a + 4 * b + c)::INTEGER AS idx, round({_CL.format('value')}, 6) + 0.0 AS value FROM back""",
+)
