@@ -55,26 +55,26 @@ def _radix(z: Column, sign: int) -> Column:
 
     def run(a: Column, n: Column) -> Column:
         order = F.aggregate(_steps(n), F.array(F.lit(0)), lambda o, _: F.concat(F.transform(o, lambda x: 2 * x), F.transform(o, lambda x: 2 * x + 1)))
+        twiddles = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / 2), F.lit(1)) - 1), lambda k: turn(sign * 2 * math.pi * k / n))
 
-        def step(acc: Column, s: Column) -> Column:
-            half = F.pow(F.lit(2.0), s).cast("int")
+        def merged(o: Column, w: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                half = F.call_function("shiftleft", F.lit(1), s)
 
-            def one(h: Column) -> Column:
                 def butterfly(x: Column, at: Column) -> Column:
-                    first = at % (2 * h) < h
-                    other = F.get(acc, F.when(first, at + h).otherwise(at - h))
-                    top, low = F.when(first, x).otherwise(other), F.when(first, other).otherwise(x)
-                    angle = sign * math.pi * (at % h) / h
-                    return let(
-                        lambda t, v, g: let(lambda m: F.when(g, pair(t["re"] + m["re"], t["im"] + m["im"])).otherwise(pair(t["re"] - m["re"], t["im"] - m["im"])), times(v, turn(angle))),
-                        top, low, first,
-                    )
+                    """The sum of a place and its turned partner in the upper half, the difference in the lower."""
+                    upper = at % (2 * half) < half
+                    y = F.get(acc, F.when(upper, at + half).otherwise(at - half))
+                    t = F.get(w, ((at % half) * (n / (2 * half))).cast("int"))
+                    return F.when(upper, pair(x["re"] + t["re"] * y["re"] - t["im"] * y["im"], x["im"] + t["re"] * y["im"] + t["im"] * y["re"])).otherwise(
+                        pair(y["re"] - t["re"] * x["re"] + t["im"] * x["im"], y["im"] - t["re"] * x["im"] - t["im"] * x["re"])
+                    )
 
                 return F.transform(acc, butterfly)
 
-            return let(one, half)
+            return F.aggregate(_steps(n), F.transform(o, lambda at: F.get(a, at)), step)
 
-        return let(lambda o: F.aggregate(_steps(n), F.transform(o, lambda at: F.get(a, at)), step), order)
+        return let(merged, order, twiddles)
 
     return let(lambda a: let(lambda n: run(a, n), F.size(a)), z)
 
@@ -125,12 +125,3 @@ def ifft(z: Column) -> Column:
 def frequency(k: Column, n: Column) -> Column:
     """The whole frequency of a place in a transform of length n: 0, 1, ..., then the negative ones."""
     return F.when(2 * k < n, k).otherwise(k - n)
-
-
-def turned(lines: Column) -> Column:
-    """Of an array of equally long lines, the lines across."""
-
-    def run(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(F.get(a, 0)) - 1), lambda p: F.transform(a, lambda line: F.get(line, p)))
-
-    return let(lambda a: F.when(F.size(a) > 0, run(a)).otherwise(a), lines)

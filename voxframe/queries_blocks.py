@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import fourier
+from .functions.tasks import spread
 from .operators import blocks, components
 from .queries import query, rounded, table
 
@@ -16,7 +18,7 @@ _MASK = 0.13
 
 def volume_voxels(spark: SparkSession, sf: str) -> DataFrame:
     """(case_id, i, j, k, value, mask): a vector's numbers are a plane, in rows of eight."""
-    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "value"))
+    rows = spread(table(spark, sf, "embeddings")).select("vec_id", F.posexplode("embedding").alias("at", "value"))
     place = [F.floor(F.col("vec_id") / 8).alias("case_id"), (F.col("vec_id") % 8).cast("int").alias("i"), F.floor(F.col("at") / 8).cast("int").alias("j"), (F.col("at") % 8).alias("k")]
     return rows.select(*place, F.col("value").cast("double").alias("value")).withColumn("mask", F.col("value") > _MASK)
 
@@ -111,3 +113,23 @@ FROM main m LEFT JOIN outside o ON o.case_id = m.case_id AND o.i = m.i AND o.j =
 def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """Small components dropped, holes filled."""
     return components.cleaned(volume_voxels(spark, sf))
+
+
+def _sums(values: str, n: int) -> str:
+    angle = f"2 * pi() * k * t / {n}"
+    return f"""SELECT vec_id, {n} AS n, k::INTEGER AS k, round(sum({values}[t + 1] * cos({angle})), 6) + 0.0 AS re, round(-sum({values}[t + 1] * sin({angle})), 6) + 0.0 AS im
+FROM lines, range({n}) f(k), range({n}) s(t) GROUP BY ALL"""
+
+
+@query(
+    "line_spectra",
+    f"""WITH lines AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_transform(range(1, 64), lambda i: embedding[i + 1]::DOUBLE - embedding[i]::DOUBLE) AS d FROM embeddings)
+{_sums("v", 64)} UNION ALL {_sums("d", 63)}""",
+)
+def _spectra(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each vector, by radix steps, and of the 63 differences of its neighbours, by a chirp."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    d = F.zip_with(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, F.size(v) - 1), lambda b, a: b - a)
+    rows = spread(table(spark, sf, "embeddings")).select("vec_id", F.explode(F.array(v, d)).alias("v"))
+    each = rows.select("vec_id", F.size("v").alias("n"), F.posexplode(fourier.fft(fourier.complex_array(F.col("v")))).alias("k", "z"))
+    return rounded(each.select("vec_id", "n", "k", "z.re", "z.im"), "re", "im")
