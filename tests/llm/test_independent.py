@@ -213,16 +213,15 @@ def brute_pipeline(rows):
     for k, (own, r) in enumerate(zip(lines, rows, strict=True)):
         for line in own:
             holders[r[3], line].append(k)
-    kept = []
-    for k, (own, r) in enumerate(zip(lines, rows, strict=True)):
-        n = sum(own.values())
-        gone = sum(x for line, x in own.items() if len(h := holders[r[3], line]) > quality.MAX_DOCS and min(h, key=lambda j: (failed[j], rows[j][0])) != k)
-        if not failed[k] and not (gone and (n - gone < quality.LEFT_WORDS or 100 * (n - gone) < quality.LEFT_PERCENT * n)):
-            kept.append(k)
-    stage, alive = [], set(kept)
-    for k in kept:
+    hosts, stays, stage = collections.Counter(r[3] for r in rows), collections.defaultdict(set), []
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
         i, t, lang, s, n = rows[k]
-        drop = {line for line in lines[k] if len(holders[s, line]) > quality.MAX_DOCS and min((j for j in holders[s, line] if j in alive), key=lambda j: rows[j][0]) != k}
+        above = {line for line in lines[k] if len(holders[s, line]) > max(5, hosts[s] / 100)}
+        drop, n = above & stays[s], sum(lines[k].values())
+        gone = sum(lines[k][line] for line in drop)
+        if failed[k] or (gone and (n - gone < quality.LEFT_WORDS or 100 * (n - gone) < quality.LEFT_PERCENT * n)):
+            continue
+        stays[s] |= above
         t = "\n".join(x for x in t.split("\n") if not word(x) or " ".join(word(x.translate(LOW))) not in drop)
         stage.append((i, t, lang, s, len(t)))
     out = [collections.Counter(stage)]

@@ -7,14 +7,14 @@ letters in either case are spelled out.
 from __future__ import annotations
 
 from .common import WORD
-from .quality import LEFT_PERCENT, LEFT_WORDS, MAX_DOCS, MIN_WORDS, REPEAT_PERCENT
+from .quality import LEFT_PERCENT, LEFT_WORDS, MAX_DOCS, MAX_SHARE, MIN_WORDS, REPEAT_PERCENT
 from .secretscan import BASE, RULES
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({0}, '" + WORD + "')"
 
 QUALITY = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, source, text, {_WORDS.format("text")} AS words FROM d),
 grams AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS pos, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i:i+2])) AS gram FROM w WHERE len(words) >= 3),
 twice AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM grams) WHERE c > 1),
@@ -28,16 +28,23 @@ base AS (
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN repeated USING (doc_id)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM base),
-first AS (
-  SELECT lines.source, line, arg_min(lines.doc_id, (base_failed, lines.doc_id)) AS owner FROM lines JOIN judged ON lines.doc_id = judged.doc_id
-  GROUP BY ALL HAVING count(*) > {MAX_DOCS}),
-removed AS (
-  SELECT lines.doc_id, sum(n) AS n_removed_words FROM lines JOIN first ON lines.source IS NOT DISTINCT FROM first.source AND lines.line = first.line AND lines.doc_id <> owner
-  GROUP BY lines.doc_id)
+above AS (
+  SELECT source, line FROM lines JOIN (SELECT source AS host, count(*) AS host_docs FROM d GROUP BY source) s ON lines.source IS NOT DISTINCT FROM host
+  GROUP BY ALL HAVING count(*) > greatest({MAX_DOCS}, {MAX_SHARE} * any_value(host_docs))),
+shared AS (
+  SELECT lines.doc_id, list({{'line': lines.line, 'n': n}}) AS own FROM lines JOIN above ON lines.source IS NOT DISTINCT FROM above.source AND lines.line = above.line GROUP BY lines.doc_id),
+ordered AS (
+  SELECT judged.doc_id, source, n_words, base_failed, own, row_number() OVER (PARTITION BY source ORDER BY judged.doc_id) AS pos FROM judged JOIN shared ON judged.doc_id = shared.doc_id),
+walk(source, pos, doc_id, removed, kept, taken) AS (
+  SELECT DISTINCT source, 0::BIGINT, NULL::BIGINT, 0::HUGEINT, false, []::VARCHAR[] FROM ordered
+  UNION ALL
+  SELECT source, pos, doc_id, removed, kept, CASE WHEN kept THEN list_distinct(list_concat(taken, list_transform(own, lambda x: x.line))) ELSE taken END FROM (
+    SELECT *, NOT base_failed AND NOT (removed > 0 AND (n_words - removed < {LEFT_WORDS} OR 100 * (n_words - removed) < {LEFT_PERCENT} * n_words)) AS kept FROM (
+      SELECT o.source, o.pos, o.doc_id, o.n_words, o.base_failed, o.own, w.taken, coalesce(list_sum(list_transform(list_filter(o.own, lambda x: list_contains(w.taken, x.line)), lambda x: x.n)), 0)::HUGEINT AS removed
+      FROM walk w JOIN ordered o ON o.source IS NOT DISTINCT FROM w.source AND o.pos = w.pos + 1)))
 SELECT judged.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(n_removed_words, 0) > 0 AND (n_words - n_removed_words < {LEFT_WORDS} OR 100 * (n_words - n_removed_words) < {LEFT_PERCENT} * n_words)) AS kept,
-  coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
-FROM judged LEFT JOIN removed ON judged.doc_id = removed.doc_id"""
+  coalesce(kept, NOT base_failed) AS kept, coalesce(removed, 0)::BIGINT AS n_removed_words
+FROM judged LEFT JOIN (SELECT doc_id, removed, kept FROM walk WHERE pos > 0) w ON judged.doc_id = w.doc_id"""
 
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
