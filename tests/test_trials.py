@@ -243,3 +243,29 @@ def test_stages_with_drawn_acquisitions(cases):
     assert all(0 <= x <= 1 for r in rows for x in r["voxels"])
     source = {r["case_id"]: r["voxels"] for r in cases.collect()}
     assert all(r["voxels"] == source[r["case_id"]] and r["acquisition"] is None for r in stages.realistic_acquisition(cases, 1, share=0.0).collect())
+
+
+def test_samples_pair_and_are_drawn_again(spark):
+    """The same seed draws the same sample up to its artifacts; anchors stay; refused geometry, null rows, other columns and redraws."""
+    from voxframe.plans import samples
+
+    g = np.random.default_rng(4)
+    shape, middle, all_ = [6, 6, 6], np.zeros((6, 6, 6), bool), np.ones((6, 6, 6), bool)
+    middle[2:4, 2:4, 2:4] = True
+    rows = [(f"c{n}", g.random(216).tolist(), (all_ if n == 5 else middle).ravel().tolist(), shape, n) for n in range(6)] + [("c6", None, None, shape, 6), (None, [0.5] * 216, middle.ravel().tolist(), shape, 7)]
+    cases = spark.createDataFrame(rows, "case_id string, voxels array<double>, mask array<boolean>, shape array<int>, route0 int")
+    mix = samples.Mix(shares={"clean": 0.2, "benign": 0.8}, artifacts=1.0)
+    with_, without = ({r["route0"]: r for r in samples.draw(cases, 3, m).collect()} for m in (mix, samples.without_artifacts(mix)))
+    assert len(with_) == len(without) == 8 and with_[6]["kind"] is None and with_[7]["kind"] is None and with_[7]["voxels"] == [0.5] * 216
+    assert with_[5]["kind"] == samples.FALLBACK and with_[5]["voxels"] == pytest.approx(rows[5][1])
+    for n in range(5):
+        a, b = with_[n], without[n]
+        assert a["route"] == b["route"] and a["mask"] == b["mask"] and len(a["voxels"]) == 216
+        assert a["kind"] == b["kind"] or a["kind"].startswith(b["kind"] + "+")
+        if a["route"] == "clean":
+            assert a["voxels"] == pytest.approx(rows[n][1]) and a["kind"] in ("clean", samples.FALLBACK)
+    again = {r["route0"]: r for r in samples.draw_category(cases.filter("route0 >= 4 AND route0 < 6"), 3, "nonbenign", max_draws=2).collect()}
+    assert not again[5]["faithful"] and again[5]["attempts"] == 2
+    assert again[4]["faithful"] == ("+" in again[4]["kind"])
+    with pytest.raises(ValueError):
+        samples.draw_category(cases, 3, "nothing")

@@ -166,14 +166,15 @@ def apply_pool(df: DataFrame, chosen: Column, seed: int, severity: tuple[float,
     return rows.withColumn("voxels", F.transform("voxels", lambda x: F.when(bad(x), F.raise_error(F.lit(text))).otherwise(A.clip(x))))
 
 
-def overlay(df: DataFrame, seed: int, severity: tuple[float, float] = OVERLAY_SEVERITY) -> DataFrame:
-    """One or two distinct pool operators for each case, at most one of the strong dimmers, each clipped; adds `artifacts`.
+def overlay(df: DataFrame, seed: int, severity: tuple[float, float] = OVERLAY_SEVERITY, without: Column | None = None) -> DataFrame:
+    """One or two distinct pool operators, none of the array `without`, for each case, at most one of the strong dimmers, each clipped; adds `artifacts`.
 
     Operators are chosen by keyed draws. An operator that fails, or gives values
     that aren't finite, fails the query.
     """
     pool = [n for n, o in OPERATORS.items() if o.pool]
     names = F.array(*map(F.lit, pool))
+    names = names if without is None else F.array_except(names, without)
     case = F.col("case_id").cast("string")
     order = F.transform(F.array_sort(F.transform(names, lambda n: F.struct(draws.uniform(seed, case, n).alias("u"), n.alias("n")))), lambda s: s["n"])
     dim = lambda n: n.isin(*STRONG_DIMMERS)

@@ -1,14 +1,20 @@
-"""Queries on volumes that span rows: eight vectors are the planes of one volume of 8 x 8 x 8, whose voxels are rows."""
+"""Queries on volumes that span rows (eight vectors are the planes of one volume of 8 x 8 x 8, whose voxels are rows), and whole sample runs."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fourier
 from .functions.tasks import spread
-from .operators import blocks, components
-from .queries import query, rounded, table
+from .operators import OPERATORS, blocks, components
+from .plans import lags, samples
+from .plans.routing import DEFAULT, STRONG_DIMMERS
+from .queries import _NORMAL, SEED, _choice_sql, _u, query, rounded, table
+from .sources.records import next_readable
+from .sources.volumes import embedding_volumes
 
 #: Blocks of four voxels a side, so that volumes span eight blocks.
 BLOCK = 4
@@ -133,3 +139,81 @@ def _spectra(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(table(spark, sf, "embeddings")).select("vec_id", F.explode(F.array(v, d)).alias("v"))
     each = rows.select("vec_id", F.size("v").alias("n"), F.posexplode(fourier.fft(fourier.complex_array(F.col("v")))).alias("k", "z"))
     return rounded(each.select("vec_id", "n", "k", "z.re", "z.im"), "re", "im")
+
+
+# a whole sample run, whose kinds SQL can tell where no stage moves the mask
+
+_STILL = samples.Mix(morphology=0.0, pose=0.0, artifacts=0.5)
+_KEY = lambda *d: _u(f"'{SEED}'", "vec_id", "'sample'", *[f"'{x}'" for x in d])
+_POOL = [n for n, o in OPERATORS.items() if o.pool]
+_TABLE = ", ".join(f"('{n}', {n in STRONG_DIMMERS})" for n in _POOL)
+
+
+@query(
+    "sample_run",
+    f"""WITH {_NORMAL},
+plan AS (
+  SELECT vec_id, v, {_choice_sql(_KEY("route"), DEFAULT)} AS route, {_choice_sql(_KEY("protocol"), {k: 1.0 for k in samples.STANDARD})} AS protocol,
+    {_KEY("resolution")} < 0.6 AS coarse, {_KEY("artifact")} < 0.5 AS artifact, {_u(f"'{SEED}'", "vec_id", "'count'")} < 0.5 AS single FROM vol),
+pool AS (SELECT vec_id, name, dim, row_number() OVER (PARTITION BY vec_id ORDER BY {_u(f"'{SEED}'", "vec_id", "name")}, name) AS place
+  FROM plan, (VALUES {_TABLE}) t(name, dim) WHERE NOT (coarse AND name = 'anisotropy')),
+pick AS (SELECT a.vec_id, a.name AS first, arg_min(b.name, b.place) AS second FROM pool a JOIN pool b ON a.vec_id = b.vec_id AND b.place > 1 AND NOT (a.dim AND b.dim) WHERE a.place = 1 GROUP BY ALL),
+kinds AS (
+  SELECT vec_id, v, route, CASE WHEN vec_id % 5 = 0 THEN 'clean_geometry_fallback' ELSE
+    CASE route WHEN 'standard' THEN protocol WHEN 'label_synthesis' THEN 'synthetic' ELSE route END
+    || CASE WHEN artifact AND route IN ('benign', 'label_synthesis') THEN '+' || first || CASE WHEN single THEN '' ELSE '+' || second END ELSE '' END END AS kind
+  FROM plan JOIN pick USING (vec_id))
+SELECT vec_id, route, kind, CASE WHEN kind LIKE 'clean%' THEN round(list_sum(list_transform(range(1, 65), lambda i: i * v[i])), 6) + 0.0 END AS source_sum FROM kinds""",
+)
+def _sample_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks in the middle, or of every fifth case across the whole volume, which the guard refuses; source_sum weighs the voxels of pairs that are the source's."""
+    middle = F.array(*[F.lit(all(1 <= c <= 2 for c in (n // 16, n // 4 % 4, n % 4))) for n in range(64)])
+    cases = embedding_volumes(spark, sf).withColumn("mask", F.when(F.col("case_id") % 5 == 0, F.array_repeat(F.lit(True), 64)).otherwise(middle))
+    made = samples.draw(cases, SEED, _STILL)
+    weighed = F.aggregate(F.transform("voxels", lambda x, at: x * (at + 1)), F.lit(0.0), lambda s, x: s + x)
+    return rounded(made.select(F.col("case_id").alias("vec_id"), "route", "kind", F.when(F.col("kind").startswith("clean"), weighed).alias("source_sum")), "source_sum")
+
+
+# lags
+
+_TAPS = [math.exp(-0.5 * (d / lags.SIGMA) ** 2) for d in range(-2, 3)]
+_RESPONSE = " + ".join(f"{t / sum(_TAPS)!r} * cos({2 * math.pi * d!r} * f)" for d, t in zip(range(-2, 3), _TAPS, strict=True))
+_COS = [f"cos({2 * math.pi * lag!r} * {'xyz'[axis]}.f)" for axis, lag in lags.LAGS]
+_MEANS = ", ".join(f"avg(w * c{k}) AS l{k}, avg(2 * w * c{k}) AS v{k}, " + ", ".join(f"avg(2 * w * c{k} * c{j}) AS b{k}{j}" for j in range(6)) for k in range(6))
+_WANTED = [f"least(greatest(embedding[{k + 1}]::DOUBLE, -{lags.WANTED}), {lags.WANTED})" for k in range(6)]
+_EQUATIONS = "[" + ", ".join("[" + ", ".join([f"b{k}{j} - {_WANTED[k]} * v{j}" for j in range(6)] + [f"{_WANTED[k]} * variance - l{k}"]) + "]" for k in range(6)) + "]"
+
+
+@query(
+    "lag_calibration",
+    f"""WITH RECURSIVE line AS (SELECT f, {_RESPONSE} AS r FROM (SELECT CASE WHEN 2 * n < 64 THEN n ELSE n - 64 END / 64.0::DOUBLE AS f FROM range(64) t(n))),
+space AS (SELECT power(1 - x.r * y.r * z.r, 2) AS w, {", ".join(f"{c} AS c{k}" for k, c in enumerate(_COS))} FROM line x, line y, line z),
+means AS (SELECT avg(w) AS variance, {_MEANS} FROM space),
+reduced(vec_id, k, m) AS (
+  SELECT vec_id, 0, {_EQUATIONS} FROM embeddings, means
+  UNION ALL
+  SELECT vec_id, k + 1, list_transform(m, lambda row, r: CASE WHEN r = k + 1 THEN list_transform(row, lambda x: x / row[k + 1]) ELSE list_transform(row, lambda x, c: x - row[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END)
+  FROM reduced WHERE k < 6),
+solved AS (SELECT vec_id, list_transform(m, lambda row: least(greatest(row[7], -{lags.RAW}), {lags.RAW})) AS cut FROM reduced WHERE k = 6),
+scaled AS (SELECT vec_id, list_transform(cut, lambda x: x * least(1.0, {lags.BOUND} / greatest(2 * list_sum(list_transform(cut, lambda y: abs(y))), 1e-300))) AS raw FROM solved)
+SELECT vec_id, k::INTEGER AS k, round(raw[k + 1], 6) + 0.0 AS raw,
+  round((CASE k {" ".join(f"WHEN {k} THEN l{k} + " + " + ".join(f"b{k}{j} * raw[{j + 1}]" for j in range(6)) for k in range(6))} END) / (variance + {" + ".join(f"v{j} * raw[{j + 1}]" for j in range(6))}), 6) + 0.0 AS achieved, true AS solved
+FROM scaled, means, range(6) t(k)""",
+)
+def _lags(spark: SparkSession, sf: str) -> DataFrame:
+    """Wanted lags are a vector's first six numbers; the elimination in SQL has no pivots."""
+    cases = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")).alias("lags"))
+    made = lags.calibrated(cases)
+    each = made.select("vec_id", (F.col("residual") < 1e-9).alias("solved"), F.posexplode(F.arrays_zip("raw", "achieved")).alias("k", "z"))
+    return rounded(each.select("vec_id", "k", "z.raw", "z.achieved", "solved"), "raw", "achieved")
+
+
+@query(
+    "next_readable_record",
+    """WITH r AS (SELECT doc_id, n_chars % 7 = 3 AND doc_id % 500 > 130 AS readable FROM documents)
+SELECT doc_id, readable, coalesce(min(CASE WHEN readable THEN doc_id END) OVER (ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), (SELECT min(doc_id) FROM r WHERE readable)) AS stand_in FROM r""",
+)
+def _next_readable(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of records that can't be read reach across buckets of 64."""
+    rows = table(spark, sf, "documents").select("doc_id", ((F.col("n_chars") % 7 == 3) & (F.col("doc_id") % 500 > 130)).alias("readable"))
+    return next_readable(rows, "doc_id", size=64)
