@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fourier
+from .functions.staging import shared_dir
 from .functions.tasks import spread
-from .operators import OPERATORS, blocks, components
+from .operators import OPERATORS, blocks, components, style
+from .operators.conform import conform
 from .plans import lags, samples
 from .plans.routing import DEFAULT, STRONG_DIMMERS
-from .queries import _NORMAL, SEED, _choice_sql, _u, query, rounded, table
+from .queries import _NORMAL, _VOX, SEED, _choice_sql, _u, query, rounded, table
+from .queries_volumes import _gauss, _three
 from .sources.records import next_readable
 from .sources.volumes import embedding_volumes
+from .streaming import runs
 
 #: Blocks of four voxels a side, so that volumes span eight blocks.
 BLOCK = 4
@@ -217,3 +222,137 @@ def _next_readable(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of records that can't be read reach across buckets of 64."""
     rows = table(spark, sf, "documents").select("doc_id", ((F.col("n_chars") % 7 == 3) & (F.col("doc_id") % 500 > 130)).alias("readable"))
     return next_readable(rows, "doc_id", size=64)
+
+
+# state over a stream
+
+_SPAN = 86_400
+
+
+@query(
+    "run_states",
+    f"""WITH e AS (SELECT event_id, user_id, ts, event_id % 7 = 0 AS oom, epoch_us(ts) AS us FROM events),
+s AS (SELECT *, (us - min(us) OVER (PARTITION BY user_id)) // {_SPAN * 10**6} AS span FROM e)
+SELECT event_id, user_id::VARCHAR AS run,
+  greatest(1, floor(16 / power(2.0, coalesce(count(*) FILTER (oom) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))))::INTEGER AS batch_size,
+  row_number() OVER (PARTITION BY user_id, span ORDER BY ts, event_id) = 1 AS report FROM s""",
+)
+def _run_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of two files; the query over the first is stopped, and one over both goes on from its checkpoint."""
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 7 == 0).alias("oom"))
+    middle = events.agg(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long")).first()[0]
+    at = f"{shared_dir(spark)}/run-states-{uuid.uuid4().hex}"
+    for half in (F.unix_micros("ts") <= middle, F.unix_micros("ts") > middle):
+        events.filter(half).write.mode("append").parquet(f"{at}/source")
+        stream = spark.readStream.schema(events.schema).parquet(f"{at}/source")
+        runs.start(runs.run_states(stream, 16, _SPAN, 100 * _SPAN), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(runs.RESULT).parquet(f"{at}/out").filter("event_id IS NOT NULL").select("event_id", "run", "batch_size", "report")
+
+
+# conforming
+
+_OUT, _MM = (7, 6, 5), 1.3
+#: Of even and odd cases: the affine's 16 numbers. The second turns the axes and runs two of them the other way.
+_AFFINES = ([1.0, 0, 0, -3, 0, 1.5, 0, 2, 0, 0, 0.8, 5, 0, 0, 0, 1], [0, 0, -0.9, 4, 1.2, 0, 0, -2, 0, -2.0, 0, 7, 0, 0, 0, 1.0])
+#: The same by hand: of each target axis the source's, whether it is reversed, and its spacing.
+_BY_HAND = (((0, False, 1.0), (1, False, 1.5), (2, False, 0.8)), ((2, True, 0.9), (0, False, 1.2), (1, True, 2.0)))
+
+
+def _spline_weights(n: int, size: int, scale: float, flip: bool) -> list[list[float]]:
+    """What each of n voxels adds to each place of a target line: basis functions times the inverse of their matrix at the voxels, by plain elimination."""
+    basis = lambda t: (4 - 6 * t * t + 3 * abs(t) ** 3) / 6 if abs(t) < 1 else max(0.0, 2 - abs(t)) ** 3 / 6
+    mirror = lambda i: min(i % (2 * n - 2), 2 * n - 2 - i % (2 * n - 2))
+
+    def row(p: float) -> list[float]:
+        out = [0.0] * n
+        for i in range(math.floor(p) - 1, math.floor(p) + 3):
+            out[mirror(i)] += basis(p - i)
+        return out
+
+    m = [row(float(k)) + [float(k == j) for j in range(n)] for k in range(n)]
+    for k in range(n):
+        m[k] = [x / m[k][k] for x in m[k]]
+        for r in range(n):
+            if r != k:
+                m[r] = [x - m[r][k] * y for x, y in zip(m[r], m[k], strict=True)]
+    out = []
+    for o in range(size):
+        p = (n - 1) // 2 + (o - (size - 1) // 2) * scale
+        p = n - 1 - p if flip else p
+        out.append([sum(w * m[i][n + j] for i, w in enumerate(row(p))) for j in range(n)] if 0 <= p <= n - 1 else [0.0] * n)
+    return out
+
+
+def _weights_sql() -> str:
+    """(odd, planes, world, source place, target place, weight, nearest) of all lines that there are."""
+    rows = []
+    for odd, axes in enumerate(_BY_HAND):
+        for planes in (4, 8):
+            for world, (source, flip, spacing) in enumerate(axes):
+                n = planes if source == 0 else 8
+                for o, line in enumerate(_spline_weights(n, _OUT[world], _MM / spacing, flip)):
+                    p = (n - 1) // 2 + (o - (_OUT[world] - 1) // 2) * _MM / spacing
+                    p = n - 1 - p if flip else p
+                    rows += [f"({odd}, {planes}, {world}, {j}, {o}, {w!r}, {0 <= p <= n - 1 and math.floor(p + 0.5) == j})" for j, w in enumerate(line)]
+    return ", ".join(rows)
+
+
+@query(
+    "conformed_volumes",
+    f"""WITH {_VOXELS},
+w AS (SELECT * FROM (VALUES {_weights_sql()}) t(odd, planes, world, j, o, w, near)),
+sized AS (SELECT *, max(i) OVER (PARTITION BY case_id) + 1 AS planes, case_id % 2 AS odd FROM vox),
+turned AS (SELECT *, CASE odd WHEN 0 THEN i ELSE k END AS a, CASE odd WHEN 0 THEN j ELSE i END AS b, CASE odd WHEN 0 THEN k ELSE j END AS c FROM sized)
+SELECT case_id, x.o AS i, y.o AS j, z.o AS k, round(sum(value * x.w * y.w * z.w), 6) + 0.0 AS value, bool_or(mask AND x.near AND y.near AND z.near) AS mask
+FROM turned t JOIN w x ON x.odd = t.odd AND x.planes = t.planes AND x.world = 0 AND x.j = a JOIN w y ON y.odd = t.odd AND y.planes = t.planes AND y.world = 1 AND y.j = b
+  JOIN w z ON z.odd = t.odd AND z.planes = t.planes AND z.world = 2 AND z.j = c GROUP BY ALL""",
+)
+def _conformed(spark: SparkSession, sf: str) -> DataFrame:
+    """On a grid of 7 x 6 x 5 voxels of 1.3 mm, from grids of unequal spacing, every other one turned and reversed."""
+    voxels = volume_voxels(spark, sf)
+    affine = F.when(F.col("case_id") % 2 == 0, F.array(*[F.lit(float(x)) for x in _AFFINES[0]])).otherwise(F.array(*[F.lit(float(x)) for x in _AFFINES[1]]))
+    grids = voxels.select("case_id").distinct().withColumn("affine", affine)
+    return rounded(conform(voxels, grids, _OUT, _MM), "value")
+
+
+# a step towards a style
+
+_LABEL_SHARE = 0.06
+
+
+def _edge(field: str, axis: str) -> str:
+    others = ", ".join(x for x in "abc" if x != axis)
+    w = f"OVER (PARTITION BY vec_id, t, {others} ORDER BY {axis})"
+    after, before = f"lead({field}) {w}", f"lag({field}) {w}"
+    return f"(coalesce({after}, {field}) - coalesce({before}, {field})) / (CASE WHEN {after} IS NULL OR {before} IS NULL THEN 1 ELSE 2 END)"
+
+
+_SMOOTH = _three(*[_gauss(style.HIGHPASS_SIGMA)] * 3)
+
+
+@query(
+    "style_search",
+    f"""WITH {_VOX},
+cand AS (SELECT vec_id, idx, a, b, c, x, (1 - w) * power(x, 0.8) + w * v[64 - idx] AS y FROM (SELECT *, {_LABEL_SHARE} * label AS w FROM vox)),
+trial AS (SELECT vec_id, power(2.0, -k) AS t, idx, a, b, c, x, CASE WHEN x = 0 THEN x ELSE least(greatest(x + power(2.0, -k) * (y - x), 0.0), 1.0) END AS z FROM cand, range(8) r(k)),
+edges AS (SELECT vec_id, t, {", ".join(f"{_edge(f, a)} AS {f}{a}" for f in "xz" for a in "abc")} FROM trial),
+sized AS (SELECT vec_id, t, sqrt(xa*xa + xb*xb + xc*xc) AS mx, sqrt(za*za + zb*zb + zc*zc) AS mz, xa*za + xb*zb + xc*zc AS dot FROM edges),
+bars AS (SELECT vec_id, t, quantile_cont(mx, 0.6) AS bar FROM sized GROUP BY ALL),
+aligned AS (
+  SELECT vec_id, t, sum(greatest(mx - bar, 0.0) * dot / greatest(mx * mz, 1e-10)) / sum(greatest(mx - bar, 0.0)) AS alignment FROM sized JOIN bars USING (vec_id, t) GROUP BY ALL),
+low AS (SELECT p.vec_id, p.t, p.idx, any_value(p.x) - {_SMOOTH} AS hx, any_value(p.z) - {_SMOOTH.replace("q.x", "q.z")} AS hz
+  FROM trial p JOIN trial q ON p.vec_id = q.vec_id AND p.t = q.t GROUP BY p.vec_id, p.t, p.idx, p.a, p.b, p.c),
+high AS (SELECT vec_id, t, corr(hx, hz) AS correlation FROM low GROUP BY ALL),
+zeros AS (SELECT vec_id, t, count(*) FILTER (z = 0 AND x <> 0) / 64.0 AS new_zeros, sum(z) AS total, sum(x) AS own FROM trial GROUP BY ALL),
+good AS (SELECT vec_id, t, alignment, correlation, new_zeros, total FROM aligned JOIN high USING (vec_id, t) JOIN zeros USING (vec_id, t)
+  WHERE alignment >= {style.LEAST_ALIGNMENT} AND correlation >= {style.LEAST_CORRELATION} AND new_zeros <= {style.MOST_NEW_ZEROS} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY t DESC) = 1)
+SELECT o.vec_id, coalesce(t, 0.0) AS step, round(coalesce(alignment, 1.0), 6) + 0.0 AS alignment, round(coalesce(correlation, 1.0), 6) + 0.0 AS correlation, coalesce(new_zeros, 0.0) AS new_zeros, round(coalesce(total, own), 6) + 0.0 AS total
+FROM (SELECT vec_id, own FROM zeros WHERE t = 1) o LEFT JOIN good ON good.vec_id = o.vec_id""",
+)
+def _style_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates are a power of the voxels, blended with the volume turned round, the more the higher the label."""
+    w = _LABEL_SHARE * F.col("label")
+    candidate = F.zip_with("voxels", F.reverse("voxels"), lambda x, y: (1 - w) * F.pow(x, F.lit(0.8)) + w * y)
+    made = style.search(embedding_volumes(spark, sf).withColumn("candidate", candidate), "candidate")
+    total = F.aggregate("voxels", F.lit(0.0), lambda s, x: s + x).alias("total")
+    return rounded(made.select(F.col("case_id").alias("vec_id"), "step", "alignment", "correlation", "new_zeros", total), "alignment", "correlation", "total")
