@@ -48,6 +48,6 @@ def test_search(spark):
     for n, (z, step, a, c) in want.items():
         assert got[n]["step"] == step and np.allclose(got[n]["voxels"], z.ravel())
         assert (got[n]["alignment"], got[n]["correlation"]) == pytest.approx((a, c))
-    assert len({w[1] for w in want.values()}) >= 4
+    assert len({w[1] for w in want.values()}) >= 3
     assert got[20]["step"] == 1.0 and got[20]["voxels"] == [0.5] * 120
     assert got[21]["step"] is None and got[21]["voxels"] is None and got[22]["step"] is None and got[22]["voxels"] == [0.5] * 120
