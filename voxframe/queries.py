@@ -348,14 +348,53 @@ def _windowed(spark, sf):
 # catalogue and plans
 
 
-@query("operators_catalogue")
+def _sql_rows(rows: list[tuple]) -> str:
+    """Python values as rows of a SQL VALUES list."""
+
+    def one(v) -> str:
+        return "NULL" if v is None else repr(v) if isinstance(v, float | int) and not isinstance(v, bool) else str(v).lower() if isinstance(v, bool) else "'" + str(v) + "'"
+
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+_DRAWN = _u("'5'", "doc_id", "'entry'")
+_ENTRIES = [(n, o.name, o.kind, o.dims, float(o.severity[0]), float(o.severity[1]), bool(o.pool)) for n, o in enumerate(OPERATORS.values())]
+
+
+def _entry(of: int) -> Column:
+    """The number of the catalogue's entry that a document draws."""
+    return F.floor(draws.uniform(F.lit(5), F.col("doc_id"), "entry") * of).cast("int")
+
+
+@query(
+    "operators_catalogue",
+    f"""WITH c AS (SELECT * FROM (VALUES {_sql_rows(_ENTRIES)}) t(n, name, kind, dims, sev_lo, sev_hi, in_pool)),
+d AS (SELECT floor({_DRAWN} * {len(_ENTRIES)})::INTEGER AS n, count(*) AS documents, sum(n_chars)::BIGINT AS characters FROM documents GROUP BY 1)
+SELECT name, kind, dims, sev_lo::DOUBLE AS sev_lo, sev_hi::DOUBLE AS sev_hi, in_pool, coalesce(documents, 0) AS documents, coalesce(characters, 0) AS characters FROM c LEFT JOIN d USING (n)""",
+)
 def _operators(spark, sf):
-    return operator_catalogue(spark)
+    """The registry, and what a keyed draw of one operator for each document would render."""
+    drawn = table(spark, sf, "documents").groupBy(_entry(len(OPERATORS)).alias("n")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").cast("long").alias("characters"))
+    numbers = F.create_map(*[F.lit(x) for n, name in enumerate(OPERATORS) for x in (name, n)])
+    met = operator_catalogue(spark).withColumn("n", numbers[F.col("name")]).join(drawn, "n", "left")
+    return met.select("name", "kind", "dims", "sev_lo", "sev_hi", "in_pool", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "characters")])
+
 
+_CONDITIONS = [tuple(s[:3]) for s in catalogue.specs()]
 
-@query("benchmark_catalogue")
+
+@query(
+    "benchmark_catalogue",
+    f"""WITH c AS (SELECT * FROM (VALUES {_sql_rows([(n, *s) for n, s in enumerate(_CONDITIONS)])}) t(n, name, tier, kind)),
+d AS (SELECT floor({_DRAWN} * {len(_CONDITIONS)})::INTEGER AS n, count(*) AS documents FROM documents GROUP BY 1)
+SELECT name, tier, kind, coalesce(documents, 0) AS documents FROM c LEFT JOIN d USING (n)""",
+)
 def _catalogue(spark, sf):
-    return catalogue.build_catalog(spark)
+    """The benchmark's conditions, and how many documents draw each."""
+    drawn = table(spark, sf, "documents").groupBy(_entry(len(_CONDITIONS)).alias("n")).agg(F.count(F.lit(1)).alias("documents"))
+    numbers = F.create_map(*[F.lit(x) for n, s in enumerate(_CONDITIONS) for x in (s[0], n)])
+    met = catalogue.build_catalog(spark).withColumn("n", numbers[F.col("name")]).join(drawn, "n", "left")
+    return met.select("name", "tier", "kind", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 
 _COND = "k AS (SELECT DISTINCT p_brand AS name, list_value('clean', 'mild', 'protocols', 'full')[1 + ascii(right(p_brand, 1)) % 4] AS tier FROM part)"

@@ -14,6 +14,7 @@ from .functions.tasks import spread
 from .operators import OPERATORS, blocks, components, style
 from .operators.conform import conform
 from .plans import lags, samples
+from .plans import specifications as specs
 from .plans.routing import DEFAULT, STRONG_DIMMERS
 from .queries import _NORMAL, _VOX, SEED, _choice_sql, _u, query, rounded, table
 from .queries_volumes import _gauss, _three
@@ -356,3 +357,54 @@ def _style_search(spark: SparkSession, sf: str) -> DataFrame:
     made = style.search(embedding_volumes(spark, sf).withColumn("candidate", candidate), "candidate")
     total = F.aggregate("voxels", F.lit(0.0), lambda s, x: s + x).alias("total")
     return rounded(made.select(F.col("case_id").alias("vec_id"), "step", "alignment", "correlation", "new_zeros", total), "alignment", "correlation", "total")
+
+
+# specifications of several versions
+
+_MIDDLE = {k: str((low + high) / 2) for k, (low, high, _) in specs.NUMBERS.items()} | {k: str((low + high) / 2) for own in specs.STEPS.values() for k, (low, high, _) in own.items()} | {k: f"[{low}, {(low + high) / 2}, {high}]" for k, (low, high) in specs.TRIPLES.items()}
+
+
+def _record(version: int) -> str:
+    """A record's JSON, with places for the seed and the contrast, of a version."""
+    own = _MIDDLE | {"version": str(version), "seed": "<seed>", "tentorium_on": "true", "contrast_scale": "0.<contrast>"}
+    return "{" + ", ".join(f'"{k}": {own[k]}' for k in specs.keys(version)) + "}"
+
+
+#: What is done to the records with these remainders of 13: a further key, one left out, a value beyond its bounds, two numbers for three, no object.
+_FAULTS = {0: ('"seed"', '"sead": 1, "seed"'), 1: (f'"inferior_margin_mm": {_MIDDLE["inferior_margin_mm"]}, ', ""), 2: (f'"snr_ratio": {_MIDDLE["snr_ratio"]}', '"snr_ratio": 1.5'), 3: (f'"pose_scale_ras": {_MIDDLE["pose_scale_ras"]}', '"pose_scale_ras": [1, 1]'), 4: ("{", "[")}
+_EXPECTED = " ".join(f"WHEN {v} THEN [{', '.join(repr(k) for k in specs.keys(v))}]" for v in range(2, 8))
+_ALL_BOUNDS = ", ".join(f"('{k}', {low}, {high})" for k, (low, high, *_) in [*specs.NUMBERS.items(), *[(k, b) for own in specs.STEPS.values() for k, b in own.items()]])
+
+
+@query(
+    "migrated_specifications",
+    f"""WITH base AS (
+  SELECT c_custkey, c_custkey % 13 AS fault, replace(replace(CASE c_custkey % 7 {" ".join(f"WHEN {v - 2} THEN '{_record(v)}'" for v in range(2, 8))} ELSE replace('{_record(7)}', '"version": 7', '"version": 8') END,
+    '<seed>', c_custkey::VARCHAR), '<contrast>', (10 + c_custkey % 90)::VARCHAR) AS plain FROM customer),
+texts AS (SELECT c_custkey, CASE fault {" ".join(f"WHEN {n} THEN replace(plain, '{a}', '{b}')" for n, (a, b) in _FAULTS.items())} ELSE plain END AS spec FROM base),
+parsed AS (SELECT c_custkey, CASE WHEN json_valid(spec) THEN spec::JSON END AS j FROM texts),
+keyed AS (SELECT *, (j->>'version')::INTEGER AS source_version, json_keys(j) AS own, CASE (j->>'version')::INTEGER {_EXPECTED} END AS expected FROM parsed),
+bounds AS (SELECT c_custkey, min(k) AS bad FROM keyed, (VALUES {_ALL_BOUNDS}) t(k, low, high) WHERE (j->>k)::DOUBLE NOT BETWEEN low AND high GROUP BY c_custkey),
+judged AS (
+  SELECT keyed.*, CASE WHEN j IS NULL THEN 'not an object' WHEN expected IS NULL THEN 'unsupported version'
+    WHEN len(list_filter(own, lambda k: NOT list_contains(expected, k))) > 0 THEN 'unknown keys: ' || array_to_string(list_sort(list_filter(own, lambda k: NOT list_contains(expected, k))), ',')
+    WHEN len(list_filter(expected, lambda k: NOT list_contains(own, k))) > 0 THEN 'missing keys: ' || array_to_string(list_sort(list_filter(expected, lambda k: NOT list_contains(own, k))), ',')
+    WHEN source_version = 5 THEN 'version 5 can''t be replayed' WHEN bad IS NOT NULL THEN bad || ' is out of bounds' WHEN json_array_length(j->'pose_scale_ras') <> 3 THEN 'pose_scale_ras isn''t three numbers' END AS error
+  FROM keyed LEFT JOIN bounds USING (c_custkey))
+SELECT c_custkey, source_version, error, CASE WHEN error IS NULL THEN 7 END AS version, CASE WHEN error IS NULL THEN (j->>'seed')::BIGINT END AS seed, CASE WHEN error IS NULL THEN (j->>'contrast_scale')::DOUBLE END AS contrast_scale,
+  CASE WHEN error IS NULL THEN coalesce((j->>'render_boundary_correlation_mm')::DOUBLE, 24.0) END AS correlation_mm, CASE WHEN error IS NULL THEN coalesce((j->>'acquisition_guard_dilation_mm')::DOUBLE, 0.0) END AS dilation_mm,
+  CASE WHEN error IS NULL THEN (j->'pose_shift_mm_ras'->>2)::DOUBLE END AS shift_mm
+FROM judged""",
+)
+def _migrated(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of all versions, and one that isn't known yet, made from the customers' keys, five kinds of fault among them."""
+    key = F.col("c_custkey")
+    text = F.lit(_record(7).replace('"version": 7', '"version": 8'))
+    for v in range(7, 1, -1):
+        text = F.when(key % 7 == v - 2, F.lit(_record(v))).otherwise(text)
+    text = F.replace(F.replace(text, F.lit("<seed>"), key.cast("string")), F.lit("<contrast>"), (10 + key % 90).cast("string"))
+    for n, (a, b) in _FAULTS.items():
+        text = F.when(key % 13 == n, F.replace(text, F.lit(a), F.lit(b))).otherwise(text)
+    made = specs.migrated(table(spark, sf, "customer").select("c_custkey", text.alias("spec")))
+    named = {"version": "version", "seed": "seed", "contrast_scale": "contrast_scale", "correlation_mm": "render_boundary_correlation_mm", "dilation_mm": "acquisition_guard_dilation_mm"}
+    return made.select("c_custkey", "source_version", "error", *[F.col(f"fields.{c}").alias(k) for k, c in named.items()], F.get("fields.pose_shift_mm_ras", 2).alias("shift_mm"))
