@@ -73,7 +73,7 @@ def test_given_pages_give_their_article():
     assert rows and same / len(rows) > 0.9
 
 
-@pytest.mark.parametrize("page", ["<a " * 60_000, "<i>" * 40_000 + "</x>" * 40_000, "<b><table>" + "<i>" * 20_000 + "</b>" * 20_000, "<a '>' " * 40_000, "<b>" * 20_000 + "x<hr>" * 20_000, "<!-- " * 60_000, "<a \"'" * 40_000 + ">"])
+@pytest.mark.parametrize("page", ["<a " * 60_000, "<i>" * 40_000 + "</x>" * 40_000, "<b><table>" + "<i>" * 20_000 + "</b>" * 20_000, "<a '>' " * 40_000, "<b>" * 20_000 + "x<hr>" * 20_000, "<!-- " * 60_000, "<a \"'" * 40_000 + ">", "<script>" + "</script " * 60_000, "<" + "a" * 60_000 + '"> text', "<p " + "a" * 60_000 + " b=c> text"])
 def test_broken_pages_take_time_that_grows_with_their_length(page):
     htmltext.trained()
     began = time.process_time()

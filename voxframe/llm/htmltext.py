@@ -27,8 +27,9 @@ from .common import need
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
 #: A tag without quotes, as most are.
-_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*)([^>\"']*)>")
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)([^>\"']*+)>")
+#: A name begins where none goes on, and is taken whole, so that a long one is read once.
+_ATTRIBUTE = re.compile(r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Element groups of the HTML standard.
@@ -217,8 +218,9 @@ def parse(page: str) -> Tree:
             unseen += tag in UNSEEN
             inside_link += tag == "a"
             if tag in RAW:
-                m = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = m.end() if m else end
+                m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                # Where no > follows the first end tag, none follows a later one.
+                at = (page.find(">", m.end()) + 1 or end) if m else end
                 close(len(stack.items) - 1)
         elif tag:
             if k := stack.find((tag,), ("table",) if tag not in ("table", "body", "html", "article", "main", "div", "section") else ()):
