@@ -16,7 +16,7 @@ from voxframe.llm.common import read_documents, stage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of lines of their own, without the lines that others of their source share; the others go.
+    """Documents that pass the base rules and aren't depleted, without the lines above their source's limit that an earlier document which stays has; the others go.
 
     A null or empty text has no words and goes; a null source is a source of its
     own. Rows that share an id, or repeat each other, are documents of their own.

@@ -7,7 +7,7 @@ from voxframe.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["dice_per_volume", "macro_metrics", "micro_metrics", "case_balanced_summary", "subject_split", "split_fingerprint", "recovery_merge", "trial_plan", "trial_seed_hex", "route_mixed", "vol_clipping", "vol_ghosting", "vol_rician_noise", "vol_dropout", "otsu_threshold", "orientation_roundtrip", "surface_losses", "crop_boundary", "normalisation_region", "style_descriptor", "hard_tail_verdicts", "effect_metrics", "batch_gate", "full_mix_choice", "vol_chemical_shift", "vol_t2_remap", "vol_motion_blur", "vol_zipper", "largest_component", "postprocess_mask", "rendered_trials", "kmeans_labels", "stage_sequences"]
+CHECKED = ["dice_per_volume", "macro_metrics", "micro_metrics", "case_balanced_summary", "subject_split", "split_fingerprint", "recovery_merge", "trial_plan", "trial_seed_hex", "route_mixed", "vol_clipping", "vol_ghosting", "vol_rician_noise", "vol_dropout", "otsu_threshold", "orientation_roundtrip", "surface_losses", "crop_boundary", "normalisation_region", "style_descriptor", "hard_tail_verdicts", "effect_metrics", "batch_gate", "full_mix_choice", "vol_chemical_shift", "vol_t2_remap", "vol_motion_blur", "vol_zipper", "largest_component", "postprocess_mask", "rendered_trials", "kmeans_labels", "stage_sequences", "block_signed_distance", "block_component_sizes", "vol_motion", "lag_calibration", "conformed_volumes", "migrated_specifications", "operators_catalogue", "style_search", "sample_run"]
 
 
 def normal(rows, columns):
