@@ -139,11 +139,11 @@ FROM lines, range({n}) f(k), range({n}) s(t) GROUP BY ALL"""
 {_sums("v", 64)} UNION ALL {_sums("d", 63)}""",
 )
 def _spectra(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each vector, by radix steps, and of the 63 differences of its neighbours, by a chirp."""
+    """Of each vector, and of the 63 differences of its neighbours."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     d = F.zip_with(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, F.size(v) - 1), lambda b, a: b - a)
     rows = spread(table(spark, sf, "embeddings")).select("vec_id", F.explode(F.array(v, d)).alias("v"))
-    each = rows.select("vec_id", F.size("v").alias("n"), F.posexplode(fourier.fft(fourier.complex_array(F.col("v")))).alias("k", "z"))
+    each = fourier.line_spectra(rows, "v").select("vec_id", F.size("v").alias("n"), F.posexplode(F.arrays_zip("re", "im")).alias("k", "z"))
     return rounded(each.select("vec_id", "n", "k", "z.re", "z.im"), "re", "im")
 
 
@@ -405,6 +405,6 @@ def _migrated(spark: SparkSession, sf: str) -> DataFrame:
     text = F.replace(F.replace(text, F.lit("<seed>"), key.cast("string")), F.lit("<contrast>"), (10 + key % 90).cast("string"))
     for n, (a, b) in _FAULTS.items():
         text = F.when(key % 13 == n, F.replace(text, F.lit(a), F.lit(b))).otherwise(text)
-    made = specs.migrated(table(spark, sf, "customer").select("c_custkey", text.alias("spec")))
+    made = specs.migrated(spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", text.alias("spec")))
     named = {"version": "version", "seed": "seed", "contrast_scale": "contrast_scale", "correlation_mm": "render_boundary_correlation_mm", "dilation_mm": "acquisition_guard_dilation_mm"}
     return made.select("c_custkey", "source_version", "error", *[F.col(f"fields.{c}").alias(k) for k, c in named.items()], F.get("fields.pose_shift_mm_ras", 2).alias("shift_mm"))
