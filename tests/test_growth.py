@@ -22,3 +22,22 @@ def test_line_spectra_of_lines_of_all_lengths_with_nulls(spark):
     for k in (0, 1, 2, 3, 4, 6):
         assert got[k].v == lines[k]
         np.testing.assert_allclose(np.array(got[k].re) + 1j * np.array(got[k].im), np.fft.fft(lines[k]), atol=1e-12)
+
+
+def _uniform(*parts) -> float:
+    return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def test_full_mix_ranks_the_pool_for_the_draw_it_takes_alone(spark):
+    pool = [n for n, o in OPERATORS.items() if o.pool]
+    choice = trials.full_mix_choice(3, F.col("id").cast("string"))
+    # One ranking of the pool, and a coin for each of six draws.
+    assert str(choice._jc.toString()).count("sha2(") == 7
+    for r in spark.range(300).select("id", choice.alias("m")).collect():
+        k = next((k for k in range(6) if _uniform(3, r.id, "mix", k, "count") >= 0.5), None)
+        if k is None:
+            assert r.m.artifacts is None and r.m.attempts == r.m.rejected == 6
+            continue
+        first, *others = sorted(pool, key=lambda n: (_uniform(3, r.id, "mix", k, n), n))
+        second = next(n for n in others if not (first in STRONG_DIMMERS and n in STRONG_DIMMERS))
+        assert r.m.artifacts == [first, second] and r.m.attempts == k + 1 and r.m.rejected == k
