@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import fourier
 from voxframe.operators import OPERATORS
-from voxframe.plans import trials
+from voxframe.plans import specifications, trials
 from voxframe.plans.routing import STRONG_DIMMERS
 
 
@@ -41,3 +41,10 @@ def test_full_mix_ranks_the_pool_for_the_draw_it_takes_alone(spark):
         first, *others = sorted(pool, key=lambda n: (_uniform(3, r.id, "mix", k, n), n))
         second = next(n for n in others if not (first in STRONG_DIMMERS and n in STRONG_DIMMERS))
         assert r.m.artifacts == [first, second] and r.m.attempts == k + 1 and r.m.rejected == k
+
+
+def test_values_of_specifications_are_read_once(spark):
+    rows = spark.range(1).select(F.concat(F.lit('{"seed": '), F.col("id").cast("string"), F.lit("}")).alias("spec"))
+    plan = specifications.migrated(rows).select("error", "fields")._jdf.queryExecution().optimizedPlan().toString()
+    # The record itself and each triple, as far as the plan shows its columns.
+    assert 1 <= plan.count("from_json(") <= 1 + len(specifications.TRIPLES)

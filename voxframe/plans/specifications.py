@@ -46,21 +46,27 @@ def _number(fields: Column, key: str) -> Column:
     return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
 
 
-def _triple(fields: Column, key: str) -> Column:
-    found = F.from_json(F.try_element_at(fields, F.lit(key)), "array<double>")
+def _triple(found: Column) -> Column:
+    """A JSON array, as it was read, of three finite numbers; null for anything else."""
     return F.when((F.size(found) == 3) & F.forall(found, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), found)
 
 
+def _read(rows: DataFrame, fields: str = "_f") -> DataFrame:
+    """Adds each value, typed, as a column `_key`: read once, however often rules look at it. Column expressions would be read anew each time."""
+    rows = rows.withColumns({f"_{k}": _number(F.col(fields), k) for k in (*NUMBERS, *_ADDED)} | {f"_{k}": F.from_json(F.try_element_at(fields, F.lit(k)), "array<double>") for k in TRIPLES})
+    return rows.withColumns({f"_{k}": _triple(F.col(f"_{k}")) for k in TRIPLES})
+
+
 def _problems(fields: Column) -> list[tuple[Column, str]]:
-    """What is wrong with a record of the last version, the first of which is said."""
+    """What is wrong with a record of the last version that _read() has read, the first of which is said."""
     seed = F.try_element_at(fields, F.lit("seed"))
     out = [(~F.coalesce(seed.rlike("^[0-9]+$") & seed.try_cast("long").isNotNull(), F.lit(False)), "seed isn't a whole number from 0 on")]
     for key, (low, high, open_) in [*NUMBERS.items(), *[(k, (low, high, False)) for k, (low, high, _) in _ADDED.items()]]:
-        x = _number(fields, key)
+        x = F.col(f"_{key}")
         out += [(x.isNull(), f"{key} isn't a number"), ((x <= low if open_ else x < low) | (x > high), f"{key} is out of bounds")]
     out.append((~F.coalesce(F.try_element_at(fields, F.lit("tentorium_on")).isin("true", "false", "0", "1"), F.lit(False)), "tentorium_on isn't boolean"))
     for key, (low, high) in TRIPLES.items():
-        t = _triple(fields, key)
+        t = F.col(f"_{key}")
         out += [(t.isNull(), f"{key} isn't three numbers"), (_outside(t, low, high), f"{key} is out of bounds")]
     return out
 
@@ -96,10 +102,11 @@ def migrated(records: DataFrame, text: str = "spec") -> DataFrame:
         here = F.col("_v") == to - 1
         more = F.create_map(*[F.lit(x) for k, (_, _, neutral) in added.items() for x in (k, str(neutral))]) if added else None
         rows = rows.withColumns({"_f": F.when(here, F.map_concat("_f", more)).otherwise(F.col("_f")) if added else F.col("_f"), "_v": F.when(here, F.lit(to)).otherwise(F.col("_v"))})
+    rows = _read(rows)
     wrong = F.lit(None).cast("string")
     for bad, said in reversed(_problems(F.col("_f"))):
         wrong = F.when(bad, said).otherwise(wrong)
     rows = rows.withColumn("error", F.coalesce("error", wrong))
     fields = [F.lit(LAST).alias("version"), F.try_element_at("_f", F.lit("seed")).cast("long").alias("seed"), F.try_element_at("_f", F.lit("tentorium_on")).isin("true", "1").alias("tentorium_on")]
-    fields += [_number(F.col("_f"), k).alias(k) for k in (*NUMBERS, *_ADDED)] + [_triple(F.col("_f"), k).alias(k) for k in TRIPLES]
+    fields += [F.col(f"_{k}").alias(k) for k in (*NUMBERS, *_ADDED, *TRIPLES)]
     return rows.withColumn("fields", F.when(F.col("error").isNull(), F.struct(*fields))).select(*records.columns, "source_version", "fields", "error")

@@ -403,8 +403,10 @@ def _migrated(spark: SparkSession, sf: str) -> DataFrame:
     for v in range(7, 1, -1):
         text = F.when(key % 7 == v - 2, F.lit(_record(v))).otherwise(text)
     text = F.replace(F.replace(text, F.lit("<seed>"), key.cast("string")), F.lit("<contrast>"), (10 + key % 90).cast("string"))
+    rows = spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", text.alias("spec"))
+    text = F.col("spec")
     for n, (a, b) in _FAULTS.items():
-        text = F.when(key % 13 == n, F.replace(text, F.lit(a), F.lit(b))).otherwise(text)
-    made = specs.migrated(spread(table(spark, sf, "customer").select("c_custkey")).select("c_custkey", text.alias("spec")))
+        text = F.when(key % 13 == n, F.replace("spec", F.lit(a), F.lit(b))).otherwise(text)
+    made = specs.migrated(rows.withColumn("spec", text))
     named = {"version": "version", "seed": "seed", "contrast_scale": "contrast_scale", "correlation_mm": "render_boundary_correlation_mm", "dilation_mm": "acquisition_guard_dilation_mm"}
     return made.select("c_custkey", "source_version", "error", *[F.col(f"fields.{c}").alias(k) for k, c in named.items()], F.get("fields.pose_shift_mm_ras", 2).alias("shift_mm"))
