@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from voxframe.functions import fourier
-from voxframe.operators import OPERATORS
+from voxframe.operators import OPERATORS, blocks, components
 from voxframe.plans import specifications, trials
 from voxframe.plans.routing import STRONG_DIMMERS
 
@@ -48,3 +48,16 @@ def test_values_of_specifications_are_read_once(spark):
     plan = specifications.migrated(rows).select("error", "fields")._jdf.queryExecution().optimizedPlan().toString()
     # The record itself and each triple, as far as the plan shows its columns.
     assert 1 <= plan.count("from_json(") <= 1 + len(specifications.TRIPLES)
+
+
+def _volumes(spark, n: int):
+    place = [(F.col("id") % 512 / 64).cast("int").alias("i"), (F.col("id") % 64 / 8).cast("int").alias("j"), (F.col("id") % 8).cast("int").alias("k")]
+    return spark.range(512 * n).select(F.floor(F.col("id") / 512).alias("case_id"), *place, F.rand(1).alias("value"))
+
+
+def test_no_table_of_components_passes_through_the_driver(spark):
+    masks = _volumes(spark, 2).withColumn("mask", F.col("value") > 0.6)
+    found = components.component_runs(masks)
+    for df in (components.links(components.runs(masks)), components._large_star(found.select("case_id", F.col("component").alias("u"), F.col("run").alias("v"))), found, components.component_sizes(masks), components.cleaned(masks)):
+        df.count()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

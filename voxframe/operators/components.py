@@ -3,6 +3,8 @@
 A run is an unbroken stretch of a line along k. Runs of neighbouring lines that
 touch are linked, and the links are contracted to stars round the first run of
 each component, so what is shuffled are runs and links, never voxels in pairs.
+Joins are by merges: what is small on disk, or for one round, may be large in
+memory, and broadcasts of it all pass through the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def links(found: DataFrame, full: bool = True) -> DataFrame:
     own = found.select("case_id", "i", "j", (F.col("first") - reach).alias("a"), (F.col("last") + reach).alias("b"), F.col("run").alias("u"), F.explode(near).alias("d"))
     own = own.select("case_id", (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"), "a", "b", "u", stretch(F.col("a"), F.col("b")).alias("s"))
     other = found.select("case_id", "i", "j", "first", "last", F.col("run").alias("v"), stretch(F.col("first"), F.col("last")).alias("s"))
-    met = own.join(other, ["case_id", "i", "j", "s"]).filter("first <= b AND last >= a")
+    met = own.join(other.hint("merge"), ["case_id", "i", "j", "s"]).filter("first <= b AND last >= a")
     # Runs that share several stretches are linked in the first of them.
     return met.filter(F.floor(F.greatest("a", "first") / STRETCH) == F.col("s")).select("case_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
@@ -52,14 +54,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its least neighbour."""
     both = edges.unionByName(edges.select("case_id", F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("case_id", "u").agg(F.min("v").alias("m")).select("case_id", "u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, ["case_id", "u"]).select("case_id", F.col("m").alias("u"), "v").distinct()
+    return both.filter("v > u").join(least.hint("merge"), ["case_id", "u"]).select("case_id", F.col("m").alias("u"), "v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them."""
     own = edges.select("case_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     least = own.groupBy("case_id", "v").agg(F.min("u").alias("m"))
-    moved = own.join(least, ["case_id", "v"]).filter("u > m").select("case_id", F.col("m").alias("u"), F.col("u").alias("v"))
+    moved = own.join(least.hint("merge"), ["case_id", "v"]).filter("u > m").select("case_id", F.col("m").alias("u"), F.col("u").alias("v"))
     return moved.unionByName(least.select("case_id", F.col("m").alias("u"), "v")).distinct()
 
 
@@ -85,7 +87,7 @@ def component_runs(voxels: DataFrame, mask: str = "mask", full: bool = True) ->
     """runs() with `component`, the number of the component's first voxel. Components of different cases never meet."""
     found = stage(runs(voxels, mask), "runs")
     stars = contract(links(found, full)).select("case_id", F.col("v").alias("run"), F.col("u").alias("component"))
-    return found.join(stars, ["case_id", "run"], "left").withColumn("component", F.coalesce("component", "run"))
+    return found.join(stars.hint("merge"), ["case_id", "run"], "left").withColumn("component", F.coalesce("component", "run"))
 
 
 def component_sizes(voxels: DataFrame, mask: str = "mask", full: bool = True, keep_ratio: float = KEEP_RATIO) -> DataFrame:
@@ -97,7 +99,7 @@ def _judged(found: DataFrame, keep_ratio: float) -> DataFrame:
     sizes = found.groupBy("case_id", "component").agg(F.sum(F.col("last") - F.col("first") + 1).alias("size"))
     largest = sizes.groupBy("case_id").agg(F.max("size").alias("largest"))
     kept = F.col("size") >= keep_ratio * F.col("largest")
-    return sizes.join(largest, "case_id").select("case_id", "component", "size", kept.alias("kept"), (~kept & (F.col("size") >= NOTE_RATIO * F.col("largest"))).alias("noted"))
+    return sizes.join(largest.hint("merge"), "case_id").select("case_id", "component", "size", kept.alias("kept"), (~kept & (F.col("size") >= NOTE_RATIO * F.col("largest"))).alias("noted"))
 
 
 def _voxels(found: DataFrame) -> DataFrame:
@@ -114,14 +116,14 @@ def cleaned(voxels: DataFrame, mask: str = "mask", keep_ratio: float = KEEP_RATI
     """
     found = stage(component_runs(voxels, mask), "components")
     judged = stage(_judged(found, keep_ratio), "judged")
-    kept = _voxels(found.join(judged.filter("kept").select("case_id", "component"), ["case_id", "component"], "left_semi"))
+    kept = _voxels(found.join(judged.filter("kept").select("case_id", "component").hint("merge"), ["case_id", "component"], "left_semi"))
     noted = judged.groupBy("case_id").agg(F.bool_or("noted").alias("noted"))
-    main = stage(voxels.select("case_id", *AXES).join(kept.withColumn("inside", F.lit(True)), ["case_id", *AXES], "left").withColumn("inside", F.coalesce("inside", F.lit(False))), "kept")
+    main = stage(voxels.select("case_id", *AXES).join(kept.withColumn("inside", F.lit(True)).hint("merge"), ["case_id", *AXES], "left").withColumn("inside", F.coalesce("inside", F.lit(False))), "kept")
 
     outside = component_runs(main.withColumn("outside", ~F.col("inside")), "outside", full=False)
-    outside = stage(outside.join(shapes(voxels), "case_id"), "outside")
+    outside = stage(outside.join(shapes(voxels).hint("merge"), "case_id"), "outside")
     border = (F.col("i") == 0) | (F.col("i") == F.col("ni") - 1) | (F.col("j") == 0) | (F.col("j") == F.col("nj") - 1) | (F.col("first") == 0) | (F.col("last") == F.col("nk") - 1)
     closed = outside.groupBy("case_id", "component").agg(F.bool_or(border).alias("open")).filter("NOT open")
-    holes = _voxels(outside.join(closed, ["case_id", "component"], "left_semi")).withColumn("hole", F.lit(True))
-    full = main.join(holes, ["case_id", *AXES], "left").join(noted, "case_id", "left")
+    holes = _voxels(outside.join(closed.hint("merge"), ["case_id", "component"], "left_semi")).withColumn("hole", F.lit(True))
+    full = main.join(holes.hint("merge"), ["case_id", *AXES], "left").join(noted.hint("merge"), "case_id", "left")
     return full.select("case_id", *AXES, (F.col("inside") | F.coalesce("hole", F.lit(False))).alias("mask"), F.coalesce("noted", F.lit(False)).alias("noted"))
