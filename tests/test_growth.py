@@ -61,3 +61,21 @@ def test_no_table_of_components_passes_through_the_driver(spark):
     for df in (components.links(components.runs(masks)), components._large_star(found.select("case_id", F.col("component").alias("u"), F.col("run").alias("v"))), found, components.component_sizes(masks), components.cleaned(masks)):
         df.count()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jacobian_is_numpys_and_odd_volumes_are_never_accepted(spark):
+    fields = {c: F.col("value") * s for c, s in (("di", 0.5), ("dj", -0.3), ("dk", 0.2))}
+    rows = _volumes(spark, 4).withColumns(fields).drop("value").toPandas()
+    rows.loc[(rows.case_id == 1) & (rows.i == 7) & (rows.j == 7) & (rows.k == 7), "dj"] = None
+    rows = rows[(rows.case_id != 2) | (rows.k == 3)]  # an axis of one voxel
+    rows = rows[(rows.case_id != 3) | (rows.i + rows.j + rows.k != 9)]  # holes
+    df = spark.createDataFrame(rows)
+    for size in (2, 3, 8):
+        made = blocks.jacobian_minimum(df, size)
+        assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+        got = dict(made.collect())
+        x = [rows[rows.case_id == 0].sort_values(["i", "j", "k"])[c].to_numpy().reshape(8, 8, 8) for c in ("di", "dj", "dk")]
+        m = np.array([np.gradient(f) for f in x]).reshape(3, 3, -1).transpose(2, 0, 1) + np.eye(3)
+        assert abs(got[0] - np.linalg.det(m).min()) < 1e-9
+        assert got[1] == got[2] == got[3] == float("-inf")
+    assert blocks.jacobian_minimum(df.limit(0)).count() == 0

@@ -9,8 +9,10 @@ task or group holds more than a box with its halo, or a line.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def with_halos(voxels: DataFrame, size: int = SIZE, width: int = 1) -> DataFrame
         inside &= F.col(f"b{a}") == F.floor(F.col(a) / size)
     cell = F.struct(*AXES, *[c for c in own if c not in AXES])
     made = sent.groupBy("case_id", *[f"b{a}" for a in AXES]).agg(
-        F.array_sort(F.collect_list(cell)).alias("cells"), *[F.min(F.when(inside, F.col(a))).alias(f"low_{a}") for a in AXES], *[F.max(F.when(inside, F.col(a))).alias(f"high_{a}") for a in AXES]
+        F.sort_array(F.collect_list(cell)).alias("cells"), *[F.min(F.when(inside, F.col(a))).alias(f"low_{a}") for a in AXES], *[F.max(F.when(inside, F.col(a))).alias(f"high_{a}") for a in AXES]
     )
     # A neighbour beyond the volume's end has no voxels of its own.
     made = made.filter(F.col("low_i").isNotNull())
@@ -94,13 +96,35 @@ def own_cells(function: Callable[[Halo, Column], Column]) -> Column:
     return A.let(run, F.col("cells"), F.col("low"), F.col("high"))
 
 
-def _gradient(halo: Halo, cell: Column, field: str, axis: int) -> Column:
-    """Central difference, one-sided at the volume's faces."""
-    step = [0, 0, 0]
-    step[axis] = 1
-    after, before = halo.at(cell, tuple(step))[field], halo.at(cell, tuple(-s for s in step))[field]
-    here = cell[field]
-    return F.when(after.isNotNull() & before.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - here).otherwise(here - before)
+#: Cells that a kernel over blocks takes at a time, or one block.
+CELLS = 1 << 18
+
+
+def _least_determinants(blocks: pa.RecordBatch) -> np.ndarray:
+    """Of each block, the least determinant of p -> p + (di, dj, dk) at its own cells; minus infinity if one isn't finite."""
+    cells, bounds = blocks.column("cells"), [np.asarray(blocks.column(c).flatten()).reshape(-1, 3) for c in ("low", "high")]
+    sizes = cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts, own = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    field = dict(zip([f.name for f in cells.type.value_type], cells.flatten().flatten(), strict=True))
+    at = np.stack([np.asarray(field[a], np.int64) for a in AXES])
+    values = np.stack([np.asarray(field[f], float) for f in ("di", "dj", "dk")])
+    first, last = np.minimum.reduceat(at, starts, axis=1), np.maximum.reduceat(at, starts, axis=1)
+    # Blocks of the same shape, whose own cells lie alike, are taken together.
+    kinds, kind = np.unique(np.hstack([(last - first + 1).T, bounds[0] - first.T, bounds[1] - first.T]), axis=0, return_inverse=True)
+    kind, out = kind.ravel(), np.full(len(sizes), -np.inf)
+    for number, (*span, li, lj, lk, hi, hj, hk) in enumerate(kinds.tolist()):
+        if min(span) < 2:
+            continue  # no difference along an axis of one voxel
+        rows = np.flatnonzero(kind == number)
+        mine = np.flatnonzero(kind[own] == number)
+        grid = np.full((3, len(rows), *span), np.nan)
+        grid[:, np.searchsorted(rows, own[mine]), *(at[:, mine] - first[:, own[mine]])] = values[:, mine]
+        with np.errstate(all="ignore"):
+            x, y, z = [[g + (a == c) for a, g in enumerate(np.gradient(grid[c], axis=(1, 2, 3)))] for c in range(3)]
+            d = x[0] * (y[1] * z[2] - y[2] * z[1]) - x[1] * (y[0] * z[2] - y[2] * z[0]) + x[2] * (y[0] * z[1] - y[1] * z[0])
+        d = d[:, li : hi + 1, lj : hj + 1, lk : hk + 1].reshape(len(rows), -1)
+        out[rows] = np.where(np.isfinite(d).all(axis=1), d.min(axis=1), -np.inf)
+    return out
 
 
 def jacobian_minimum(voxels: DataFrame, size: int = SIZE) -> DataFrame:
@@ -114,19 +138,17 @@ def jacobian_minimum(voxels: DataFrame, size: int = SIZE) -> DataFrame:
     fields = ("di", "dj", "dk")
     blocks = with_halos(voxels.select("case_id", *AXES, *[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f) for f in fields]), size, 1)
 
-    def determinant(halo: Halo, cell: Column) -> Column:
-        rows = [F.array(*[_gradient(halo, cell, f, a) + (1.0 if a == k else 0.0) for a in range(3)]) for k, f in enumerate(fields)]
-
-        def expand(x: Column, y: Column, z: Column) -> Column:
-            g = lambda r, c: F.get(r, c)
-            return g(x, 0) * (g(y, 1) * g(z, 2) - g(y, 2) * g(z, 1)) - g(x, 1) * (g(y, 0) * g(z, 2) - g(y, 2) * g(z, 0)) + g(x, 2) * (g(y, 0) * g(z, 1) - g(y, 1) * g(z, 0))
-
-        return A.let(expand, *rows)
-
-    # A difference of one voxel is null along its own axis, and makes the determinant null.
-    each = blocks.select("case_id", F.explode(own_cells(determinant)).alias("d"))
-    bad = F.col("d").isNull() | F.isnan("d") | (F.abs("d") == float("inf"))
-    return each.groupBy("case_id").agg(F.when(F.bool_or(bad), float("-inf")).otherwise(F.min("d")).alias("least"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            step = max(1, CELLS // max(batch.column("cells").value_lengths().to_pylist()))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                yield pa.RecordBatch.from_arrays([part.column("case_id"), pa.array(_least_determinants(part))], names=["case_id", "least"])
+
+    each = blocks.select("case_id", "low", "high", "cells").mapInArrow(run, f"case_id {voxels.schema['case_id'].dataType.simpleString()}, least double")
+    return each.groupBy("case_id").agg(F.min("least").alias("least"))
 
 
 def boundary_band(voxels: DataFrame, radius: int = 2, size: int = SIZE) -> DataFrame:
