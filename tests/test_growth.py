@@ -3,10 +3,11 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voxframe.functions import fourier
-from voxframe.operators import OPERATORS, blocks, components
+from voxframe.operators import OPERATORS, blocks, components, registry
 from voxframe.plans import specifications, trials
 from voxframe.plans.routing import STRONG_DIMMERS
 
@@ -79,3 +80,16 @@ def test_jacobian_is_numpys_and_odd_volumes_are_never_accepted(spark):
         assert abs(got[0] - np.linalg.det(m).min()) < 1e-9
         assert got[1] == got[2] == got[3] == float("-inf")
     assert blocks.jacobian_minimum(df.limit(0)).count() == 0
+
+
+def test_pandas_gets_small_parts_of_a_batch(spark):
+    df = spark.range(5000).select("id", F.array_repeat(F.col("id").cast("double"), 3).alias("voxels")).coalesce(1)
+
+    def sized(pdf):
+        return pdf.assign(voxels=[v + 1 for v in pdf["voxels"]], rows=len(pdf))
+
+    got = registry.with_pandas(df, sized, "rows int", changed=("voxels",)).collect()
+    assert [r.id for r in got] == list(range(5000)) and max(r.rows for r in got) == registry.PART[0]
+    assert all(r.voxels == [r.id + 1.0] * 3 for r in got)
+    wide = pa.RecordBatch.from_arrays([pa.array([list(range(1 << 17))] * 9)], names=["x"])
+    assert [p.num_rows for p in registry.parts(wide)] == [3, 3, 3]
