@@ -1,15 +1,18 @@
 """Steps whose cost must not outgrow their input."""
 
+import datetime
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import test_runs
 from pyspark.sql import functions as F
 
 from voxframe.functions import fourier
 from voxframe.operators import OPERATORS, blocks, components, registry
 from voxframe.plans import specifications, trials
 from voxframe.plans.routing import STRONG_DIMMERS
+from voxframe.streaming import runs
 
 
 def test_line_spectra_of_lines_of_all_lengths_with_nulls(spark):
@@ -93,3 +96,19 @@ def test_pandas_gets_small_parts_of_a_batch(spark):
     assert all(r.voxels == [r.id + 1.0] * 3 for r in got)
     wide = pa.RecordBatch.from_arrays([pa.array([list(range(1 << 17))] * 9)], names=["x"])
     assert [p.num_rows for p in registry.parts(wide)] == [3, 3, 3]
+
+
+def test_runs_that_share_a_bucket_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "BUCKETS", 2)
+    test_runs.test_stopped_and_resumed_stream_equals_the_batch(spark, tmp_path)
+    # A run that idles while others of its bucket go on.
+    schema = "run string, event_id long, ts timestamp, oom boolean"
+    start = datetime.datetime(2024, 1, 1)
+    for n, found in enumerate(([("a", 0), ("b", 0)], [("b", 200)], [("b", 400)], [("a", 410), ("b", 410)])):
+        spark.createDataFrame([(run, n, start + datetime.timedelta(seconds=t), run == "a") for run, t in found], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        states = runs.run_states(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 16, 60, 250)
+        runs.start(states, f"{tmp_path}/made", f"{tmp_path}/marks").awaitTermination()
+    got = spark.read.schema(runs.RESULT).parquet(f"{tmp_path}/made")
+    idle = [(r.run, r.ts, r.batch_size, r.report) for r in got.filter("event_id IS NULL").collect()]
+    assert ("a", start, 8, True) in idle
+    assert {(r.run, r.event_id): r.batch_size for r in got.filter("event_id IS NOT NULL").collect()} == {("a", 0): 16, ("b", 0): 16, ("b", 1): 16, ("b", 2): 16, ("a", 3): 16, ("b", 3): 16}
