@@ -8,9 +8,9 @@ import pyarrow as pa
 import test_runs
 from pyspark.sql import functions as F
 
-from voxframe.functions import fourier
+from voxframe.functions import fourier, tasks
 from voxframe.operators import OPERATORS, blocks, components, registry
-from voxframe.plans import specifications, trials
+from voxframe.plans import recovery, specifications, trials
 from voxframe.plans.routing import STRONG_DIMMERS
 from voxframe.streaming import runs
 
@@ -112,3 +112,16 @@ def test_runs_that_share_a_bucket_keep_their_own_state(spark, tmp_path, monkeypa
     idle = [(r.run, r.ts, r.batch_size, r.report) for r in got.filter("event_id IS NULL").collect()]
     assert ("a", start, 8, True) in idle
     assert {(r.run, r.event_id): r.batch_size for r in got.filter("event_id IS NOT NULL").collect()} == {("a", 0): 16, ("b", 0): 16, ("b", 1): 16, ("b", 2): 16, ("a", 3): 16, ("b", 3): 16}
+
+
+def test_problems_are_counted_in_as_many_parts_as_rows_ask_for(spark, monkeypatch):
+    assert tasks.parts_for(spark.range(100)) == 4
+    monkeypatch.setattr(tasks, "ROWS", 10)
+    plan, rows = spark.range(100).withColumnRenamed("id", "key"), spark.createDataFrame([(k,) for k in [*range(1, 100), 5, 200, 200]], "key long")
+    parts = tasks.parts_for(plan)
+    assert parts == 10
+    made = recovery.problems(plan, rows, ["key"], parts)
+    found = made.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.key, r.problem) for r in found) == [(0, "missing"), (5, "duplicate"), (200, "outside")] == sorted(map(tuple, recovery.problems(plan, rows, ["key"]).collect()))
+    assert "hashpartitioning(key#" in (text := made._jdf.queryExecution().executedPlan().toString()) and text.count("HashAggregate") + text.count("SortAggregate") >= 1
+    assert made.rdd.getNumPartitions() == parts

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def problems(plan: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key, problem): 'outside' the plan, 'duplicate' or 'missing'. Counted in one shuffle."""
+def problems(plan: DataFrame, rows: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
+    """(key, problem): 'outside' the plan, 'duplicate' or 'missing'. Counted in one shuffle, into so many parts if they are given.
+
+    Most keys come once or twice, so with `parts` nothing is counted before the shuffle, where it would hold nearly all rows.
+    """
     both = plan.select(*key, F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(rows.select(*key, F.lit(0).alias("p"), F.lit(1).alias("r")))
+    both = both if parts is None else both.repartition(parts, *key)
     n = both.groupBy(*key).agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
     what = F.when(F.col("p") == 0, "outside").when(F.col("r") > 1, "duplicate").when(F.col("r") == 0, "missing")
     return n.select(*key, what.alias("problem")).filter("problem IS NOT NULL")
