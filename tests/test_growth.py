@@ -9,7 +9,8 @@ import test_runs
 from pyspark.sql import functions as F
 
 from voxframe.functions import fourier, tasks
-from voxframe.operators import OPERATORS, blocks, components, registry
+from voxframe.operators import OPERATORS, anatomy, blocks, components, registry
+from voxframe.operators import primitives as P
 from voxframe.plans import recovery, specifications, trials
 from voxframe.plans.routing import STRONG_DIMMERS
 from voxframe.streaming import runs
@@ -125,3 +126,54 @@ def test_problems_are_counted_in_as_many_parts_as_rows_ask_for(spark, monkeypatc
     assert sorted((r.key, r.problem) for r in found) == [(0, "missing"), (5, "duplicate"), (200, "outside")] == sorted(map(tuple, recovery.problems(plan, rows, ["key"]).collect()))
     assert "hashpartitioning(key#" in (text := made._jdf.queryExecution().executedPlan().toString()) and text.count("HashAggregate") + text.count("SortAggregate") >= 1
     assert made.rdd.getNumPartitions() == parts
+
+
+def _flooded(mask) -> int:
+    """The components of a mask, by plain flooding."""
+    left, found = set(map(tuple, np.argwhere(mask))), 0
+    while left:
+        found, todo = found + 1, [left.pop()]
+        while todo:
+            at = todo.pop()
+            near = {n for n in left if max(abs(a - b) for a, b in zip(at, n, strict=True)) <= 1}
+            left -= near
+            todo += near
+    return found
+
+
+def test_anatomy_takes_stacks_in_as_many_steps_as_one_volume(monkeypatch):
+    rng, calls = np.random.default_rng(3), []
+    xs, masks = rng.random((60, 5, 4, 6)), rng.random((60, 5, 4, 6)) < rng.random((60, 1, 1, 1))
+    masks[0], masks[1] = False, True
+    assert P.component_counts(masks).tolist() == [P.label(m).max() for m in masks] == [_flooded(m) for m in masks]
+    cases, own = [str(k) for k in range(60)], P.jacobian_minima
+    monkeypatch.setattr(P, "jacobian_minima", lambda d: calls.append(len(d)) or own(d))
+    for name in ("morphology", "label_synthesis", "mild_mix"):
+        many, calls[:] = trials._composite(name, 7, 0) if name != "mild_mix" else trials._mild(name, 7, 0), []
+        made = many(cases, xs, masks)
+        # A field that folds is halved 14 times at most, in one step for all that still do.
+        assert len(calls) <= 15 and (not calls or calls[0] == 60)
+        for k, (y, m) in enumerate(made):
+            (alone, mask), = many(cases[k : k + 1], xs[k : k + 1], masks[k : k + 1])
+            np.testing.assert_array_equal(y, alone)
+            np.testing.assert_array_equal(m, mask)
+    moved = np.stack([m for _, m in trials._composite("label_synthesis", 7, 0)(cases, xs, masks)])
+    assert anatomy.geometries_accepted(masks, moved).tolist() == [anatomy.geometry_accepted(a, b) for a, b in zip(masks, moved, strict=True)]
+
+
+def test_a_rows_error_is_its_own_in_a_stack(spark):
+    def many(cases, xs, masks):
+        if "2" in cases:
+            raise ValueError("odd")
+        return list(zip(xs + 1, masks, strict=True))
+
+    rows = spark.range(4).select(F.col("id").alias("case_id"), F.array_repeat(F.lit(0.0), 8).alias("voxels"), F.array_repeat(F.lit(True), 8).alias("mask"), F.when(F.col("id") < 3, F.array(F.lit(2), F.lit(2), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("shape"))
+    got = trials._rendered(rows.coalesce(1), many, 1).collect()
+    assert [(r.case_id, r.voxels[0], r.error, r.attempts) for r in got] == [(0, 1.0, None, 1), (1, 1.0, None, 1), (2, 0.0, "ValueError: odd", 2), (3, 1.0, None, 1)]
+
+
+def test_what_made_the_cases_of_a_plan_runs_once(spark):
+    cases = spark.range(3).select(F.col("id").alias("case_id"), F.array_repeat(F.rand(1), 8).alias("voxels"), F.array_repeat(F.lit(True), 8).alias("mask"), F.array(F.lit(2), F.lit(2), F.lit(2)).alias("shape"))
+    made = trials.render_plan(cases, ["clean", "clipping"], 1, 4)
+    assert "Range (" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 6

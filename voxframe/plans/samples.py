@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions.staging import stage
 from ..operators import anatomy, stages
-from ..operators.registry import with_pandas
+from ..operators.registry import by_shape, with_pandas
 from .routing import DEFAULT, faithful
 
 #: The protocols of standard anchors and their sequences, all at 3 T.
@@ -67,9 +68,10 @@ def _guarded(rows: DataFrame) -> DataFrame:
     """Pairs whose mask geometry_accepted() refuses are the source pair again, of the kind FALLBACK."""
 
     def judge(pdf):
-        shapes = [tuple(int(n) for n in s) for s in pdf["shape"]]
-        masks = [[m.astype(bool).reshape(s) for m, s in zip(pdf[c], shapes, strict=True)] for c in ("_target", "mask")]
-        return pdf.assign(accepted=[bool(anatomy.geometry_accepted(a, b)) for a, b in zip(*masks, strict=True)])
+        accepted = np.zeros(len(pdf), bool)
+        for rows, before, after in by_shape(pdf["_target"], pdf["mask"], pdf["shape"]):
+            accepted[rows] = anatomy.geometries_accepted(before.astype(bool), after)
+        return pdf.assign(accepted=accepted)
 
     done = with_pandas(rows, judge, "accepted boolean", changed=())
     keep = lambda now, was: F.when(F.col("accepted"), F.col(now)).otherwise(F.col(was))
