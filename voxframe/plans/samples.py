@@ -70,7 +70,7 @@ def _guarded(rows: DataFrame) -> DataFrame:
     def judge(pdf):
         accepted = np.zeros(len(pdf), bool)
         for rows, before, after in by_shape(pdf["_target"], pdf["mask"], pdf["shape"]):
-            accepted[rows] = anatomy.geometries_accepted(before.astype(bool), after)
+            accepted[rows] = anatomy.geometries_accepted(before > 0, after)
         return pdf.assign(accepted=accepted)
 
     done = with_pandas(rows, judge, "accepted boolean", changed=())
