@@ -3,11 +3,13 @@
 import collections
 import itertools
 import math
+import pathlib
 import random
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,73 @@ def test_lists_far_below_are_never_visited():
     assert lists.visits(a, [], [float(high[1])], 0, 9)[0] == [0, 1] and lists.visits(a, [], [float(np.nextafter(high[1], 1e9))], 0, 9)[0] == [0]
 
 
+def test_visits_are_one_row_for_each_anchor_in_a_round(spark):
+    """Staged visits follow the anchors, not anchors times lists, each of which once had a row with the anchor's vector."""
+    g = np.random.default_rng(8)
+    rows = [(int(i), [float(c) for c in v], int(k)) for i, v, k in zip(range(0, 60_000, 50), np.float32(g.normal(size=(1200, 16)) / 4), g.integers(0, 4, 1200), strict=True)]
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    old = set(shared.glob("visits-*"))
+    assert mined(spark, rows)
+    visits = [spark.read.parquet(str(p)) for p in set(shared.glob("visits-*")) - old]
+    counts = [v.count() for v in visits]
+    assert max(counts) == 600 and all(v.select("qid").distinct().count() == n for v, n in zip(visits, counts, strict=True))
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_shelf_gives_the_first_rows_of_each_window(monkeypatch, same):
+    """Ties in plenty, classes of several members, null ids, windows of several scores, few queries at once, and candidates cut again and again."""
+    monkeypatch.setattr(hardneg, "AT_ONCE", 3)
+    monkeypatch.setattr(hardneg, "HELD", 40)
+    g = np.random.default_rng(6)
+    most = 4
+    blocks, plain = [], []
+    for block in range(3):
+        classes = []
+        for _ in range(40):
+            members = sorted(((bool(g.random() < 0.1), int(g.integers(0, 50)), int(u)) for u in g.integers(0, 1 << 40, g.integers(1, 4))))
+            classes.append((members, g.integers(-2, 3, 3).tolist(), int(g.integers(0, 3))))
+        classes.sort()
+        plain += [(block, v, k, m) for members, v, k in classes for m in members]
+        flat = [m for members, *_ in classes for m in members]
+        packed = [np.array([v for _, v, _ in classes], "<i2"), np.array([k for *_, k in classes], "<i8"), np.cumsum([len(m) for m, *_ in classes]).astype("<i8")]
+        packed += [np.array([m[1] for m in flat], "<i8"), np.array([m[0] for m in flat]), np.array([m[2] for m in flat], "<i8")]
+        blocks.append((block, 0, "<i2", *[c.tobytes() for c in packed]))
+    blocks = pd.DataFrame(blocks, columns=["block", "shelf", "kind", "x", "labels", "stops", "ids", "nones", "uids"])
+    asked, want = [], collections.Counter()
+    for qid in range(11):
+        v, label, asks = g.integers(-2, 3, 3), int(g.integers(0, 3)), g.permutation(3)[: g.integers(1, 4)]
+        positives = [] if same else sorted({int(p) for p in g.integers(-2, 9, g.integers(1, 4))})
+        kth = [-(1 << 63) if g.random() < 0.5 else int(g.integers(0, 4)) for _ in (positives or [None])]
+        asked.append((qid, label, v, np.array(positives, np.int64), np.array(kth, np.int64), asks.astype(np.int32)))
+        for j, (p, k) in enumerate(zip(positives or [None], kth, strict=True)):
+            found = [(-int(v @ x), m) for b, x, own, m in plain if b in asks and (own == label) == same]
+            found = sorted(f for f in found if -f[0] >= k and (p is None or 30 * p <= 100 * -f[0] <= 90 * p))
+            want.update((qid, j, -s, m[1], m[0], m[2]) for s, m in found[:most])
+    found = hardneg._score(pd.DataFrame(asked, columns=["qid", "label", "x", "positives", "kth", "asked"]), blocks, 3, most, same)
+    assert want and collections.Counter(found.itertuples(index=False, name=None)) == want
+
+
+def test_scores_that_are_cut_to_longs_are_not_passed_over(spark):
+    """Both rows of the other label score beyond the least long; the window takes none of them, and the one row of the label is still found."""
+    far = [(100, [1e17, 1e17], 1), (101, [-1e17, -1e17], 1), (102, [2e16, 2e16], 1), (103, [1e16, 1e16], 2)]
+    lists = hardneg.Lists(np.array([[-1e19, -1e19]]), np.array([1.0]), np.array([1]))
+    state = pd.DataFrame({"qid": [0], "label": 1, "x": [np.array([1 << 62, 1 << 62])], "positives": [np.zeros(0, np.int64)], "kth": [np.array([hardneg.LOWEST])], "start": 0})
+    assert [f["asked"][0][0].tolist() for f in hardneg._plans(lists, iter([state]), 8)] == [[0]]
+    assert {r[1] for r in hardneg.mine(spark.createDataFrame(far, "vec_id long, embedding array<double>, label int")).collect()} <= {101, 102}
+
+
+def test_plans_are_made_a_few_queries_at_a_time():
+    """Blocks are asked for by shelf, once each, in frames of AT_ONCE queries; a query without lists to visit has no row."""
+    lists = hardneg.Lists(np.array([[10.0, 0], [9, 1], [0, 10], [-10, 0]]), np.array([0.5, 0.5, 0.5, 0.5]), np.array([1, 3, 0, 2]), np.array([0, 0, 1, 1, 2, 2]))
+    assert [(int(s), b.tolist()) for s, b in zip(*lists.shelved([3, 0, 1]), strict=True)] == [(0, [0, 1]), (1, [2, 3]), (2, [4, 5])]
+    assert [(int(s), b.tolist()) for s, b in zip(*lists.shelved([1]), strict=True)] == [(0, [1]), (1, [2, 3])]
+    n = 2 * hardneg.AT_ONCE + 5
+    state = pd.DataFrame({"qid": range(n), "label": 0, "x": [np.array([10, 0])] * n, "positives": [np.zeros(0, np.int64)] * n, "kth": [np.array([-(1 << 63) if i else 1 << 40]) for i in range(n)], "start": 0})
+    frames = list(hardneg._plans(lists, iter([state]), 2))
+    assert max(map(len, frames)) <= hardneg.AT_ONCE and [q for f in frames for q in f["qid"]] == list(range(1, n))
+    assert all(np.concatenate(a).tolist() == [0, 1, 2, 3] for f in frames for a in f["asked"])
+
+
 def test_hard_negatives_against_sql(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()

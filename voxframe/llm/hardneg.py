@@ -8,6 +8,12 @@ with a member is within |anchor| * radius of its score with the centroid. An
 anchor visits lists by falling upper bound, a few at first and STEP times as many
 each round, skips those that lie outside its window, and stops when the bound
 falls strictly below the score of the last row that it would return.
+
+Visits are one row for each anchor in a round, with the numbers of the blocks that
+it asks, never a row with its vector for each list. Blocks stand on shelves; an
+anchor goes to a shelf once, and a task has one shelf and ASKS anchors at a time.
+What a task holds doesn't grow with rows or anchors, but for the numbers of the
+blocks that AT_ONCE anchors ask.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, need, observed_stage, stage
+from .common import hot_keys, join_hot, need, observed_stage, partitions, stage
 
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these hundredths of its positive's.
@@ -32,26 +38,25 @@ SCALE = 256
 SAMPLE = 20_000
 #: As many lists as the root of the number of classes, but no more than this: centroids go to every task.
 MAX_LISTS = 4096
-#: Classes of a block, and anchors that meet it at once.
-BLOCK, ASKS = 2048, 4096
+#: Classes of a block, of a shelf of blocks, and anchors that meet a shelf at once.
+BLOCK, SHELF, ASKS = 2048, 8192, 4096
+#: Anchors that are planned or scored in one step, rows that are placed in one, and candidates that a task holds before it cuts them.
+AT_ONCE, PLACED, HELD = 256, 1024, 1 << 19
 #: Lists that an anchor visits in its first round, and by how much more in each next one.
 STEP = 8
 _LONG = (1 << 63) - 1
+#: The kth score of a window that isn't full yet.
+LOWEST = -_LONG - 1
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two integer matrices: in doubles where none can be rounded, else in Python's integers, cut to longs."""
+    """Exact inner products of the rows of two integer matrices: in floats or doubles where none can be rounded, else in Python's integers, cut to longs."""
     most = max(1, abs(int(a.max(initial=0))), abs(int(a.min(initial=0)))) * max(1, abs(int(b.max(initial=0))), abs(int(b.min(initial=0)))) * max(1, a.shape[1])
     if most < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.clip(a.astype(object) @ b.astype(object).T, -_LONG - 1, _LONG).astype(np.int64)
-
-
-def _within(score: np.ndarray, positive: int) -> np.ndarray:
-    """LEAST * positive <= 100 * score <= MOST * positive, without leaving longs."""
-    low, high = -(-LEAST * positive // 100), MOST * positive // 100
-    return (score >= low) & (score <= high)
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, LOWEST, _LONG).astype(np.int64)
 
 
 def _narrow(m: np.ndarray) -> np.ndarray:
@@ -59,10 +64,12 @@ def _narrow(m: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """What every task knows of the index: MAX_LISTS centroids, radii and numbers of blocks at most."""
+    """What every task knows of the index: MAX_LISTS centroids, radii and numbers of blocks at most, and the shelf of each block, which never falls from a block to the next."""
 
-    def __init__(self, centres: np.ndarray, radius: np.ndarray, parts: np.ndarray):
+    def __init__(self, centres: np.ndarray, radius: np.ndarray, parts: np.ndarray, shelves: np.ndarray | None = None):
         self.centres, self.radius, self.parts = centres, radius, parts
+        self.stops = np.cumsum(parts)
+        self.shelves = np.zeros(int(self.stops[-1]), int) if shelves is None else shelves
 
     def bounds(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest score that a member of each list can have, rounding allowed for."""
@@ -93,6 +100,14 @@ class Lists:
         places = np.flatnonzero(wanted[order[start:]])[:most] + start
         return order[places].tolist(), int(places[-1]) + 1 if len(places) else len(order)
 
+    def shelved(self, found: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The shelves on which blocks of these lists stand, and the blocks on each."""
+        lists = np.sort(found)
+        n = self.parts[lists]
+        own = np.repeat(self.stops[lists] - np.cumsum(n), n) + np.arange(n.sum())
+        cuts = np.flatnonzero(np.diff(self.shelves[own])) + 1
+        return self.shelves[own[np.r_[0, cuts]]], np.split(own, cuts)
+
 
 def _usable(rows: DataFrame) -> DataFrame:
     """vec_id, label, x of the rows that take part; shorter vectors are filled up with zeros."""
@@ -108,7 +123,7 @@ def _matrix(column: pd.Series, dim: int) -> np.ndarray:
 
 
 def _index(classes: DataFrame, dim: int) -> tuple[DataFrame, Lists]:
-    """Blocks of all classes (cluster, part, and packed members), and what every task knows of them."""
+    """Blocks of all classes (block, shelf, and packed members), and what every task knows of them."""
     total = classes.count()
     share = min(1.0, SAMPLE / total)
     drawn = classes.filter(F.pmod(F.xxhash64("label", "x"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("x")
@@ -124,39 +139,99 @@ def _index(classes: DataFrame, dim: int) -> tuple[DataFrame, Lists]:
         c = sent.value
         square = (c**2).sum(axis=1)
         for pdf in batches:
-            x = _matrix(pdf["x"], dim)
-            own = x.astype(np.float64)
-            at = (square - 2 * own @ c.T).argmin(axis=1)
-            yield pdf.assign(cluster=at.astype(np.int32), distance=np.linalg.norm(own - c[at], axis=1))
+            for k in range(0, len(pdf), PLACED):
+                part = pdf.iloc[k : k + PLACED]
+                own = _matrix(part["x"], dim).astype(np.float64)
+                at = (square - 2 * own @ c.T).argmin(axis=1)
+                yield part.assign(cluster=at.astype(np.int32), distance=np.linalg.norm(own - c[at], axis=1))
 
     placed = stage(classes.mapInPandas(near, "label long, x array<long>, ids array<long>, nones array<boolean>, uids array<long>, cluster int, distance double"), "placed")
     sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()  # MAX_LISTS rows at most
-    radius, parts = np.zeros(len(centres)), np.zeros(len(centres), int)
+    radius, parts, own = np.zeros(len(centres)), np.zeros(len(centres), int), np.zeros(len(centres))
     for r in sizes:
-        radius[r["cluster"]], parts[r["cluster"]] = r["radius"], -(-r["n"] // BLOCK)
+        radius[r["cluster"]], parts[r["cluster"]], own[r["cluster"]] = r["radius"], -(-r["n"] // BLOCK), r["n"]
+    # SHELF classes on a shelf, or fewer where that would leave tasks without one.
+    each = np.repeat(own / np.maximum(parts, 1), parts)
+    shelves = ((np.cumsum(each) - each) // max(1, min(SHELF, total // (4 * partitions(classes.sparkSession))))).astype(int)
+    lists = Lists(centres, radius, parts, shelves)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # In the order of their first rows, so that of classes with equal scores the one that comes first is known by its place.
+        pdf = pdf.iloc[np.lexsort([pdf[c].map(lambda v: v[0]).to_numpy() for c in ("uids", "ids", "nones")])]
+        block = int(lists.stops[key[0]] - lists.parts[key[0]]) + key[1]
         x = _narrow(_matrix(pdf["x"], dim))
         stops = np.cumsum(pdf["ids"].map(len).to_numpy(), dtype="<i8")
         flat = [np.concatenate(pdf[c].to_numpy()).astype(t).tobytes() for c, t in (("ids", "<i8"), ("nones", "?"), ("uids", "<i8"))]
-        return pd.DataFrame([(*key, x.dtype.str, x.tobytes(), pdf["label"].to_numpy("<i8").tobytes(), stops.tobytes(), *flat)], columns=["cluster", "part", "kind", "x", "labels", "stops", "ids", "nones", "uids"])
+        return pd.DataFrame([(block, shelves[block], x.dtype.str, x.tobytes(), pdf["label"].to_numpy("<i8").tobytes(), stops.tobytes(), *flat)], columns=["block", "shelf", "kind", "x", "labels", "stops", "ids", "nones", "uids"])
 
     part = F.pmod(F.xxhash64("label", "x"), F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("cluster") + 1)).cast("int")
-    blocks = placed.withColumn("part", part).groupBy("cluster", "part").applyInPandas(pack, "cluster int, part int, kind string, x binary, labels binary, stops binary, ids binary, nones binary, uids binary")
-    return stage(blocks, "blocks"), Lists(centres, radius, parts)
+    blocks = placed.withColumn("part", part).groupBy("cluster", "part").applyInPandas(pack, "block int, shelf int, kind string, x binary, labels binary, stops binary, ids binary, nones binary, uids binary")
+    return stage(blocks, "blocks"), lists
 
 
-def _best(scores: np.ndarray, own: np.ndarray, block: dict, most: int) -> Iterator[tuple]:
-    """The first `most` rows of the classes `own` of a block: score, vec_id, whether it is null, uid. Ties go to the smaller vec_id, a null one last."""
-    if len(own) > most:
-        edge = np.partition(scores[own], len(own) - most)[len(own) - most]
-        own = own[scores[own] >= edge]
-    starts, stops = block["starts"][own], block["stops"][own]
-    at = np.concatenate([np.arange(a, b) for a, b in zip(starts, stops, strict=True)])
-    score = np.repeat(scores[own], stops - starts)
-    order = np.lexsort((block["uids"][at], block["ids"][at], block["nones"][at], -score))[:most]
-    at = at[order]
-    return zip(score[order].tolist(), block["ids"][at].tolist(), block["nones"][at].tolist(), block["uids"][at].tolist(), strict=True)
+def _plans(known: Lists, batches: Iterator[pd.DataFrame], take: int) -> Iterator[pd.DataFrame]:
+    """Each query that has lists left to visit, with the shelves it asks and the blocks of each; AT_ONCE queries at a time."""
+    for pdf in batches:
+        for k in range(0, len(pdf), AT_ONCE):
+            out = []
+            for r in pdf.iloc[k : k + AT_ONCE].itertuples(index=False):
+                kth = [-math.inf if k == LOWEST else k for k in r.kth.tolist()]  # bounds aren't cut to longs
+                found, after = known.visits(np.asarray(r.x, np.float64), r.positives.tolist(), kth, int(r.start), take)
+                if found:
+                    out.append((r.qid, r.label, r.x, r.positives, r.kth, after, *known.shelved(found)))
+            if out:
+                yield pd.DataFrame(out, columns=["qid", "label", "x", "positives", "kth", "start", "shelves", "asked"])
+
+
+def _first(row: np.ndarray, most: int, *keys: np.ndarray) -> np.ndarray:
+    """Places of the first `most` entries of each row by the keys, of which the last counts most; equal ones stay in order."""
+    order = np.lexsort((*keys, row))
+    row = row[order]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+    return order[place < most]
+
+
+def _score(asked: pd.DataFrame, blocks: pd.DataFrame, dim: int, most: int, same: bool) -> pd.DataFrame:
+    """The first `most` rows in each window of the queries among the blocks of a shelf that they ask. Ties go to the smaller vec_id, a null one last."""
+    x, label = _matrix(asked["x"], dim), asked["label"].to_numpy()
+    wide = max(map(len, asked["kth"]), default=1)
+    # A window takes scores from low to high: LEAST * positive <= 100 * score <= MOST * positive, and none below kth.
+    low, high = np.full((len(asked), wide), _LONG), np.full((len(asked), wide), LOWEST)
+    for i, (positives, kth) in enumerate(zip(asked["positives"], asked["kth"], strict=True)):
+        low[i, : len(kth)], high[i, : len(kth)] = kth, _LONG
+        for j, p in enumerate(positives.tolist()):
+            low[i, j], high[i, j] = max(low[i, j], -(-LEAST * p // 100)), MOST * p // 100
+    least = low.min(axis=1, initial=_LONG)
+    own = np.concatenate([np.zeros(0, int), *asked["asked"]])
+    at = np.repeat(np.arange(len(asked)), asked["asked"].map(len).to_numpy(int))
+
+    def cut(held: list[tuple]) -> tuple:
+        row, score, nones, ids, uids = held = [np.concatenate(c) for c in zip(*held, strict=True)]
+        keep = _first(row, most, uids, ids, nones, ~score)
+        return tuple(c[keep] for c in held)
+
+    held, rows = [tuple(np.zeros(0, t) for t in (int, int, bool, int, int))], 0
+    for b in blocks.itertuples(index=False):
+        labels, stops, ids, nones, uids = (np.frombuffer(v, t) for v, t in ((b.labels, "<i8"), (b.stops, "<i8"), (b.ids, "<i8"), (b.nones, "?"), (b.uids, "<i8")))
+        members, vectors = np.diff(np.r_[0, stops]), np.frombuffer(b.x, b.kind).reshape(len(labels), dim)
+        asking = at[own == b.block]
+        for k in range(0, len(asking), AT_ONCE):
+            q = asking[k : k + AT_ONCE]
+            scores = inner(x[q], vectors)
+            of, c = np.nonzero((scores >= least[q, None]) & ((labels == label[q, None]) == same))
+            score, of = scores[of, c], q[of]
+            for j in range(wide):
+                fit = np.flatnonzero((score >= low[of, j]) & (score <= high[of, j]))
+                fit = fit[_first(of[fit], most, ~score[fit])]
+                n = members[c[fit]]
+                row = np.repeat(stops[c[fit]] - np.cumsum(n), n) + np.arange(n.sum())
+                held.append((np.repeat(of[fit] * wide + j, n), np.repeat(score[fit], n), nones[row], ids[row], uids[row]))
+                rows += len(row)
+            if rows > HELD:
+                held, rows = [cut(held)], 0
+    row, score, nones, ids, uids = cut(held)
+    return pd.DataFrame({"qid": asked["qid"].to_numpy()[row // wide], "j": (row % wide).astype(np.int32), "score": score, "vec_id": ids, "none": nones, "uid": uids})
 
 
 def _search(queries: DataFrame, blocks: DataFrame, lists: Lists, dim: int, most: int, same: bool) -> DataFrame:
@@ -166,57 +241,28 @@ def _search(queries: DataFrame, blocks: DataFrame, lists: Lists, dim: int, most:
     """
     spark = queries.sparkSession
     sent = spark.sparkContext.broadcast(lists)
-    asks = "qid long, label long, x array<long>, positives array<long>"
-    visit = f"{asks}, kth array<double>, start int, cluster int, part int"
-
-    def plan(batches: Iterator[pd.DataFrame], take: int) -> Iterator[pd.DataFrame]:
-        known = sent.value
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                kth = [-np.inf if k is None or math.isnan(k) else k for k in r.kth]
-                found, after = known.visits(np.asarray(r.x, np.float64), list(r.positives), kth, int(r.start), take)
-                out += [(r.qid, r.label, r.x, r.positives, kth, after, c, p) for c in found for p in range(known.parts[c])]
-            yield pd.DataFrame(out, columns=["qid", "label", "x", "positives", "kth", "start", "cluster", "part"])
-
-    def score(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(block):
-            b = block.iloc[0]
-            own = {c: np.frombuffer(b[c], t) for c, t in (("labels", "<i8"), ("stops", "<i8"), ("ids", "<i8"), ("nones", "?"), ("uids", "<i8"))}
-            own["starts"] = np.r_[0, own["stops"][:-1]]
-            x = np.frombuffer(b["x"], b["kind"]).reshape(len(own["labels"]), dim)
-            for k in range(0, len(asked), 256):
-                part = asked.iloc[k : k + 256]
-                scores = inner(_matrix(part["x"], dim), x)
-                for s, qid, label, positives, kth in zip(scores, part["qid"], part["label"], part["positives"], part["kth"], strict=True):
-                    fit = (own["labels"] == label) == same
-                    for j, (p, least) in enumerate(zip([None] if same else positives, kth, strict=True)):
-                        at = np.flatnonzero(fit & (s >= least) if p is None else fit & (s >= least) & _within(s, int(p)))
-                        if len(at):
-                            out += [(qid, j, *r) for r in _best(s, at, own, most)]
-        return pd.DataFrame(out, columns=["qid", "j", "score", "vec_id", "none", "uid"])
-
+    visit = "qid long, label long, x array<long>, positives array<long>, kth array<long>, start int, shelves array<int>, asked array<array<int>>"
     found_schema = "qid long, j int, score long, vec_id long, none boolean, uid long"
     first = Window.partitionBy("qid", "j").orderBy(F.desc("score"), "none", "vec_id", "uid")
     best = spark.createDataFrame([], found_schema)
-    count = F.lit(1) if same else F.size("positives")
-    state = queries.select("qid", "label", "x", "positives", F.array_repeat(F.lit(float("-inf")), count).alias("kth"), F.lit(0).alias("start"))
+    count, lowest = F.lit(1) if same else F.size("positives"), F.lit(LOWEST)
+    state = queries.select("qid", "label", "x", "positives", F.array_repeat(lowest, count).alias("kth"), F.lit(0).alias("start"))
     total, take = queries.count(), STEP
-    dealt = max(1, -(-total // ASKS))
+    tasks, dealt = min(partitions(spark), -(-total // AT_ONCE)), max(1, -(-total // ASKS))
     while True:
-        visits, (n,) = observed_stage(state.mapInPandas(lambda b, take=take: plan(b, take), visit).withColumn("deal", F.pmod(F.xxhash64("qid"), F.lit(dealt)).cast("int")), "visits", F.count(F.lit(1)))
+        visits, (n,) = observed_stage(state.repartition(max(1, tasks), "qid").mapInPandas(lambda b, take=take: _plans(sent.value, b, take), visit), "visits", F.count(F.lit(1)))
         if not n:
             return best.withColumn("place", F.row_number().over(first))
-        wanted = visits.select("cluster", "part", F.col("deal").alias("to")).distinct()
-        met = visits.groupBy("cluster", "part", "deal").cogroup(blocks.join(wanted, ["cluster", "part"]).groupBy("cluster", "part", "to")).applyInPandas(score, found_schema)
+        asks = visits.select("qid", "label", "x", "positives", "kth", F.pmod(F.xxhash64("qid"), F.lit(dealt)).cast("int").alias("deal"), F.explode(F.arrays_zip("shelves", "asked")).alias("at"))
+        asks = asks.select("qid", "label", "x", "positives", "kth", "deal", F.col("at.shelves").alias("shelf"), F.col("at.asked").alias("asked"))
+        wanted = asks.select(F.col("deal").alias("to"), F.explode("asked").alias("block")).distinct()
+        met = asks.groupBy("shelf", "deal").cogroup(blocks.join(wanted, "block").groupBy("shelf", "to")).applyInPandas(lambda a, b: _score(a, b, dim, most, same), found_schema)
         # Spark cuts each task's rows to `most` of a window before it shuffles them.
         best = stage(best.unionByName(met).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).drop("place"), "best")
         full = best.groupBy("qid", "j").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") == most)
-        full = full.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("j", F.col("least").cast("double").alias("least")))).alias("full"))
-        going = visits.groupBy("qid").agg(*[F.first(c).alias(c) for c in ("label", "x", "positives")], F.max("start").alias("start"))
-        kth = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.coalesce(F.try_element_at("full", j), F.lit(float("-inf"))))
-        state = going.join(full, "qid", "left").select("qid", "label", "x", "positives", kth.alias("kth"), "start")
+        full = full.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("j", "least"))).alias("full"))
+        kth = F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.coalesce(F.try_element_at("full", j), lowest))
+        state = visits.join(full, "qid", "left").select("qid", "label", "x", "positives", kth.alias("kth"), "start")
         take *= STEP
 
 
