@@ -38,8 +38,10 @@ SCALE = 256
 SAMPLE = 20_000
 #: As many lists as the root of the number of classes, but no more than this: centroids go to every task.
 MAX_LISTS = 4096
-#: Classes of a block, of a shelf of blocks, and anchors that meet a shelf at once.
-BLOCK, SHELF, ASKS = 2048, 8192, 4096
+#: Classes of a block, and anchors that meet a shelf of blocks at once.
+BLOCK, ASKS = 2048, 4096
+#: Classes of a shelf, by the number of tasks.
+SMALL_SHELF, LARGE_SHELF = 512, 8192
 #: Anchors that are planned or scored in one step, rows that are placed in one, and candidates that a task holds before it cuts them.
 AT_ONCE, PLACED, HELD = 256, 1024, 1 << 19
 #: Lists that an anchor visits in its first round, and by how much more in each next one.
@@ -150,9 +152,10 @@ def _index(classes: DataFrame, dim: int) -> tuple[DataFrame, Lists]:
     radius, parts, own = np.zeros(len(centres)), np.zeros(len(centres), int), np.zeros(len(centres))
     for r in sizes:
         radius[r["cluster"]], parts[r["cluster"]], own[r["cluster"]] = r["radius"], -(-r["n"] // BLOCK), r["n"]
-    # SHELF classes on a shelf, or fewer where that would leave tasks without one.
+    # LARGE_SHELF classes on a shelf, or fewer where that would leave tasks without one; an anchor's row goes to each shelf.
     each = np.repeat(own / np.maximum(parts, 1), parts)
-    shelves = ((np.cumsum(each) - each) // max(1, min(SHELF, total // (4 * partitions(classes.sparkSession))))).astype(int)
+    shelf = min(LARGE_SHELF, max(SMALL_SHELF, total // partitions(classes.sparkSession)))
+    shelves = ((np.cumsum(each) - each) // shelf).astype(int)
     lists = Lists(centres, radius, parts, shelves)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
